@@ -272,15 +272,16 @@ def backfill_sequence_boxes(corrections: DataFrame, regions: DataFrame) -> DataF
     )
 
 
-def training_items(corrections: DataFrame, labels: list[str]) -> DataFrame:
+def training_items(corrections: DataFrame, labels: list[str] | Column) -> DataFrame:
     """One row per trainable glyph.
 
     A character record gives one item. A sequence gives one per (character, box),
     or none at all when the lengths differ or any label or box is unusable. A
-    missing kind counts as character.
+    missing kind counts as character. ``labels`` may be a column with the usable
+    characters as one string.
     """
 
-    vocab = F.lit("".join(labels))
+    vocab = labels if isinstance(labels, Column) else F.lit("".join(labels))
     in_vocab = lambda c: (F.length(c) == 1) & vocab.contains(c)
     kind = F.coalesce("correction_kind", F.lit("character"))
     text = F.coalesce("corrected_label", F.lit(""))
@@ -314,6 +315,18 @@ def training_items(corrections: DataFrame, labels: list[str]) -> DataFrame:
     )
 
 
+def recognizer_items(corrections: DataFrame, vocabularies: dict[str, list[str]]) -> DataFrame:
+    """Items of several recognizers from one pass over the records, with ``recognizer``."""
+
+    wanted = F.array(
+        *[F.struct(F.lit(name).alias("name"), F.lit("".join(labels)).alias("chars")) for name, labels in vocabularies.items()]
+    )
+    each = corrections.withColumn("_v", F.explode(wanted)).withColumns(
+        {"recognizer": F.col("_v.name"), "_chars": F.col("_v.chars")}
+    )
+    return training_items(each.drop("_v"), F.col("_chars")).drop("_chars")
+
+
 def label_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("label").agg(F.count("*").alias("count"))
 
