@@ -302,9 +302,8 @@ def word_ink(spark: SparkSession, root: str) -> DataFrame:
     )
     tokens = lines.select("page_id", "line", F.posexplode(F.split("text", " ")).alias("w", "word")).filter("word <> ''")
     chars = tokens.select("page_id", "line", "w", F.posexplode(F.split("word", "")).alias("i", "ch")).filter("ch <> ''")
-    return chars.select(
-        "page_id", (F.col("line") * 10 + F.explode(F.sequence(F.lit(0), F.ascii("ch") % 3))).alias("y"),
-        (F.col("w") * 32 + F.col("i")).alias("x"),
+    return chars.withColumn("dy", F.explode(F.sequence(F.lit(0), F.ascii("ch") % 3))).select(
+        "page_id", (F.col("line") * 10 + F.col("dy")).alias("y"), (F.col("w") * 32 + F.col("i")).alias("x")
     )
 
 
@@ -330,11 +329,41 @@ def banner_ink(spark: SparkSession, root: str) -> DataFrame:
     columns = chars.select("page_id", "i", "ch", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("dx"))
     tall = 24 + (F.ascii("ch") * 7 + F.col("dx") * 5) % 12
     top = F.when((F.col("ch") == "0") & (F.col("i") % 4 == 1), 1).otherwise(tall)
-    return columns.select(
-        "page_id", (F.explode(F.sequence(F.lit(0), top - 1)) + F.lit(4)).alias("y"), (F.col("i") * 12 + F.col("dx")).alias("x")
+    return columns.withColumn("dy", F.explode(F.sequence(F.lit(0), top - 1))).select(
+        "page_id", (F.col("dy") + 4).alias("y"), (F.col("i") * 12 + F.col("dx")).alias("x")
     )
 
 
+def scattered_boxes(spark: SparkSession, root: str) -> DataFrame:
+    """(page_id, box_id, x0, y0, x1, y1): twenty boxes a page, some tiny, many close to each other."""
+
+    key = F.col("p_partkey")
+    i = key % 20
+    tiny = key % 4 == 0
+    w = F.when(tiny, 4 + key % 9).otherwise(6 + key * 5 % 26)
+    h = F.when(tiny, 4 + key % 7).otherwise(8 + key * 11 % 50)
+    x0 = i % 10 * 30 + key % 7
+    y0 = F.floor(i / 10) * 70 + key * 3 % 25 + 10
+    return as_ints(
+        table(spark, root, "part").select(
+            F.floor(key / 20).alias("page_id"), key.alias("box_id"), x0.alias("x0"), y0.alias("y0"),
+            (x0 + w).alias("x1"), (y0 + h).alias("y1"),
+        ),
+        ["x0", "y0", "x1", "y1"],
+    )
+
+
+def as_ints(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("int") for c in columns})
+
+
+def scattered_ink(spark: SparkSession, root: str) -> DataFrame:
+    """(page_id, y, x): every second pixel row of each scattered box."""
+
+    rows = scattered_boxes(spark, root).withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1, F.lit(2))))
+    return rows.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).select("page_id", "y", "x").distinct()
+
+
 def grid_pixels(spark: SparkSession, root: str) -> DataFrame:
     """(page_id, y, x, v, width, height): each vector as an 8 by 8 picture, every third one bright."""
 
@@ -443,7 +472,7 @@ _sql(
 
 def _predictions_sql(twins: bool) -> str:
     label = f"translate(ch, '{LETTERS}', '{CONFUSABLE}')" if twins else "CASE WHEN ch = ',' THEN '''' ELSE ch END"
-    return f"""SELECT page_id, conv_id, turn, row, pos, row * 100 + pos AS idx, label, label AS shown,
+    return f"""SELECT page_id, conv_id, turn, row, pos, CAST(row * 100 + pos AS INTEGER) AS idx, label, label AS shown,
     ((conv_id * 31 + turn * 7 + row * 17 + pos * 13) % 1000) / 1000.0::DOUBLE AS confidence,
     pos * 12.0::DOUBLE AS x,
     CASE WHEN stem THEN 100.0 WHEN label IN ('i', '''') THEN 70.0 WHEN label = '.' THEN 158.0

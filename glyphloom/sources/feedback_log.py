@@ -72,11 +72,17 @@ def _sorted_fields(column: Column, kind: T.DataType) -> Column:
     return column
 
 
-def correction_lines(records: DataFrame) -> DataFrame:
-    """(value): one JSON object per record, keys sorted, nulls and non-ASCII kept."""
+def json_line(records: DataFrame) -> Column:
+    """A record as one JSON object: keys sorted, nulls and non-ASCII kept."""
 
     row = _sorted_fields(F.struct(*[F.col(c) for c in records.columns]), records.schema)
-    return records.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value"))
+    return F.to_json(row, {"ignoreNullFields": "false"})
+
+
+def correction_lines(records: DataFrame) -> DataFrame:
+    """(value): the log line of every record."""
+
+    return records.select(json_line(records).alias("value"))
 
 
 def append_corrections(records: DataFrame, path: str) -> None:
