@@ -1,4 +1,4 @@
-"""Connected components of an edge table by repeated minimum and pointer jumping."""
+"""Connected components of an edge table by hooking and pointer jumping."""
 
 from __future__ import annotations
 
@@ -11,36 +11,38 @@ from glyphloom.session import cut_lineage
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node id reachable over undirected ``edges(src, dst)``.
 
-    Every round takes the least label among the neighbours (a partial aggregation)
-    and then follows the label's own label, so the number of rounds grows with the
-    logarithm of a component's diameter. Nodes without edges take no part in it.
+    Every node points at another node of its component. In a round each node looks at
+    its neighbours' pointers two steps on; the least of them moves the node itself
+    and also the node it points at, so whole trees are joined at their roots. Rounds
+    grow with the logarithm of a component's size, and every step is a partial
+    aggregation or an equi-join. Nodes without edges take no part.
     """
 
     undirected = cut_lineage(
-        edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        edges.select("src", "dst")
+        .unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         .filter("src <> dst")
-        .distinct()
     )
-    labels = undirected.groupBy(F.col("src").alias("node")).agg(
-        F.least(F.min("dst"), F.col("src")).alias("label")
-    )
-    labels = cut_lineage(labels)
+    pointers = undirected.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("at"))
+    pointers = cut_lineage(pointers)
     while True:
-        at_neighbour = labels.select(F.col("node").alias("dst"), F.col("label").alias("other"))
-        least = undirected.join(at_neighbour, "dst").groupBy(F.col("src").alias("node")).agg(
-            F.min("other").alias("other")
-        )
-        stepped = labels.join(least, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "other").alias("label")
+        next_step = pointers.select(F.col("node").alias("at"), F.col("at").alias("further"))
+        two_steps = pointers.join(next_step, "at")
+        seen = (
+            undirected.join(two_steps.select(F.col("node").alias("dst"), "further"), "dst")
+            .groupBy(F.col("src").alias("node"))
+            .agg(F.min("further").alias("least_seen"))
         )
-        jump = stepped.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        looked = two_steps.join(seen, "node")
+        hooks = looked.groupBy(F.col("at").alias("node")).agg(F.min("least_seen").alias("hook"))
         moved = cut_lineage(
-            stepped.join(jump, "label", "left").select(
-                "node", "old", F.least(F.col("label"), F.coalesce("further", "label")).alias("label")
+            looked.join(hooks, "node", "left").select(
+                "node", F.col("at").alias("was"),
+                F.least("at", "further", "least_seen", F.coalesce("hook", "at")).alias("at"),
             )
         )
-        if moved.filter("label < old").isEmpty():
+        if moved.filter("at < was").isEmpty():
             break
-        labels = moved.select("node", "label")
-    found = moved.select("node", F.col("label").alias("component"))
+        pointers = moved.select("node", "at")
+    found = moved.select("node", F.col("at").alias("component"))
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -400,7 +400,7 @@ def ingest_gate(spark: SparkSession, root: str) -> DataFrame:
         bx AS (SELECT page_id, rec, i, CAST((rec % 7) * 8 + i * 11 AS INTEGER) AS x0, CAST((i - 1) * 5 AS INTEGER) AS y0, CAST(12 + rec % 40 AS INTEGER) AS w, CAST(4 + rec % 9 AS INTEGER) AS h
           FROM it, (VALUES (1), (2), (3)) v(i))
         SELECT CAST(65 + rec % 26 AS INTEGER) AS code, printf('%05d_%02d', rec, i) AS name, count(*) AS pixels, CAST(sum(y - y0) AS BIGINT) AS sum_y, CAST(sum(x - x0) AS BIGINT) AS sum_x
-        FROM bx JOIN word_ink k ON k.page_id = bx.page_id AND x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h GROUP BY 1, 2""",
+        FROM bx JOIN word_ink k ON k.page_id = bx.page_id AND x >= x0 AND x < x0 + bx.w AND y >= y0 AND y < y0 + bx.h GROUP BY 1, 2""",
     ).replace("\n, b AS (SELECT page_id, row_number() OVER () AS rn FROM (SELECT 1 AS page_id)),\n        it AS", ",\nit AS"),
 )
 def crop_extraction(spark: SparkSession, root: str) -> DataFrame:

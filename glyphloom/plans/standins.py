@@ -384,7 +384,7 @@ def stroke_regions(spark: SparkSession, root: str) -> DataFrame:
         (F.col("p_partkey") % 6).alias("shape"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("y"),
     )
     w, y, shape = F.col("width"), F.col("y"), F.col("shape")
-    bulge = F.floor((y - 20) * (y - 20) * (w - 2) / 500).cast("int")
+    bulge = F.floor((y - 20) * (y - 20) * (w - 2) / 1240).cast("int")
     a = (
         F.when(shape == 0, F.floor(w / 2))
         .when(shape == 1, F.when(y < 6, 0).otherwise(w - 2))
@@ -558,7 +558,7 @@ _sql(
     """SELECT DISTINCT region_id, width, 40 AS height, y, unnest(generate_series(a, b)) AS x FROM (
     SELECT *, CASE WHEN (shape = 1 AND y < 6) OR (shape = 4 AND y >= 18 AND y < 22) THEN width - 1 ELSE a + 1 END AS b FROM (
     SELECT *, CASE shape WHEN 0 THEN width // 2 WHEN 1 THEN CASE WHEN y < 6 THEN 0 ELSE width - 2 END
-      WHEN 2 THEN ((y - 20) * (y - 20) * (width - 2)) // 500 WHEN 3 THEN width - 2 - ((y - 20) * (y - 20) * (width - 2)) // 500
+      WHEN 2 THEN ((y - 20) * (y - 20) * (width - 2)) // 1240 WHEN 3 THEN width - 2 - ((y - 20) * (y - 20) * (width - 2)) // 1240
       WHEN 4 THEN CASE WHEN y >= 18 AND y < 22 THEN 0 WHEN y < 18 THEN (width * (18 - y)) // 36 ELSE width - 2 END
       ELSE width // 2 END AS a FROM (
     SELECT p_partkey AS region_id, 10 + p_size % 24 AS width, p_partkey % 6 AS shape, y FROM part, range(0, 40) r(y)))

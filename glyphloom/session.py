@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,11 +49,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or configured
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path inside the shared checkpoint folder."""
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/glyphloom-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
-    Reliable, so a lost executor costs a re-read and not the whole iteration.
+    A lost executor then costs a re-read and not the whole iteration, and later
+    joins plan with the table's real size.
     """
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
