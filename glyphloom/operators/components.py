@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from glyphloom.session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node id reachable over undirected ``edges(src, dst)``.
+def connected_components(nodes: DataFrame, edges: DataFrame, within: list[str]) -> DataFrame:
+    """``nodes`` with ``component``: the least node number reachable over ``edges(src, dst)``.
 
+    Node numbers are longs, unique per ``within`` (a page); edges stay inside it.
     Every node points at another node of its component. In a round each node looks at
     its neighbours' pointers two steps on; the least of them moves the node itself
     and also the node it points at, so whole trees are joined at their roots. Rounds
@@ -19,30 +20,31 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
 
     undirected = cut_lineage(
-        edges.select("src", "dst")
-        .unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        edges.select(*within, "src", "dst")
+        .unionByName(edges.select(*within, F.col("dst").alias("src"), F.col("src").alias("dst")))
         .filter("src <> dst")
     )
-    pointers = undirected.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("at"))
-    pointers = cut_lineage(pointers)
+    pointers = cut_lineage(
+        undirected.groupBy(*within, F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("at"))
+    )
     while True:
-        next_step = pointers.select(F.col("node").alias("at"), F.col("at").alias("further"))
-        two_steps = pointers.join(next_step, "at")
+        next_step = pointers.select(*within, F.col("node").alias("at"), F.col("at").alias("further"))
+        two_steps = pointers.join(next_step, [*within, "at"])
         seen = (
-            undirected.join(two_steps.select(F.col("node").alias("dst"), "further"), "dst")
-            .groupBy(F.col("src").alias("node"))
+            undirected.join(two_steps.select(*within, F.col("node").alias("dst"), "further"), [*within, "dst"])
+            .groupBy(*within, F.col("src").alias("node"))
             .agg(F.min("further").alias("least_seen"))
         )
-        looked = two_steps.join(seen, "node")
-        hooks = looked.groupBy(F.col("at").alias("node")).agg(F.min("least_seen").alias("hook"))
+        looked = two_steps.join(seen, [*within, "node"])
+        hooks = looked.groupBy(*within, F.col("at").alias("node")).agg(F.min("least_seen").alias("hook"))
         moved = cut_lineage(
-            looked.join(hooks, "node", "left").select(
-                "node", F.col("at").alias("was"),
+            looked.join(hooks, [*within, "node"], "left").select(
+                *within, "node", F.col("at").alias("was"),
                 F.least("at", "further", "least_seen", F.coalesce("hook", "at")).alias("at"),
             )
         )
         if moved.filter("at < was").isEmpty():
             break
-        pointers = moved.select("node", "at")
-    found = moved.select("node", F.col("at").alias("component"))
-    return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pointers = moved.select(*within, "node", "at")
+    found = moved.select(*within, "node", F.col("at").alias("component"))
+    return nodes.join(found, [*within, "node"], "left").withColumn("component", F.coalesce("component", "node"))

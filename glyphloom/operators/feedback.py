@@ -14,6 +14,7 @@ from glyphloom.functions.labels import (
     characters,
 )
 from glyphloom.functions.text import box_aligned_label, strip
+from glyphloom.session import cut_lineage
 
 BOX = "struct<x:double,y:double,width:double,height:double,row:int>"
 BOX_LIST = f"array<struct<original_label:string,bbox:{BOX}>>"
@@ -203,8 +204,8 @@ def validate_corrections(forms: DataFrame, practice_labels: str = PRIORITY_LABEL
 def with_source_image(corrections: DataFrame, uploads: DataFrame, image_id: str = "image_id") -> DataFrame:
     """Records whose source image is stored."""
 
-    present = uploads.select(image_id).distinct()
-    return corrections.filter(F.coalesce(F.col(image_id), F.lit("")) != "").join(present, image_id, "left_semi")
+    named = corrections.filter(F.coalesce(F.col(image_id), F.lit("")) != "")
+    return named.join(uploads.select(image_id), image_id, "left_semi")
 
 
 def replay_cases(corrections: DataFrame, uploads: DataFrame) -> DataFrame:
@@ -364,16 +365,20 @@ def default_recognizers(priority: str = PRIORITY_LABELS) -> dict[str, str]:
 def coverage_rows(counts: DataFrame, priority: DataFrame, target: int = TARGET_PER_LABEL) -> DataFrame:
     """Count, need and readiness of every priority label, one recognizer at a time.
 
-    ``counts`` holds (recognizer, label, count); both sides are vocabulary sized.
+    ``counts`` holds (recognizer, label, count). The result has a row per priority
+    label; it is written once, so that the reports, which read it several times, do
+    not scan the corrections again.
     """
 
     joined = priority.join(counts, ["recognizer", "label"], "left")
     n = F.coalesce(F.col("count"), F.lit(0)).cast("long")
-    return joined.select(
-        "recognizer", "recognizer_pos", "label", "rank",
-        n.alias("count"),
-        F.greatest(F.lit(target) - n, F.lit(0)).alias("needed"),
-        (n >= target).alias("ready"),
+    return cut_lineage(
+        joined.select(
+            "recognizer", "recognizer_pos", "label", "rank",
+            n.alias("count"),
+            F.greatest(F.lit(target) - n, F.lit(0)).alias("needed"),
+            (n >= target).alias("ready"),
+        )
     )
 
 
@@ -508,8 +513,9 @@ def readiness_rollup(rows: DataFrame, item_counts: DataFrame, target: int = TARG
         F.coalesce(F.sum("target"), F.lit(0)).alias("batch_target_samples"),
         F.coalesce(F.sum("needed"), F.lit(0)).alias("batch_needed_samples"),
     )
-    # Both sides are one row by construction (global aggregates).
-    both = overall.withColumn("_one", F.lit(1)).join(batch.withColumn("_one", F.lit(1)), "_one")
+    # Two one-row tables with different columns become one row.
+    parts = overall.unionByName(batch, allowMissingColumns=True)
+    both = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
     return both.select(
         "character_crops", "folded_items", "mixedcase_items", "ready",
         F.when(F.col("ready"), "train_corrections").otherwise("collect_corrections").alias("recommended_action"),

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphloom.operators.components import connected_components
+from glyphloom.session import cut_lineage
 
 # --- fixed values: ink threshold, normalization, component limits -------------------
 INK_FLOOR = 0.18
@@ -119,10 +120,12 @@ def _tiles(lo: Column, hi: Column) -> Column:
 
 
 def label_runs(runs: DataFrame, page: str = "page_id") -> DataFrame:
-    """Runs with their 4-neighbour component; touching runs meet through tiles."""
+    """Runs with their 4-neighbour component; touching runs meet through tiles.
 
-    node = F.concat_ws(":", F.col(page).cast("string"), F.format_string("%08d", "y"), F.format_string("%08d", "xa"))
-    nodes = runs.withColumn("node", node)
+    A run's number on its page is its row and first column.
+    """
+
+    nodes = cut_lineage(runs.withColumn("node", F.shiftleft(F.col("y").cast("long"), 32) + F.col("xa")))
     tiled = nodes.withColumn("_tile", F.explode(_tiles(F.col("xa"), F.col("xb"))))
     upper = tiled.select(page, (F.col("y") + 1).alias("y"), "_tile", F.col("node").alias("src"),
                          F.col("xa").alias("ua"), F.col("xb").alias("ub"))
@@ -130,8 +133,8 @@ def label_runs(runs: DataFrame, page: str = "page_id") -> DataFrame:
     touching = (F.col("ua") <= F.col("xb")) & (F.col("xa") <= F.col("ub"))
     # Two runs meet in the tile of their overlap's first column, once.
     first_tile = F.floor(F.greatest("ua", "xa") / TILE) == F.col("_tile")
-    edges = upper.join(lower, [page, "y", "_tile"]).filter(touching & first_tile).select("src", "dst")
-    return connected_components(nodes, edges)
+    edges = upper.join(lower, [page, "y", "_tile"]).filter(touching & first_tile).select(page, "src", "dst")
+    return connected_components(nodes, edges, [page])
 
 
 def component_boxes(
@@ -148,13 +151,13 @@ def component_boxes(
     Pages with less than 20 ink pixels have no components at all.
     """
 
-    runs = horizontal_runs(ink, page)
+    runs = cut_lineage(horizontal_runs(ink, page))
     inked = runs.groupBy(page).agg(F.sum(F.col("xb") - F.col("xa") + 1).alias("_ink")).filter(
         F.col("_ink") >= min_page_ink
     )
     runs = runs.join(inked.select(page), page, "left_semi")
-    grown = label_runs(dilate_runs(runs, page, dilation) if dilation else runs, page)
-    whole = grown.groupBy("component").agg(F.sum(F.col("xb") - F.col("xa") + 1).alias("_grown"))
+    grown = cut_lineage(label_runs(dilate_runs(runs, page, dilation) if dilation else runs, page))
+    whole = grown.groupBy(page, "component").agg(F.sum(F.col("xb") - F.col("xa") + 1).alias("_grown"))
     tiled_grown = grown.select(
         page, "y", "component", F.col("xa").alias("ga"), F.col("xb").alias("gb"),
         F.explode(_tiles(F.col("xa"), F.col("xb"))).alias("_tile"),
@@ -172,7 +175,7 @@ def component_boxes(
     )
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     return (
-        boxes.join(whole, "component")
+        boxes.join(whole, [page, "component"])
         .filter((F.col("pixels") >= min_pixels) & (F.col("_grown") >= min_pixels) & (area >= min_box_area))
         .drop("_grown")
     )

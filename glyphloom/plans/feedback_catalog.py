@@ -12,6 +12,7 @@ from glyphloom.operators import quality
 from glyphloom.plans import standins as T
 from glyphloom.plans.registry import query, rounded
 from glyphloom.plans.standins import with_ctes
+from glyphloom.session import cut_lineage
 from glyphloom.sources import feedback_log, folders, manifests, strokes
 
 VOCABULARIES = {"character": L.CHARACTER_LABELS, "folded_alnum": L.FOLDED_LABELS, "mixedcase": L.MIXED_LABELS}
@@ -261,7 +262,7 @@ def item_counts(spark: SparkSession, root: str) -> DataFrame:
     ).replace("\n, ic AS", ",\nic AS"),
 )
 def readiness_rollup(spark: SparkSession, root: str) -> DataFrame:
-    counts = recognizer_counts(spark, root)
+    counts = cut_lineage(recognizer_counts(spark, root))
     rows = B.coverage_rows(counts, B.priority_table(spark, B.default_recognizers()), TARGET)
     out = B.readiness_rollup(rows, counts.groupBy("recognizer").agg(F.sum("count").alias("items")), TARGET)
     return out.withColumn("batch_coverage_percent", rounded("batch_coverage_percent"))

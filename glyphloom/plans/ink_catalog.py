@@ -158,7 +158,7 @@ def best_vertical_cut(spark: SparkSession, root: str) -> DataFrame:
     windows = boxes.select(
         "page_id", "box_id", "width", "y0", "y1", (F.col("x0") - 2).alias("lo"), (F.col("x1") + 2).alias("hi")
     )
-    return Y.best_cuts(windows, T.word_ink(spark, root), key="box_id").select("page_id", "box_id", "cut")
+    return Y.best_cuts(windows, T.word_ink(spark, root), ["box_id"]).select("page_id", "box_id", "cut")
 
 
 def banner_boxes(spark: SparkSession, root: str) -> DataFrame:

@@ -14,6 +14,7 @@ IMAGE_SUFFIXES = ["bmp", "jpeg", "jpg", "png", "tif", "tiff", "webp"]
 HEX_ROOT = "by_class"
 HEX_SAMPLES_PER_CLASS = 1200
 REPORTED_BAD_FOLDERS = 8
+MAX_CODE_POINT = 0x10FFFF
 
 # A chosen set up to this many paths is read by name; the default draw is 62 x 1200.
 MAX_NAMED_PATHS = 200_000
@@ -98,12 +99,12 @@ def code_folders(paths: DataFrame) -> DataFrame:
     """(path, rel, folder, code, label): ``65/x.png`` is ``A``; code is null on other folders."""
 
     folder = top_folder(F.col("rel"))
-    code = F.when(folder.rlike(r"^\d{1,7}$"), folder.try_cast("int"))
+    letter = F.decode(F.unhex(F.lpad(F.hex("code"), 8, "0")), "UTF-32")
     return (
         paths.withColumn("folder", folder)
         .filter("folder <> ''")
-        .withColumn("code", F.when(folder.rlike(r"^\d+$"), code))
-        .withColumn("label", F.when(F.col("code").between(1, 127), F.chr(F.col("code"))))
+        .withColumn("code", F.when(F.col("folder").rlike(r"^\d{1,9}$"), F.col("folder").try_cast("int")))
+        .withColumn("label", F.when(F.col("code").between(1, MAX_CODE_POINT), letter))
     )
 
 
@@ -123,7 +124,7 @@ def base_code_samples(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
         "idx", (F.dense_rank().over(W.orderBy("code")) - 1).cast("int")
     )
     samples = coded.filter(_direct_png(F.col("rel"))).join(
-        F.broadcast(vocab.select("code", F.col("idx").alias("target"))), "code"
+        vocab.select("code", F.col("idx").alias("target")), "code"
     )
     return samples.select("path", "label", "target"), vocab.select("idx", "label")
 

@@ -26,7 +26,7 @@ def write(root, *names, data=b"x"):
 
 
 def test_labelled_folder(spark, tmp_path):
-    root = write(tmp_path, "A/x.png", "a2/x.png" if False else "b/deep/y.JPG", "0/z.bmp", "A/notes.txt", "loose.png")
+    root = write(tmp_path, "A/x.png", "b/deep/y.JPG", "0/z.bmp", "A/notes.txt", "loose.png")
     out = folders.load_labelled_folder(spark, root, L.vocabulary(spark, L.FOLDED_LABELS))
     assert sorted((r.label_folder, r.target) for r in out.collect()) == [("0", 0), ("A", 10), ("b", 11)]
 
