@@ -32,6 +32,8 @@ TOO_LONG = "Correction is too long."
 PRACTICE_MALFORMED = "Practice correction is malformed."
 PRACTICE_LABEL = "Practice corrections must use a practice label."
 UNALIGNED = "Whole-result corrections must match the detected character count."
+MAX_API_BODY = 16_384
+MAX_FORM_BODY = 8 * 1024 * 1024 + 16_384
 MAX_SEQUENCE = 255
 MAX_BOXES = 255
 MIN_CORRECTIONS = 10
@@ -66,11 +68,21 @@ def form_field(pairs: Column, name: str) -> Column:
     return F.get(found, F.size(found) - 1)["value"]
 
 
-def decode_forms(df: DataFrame, body: str = "body", fields: list[str] = FORM_FIELDS) -> DataFrame:
-    """One column per form field; ``form_ok`` is false where a pair has no ``=``."""
+def decode_forms(
+    df: DataFrame, body: str = "body", fields: list[str] = FORM_FIELDS, max_body: int = MAX_FORM_BODY
+) -> DataFrame:
+    """One column per form field.
 
+    ``form_ok`` is false for an empty or too long body and where a pair has no ``=``.
+    The form route takes an image with the body, the API route (MAX_API_BODY) does not.
+    """
+
+    length = F.octet_length(body)
     paired = df.withColumn("_pairs", form_pairs(F.col(body)))
-    paired = paired.withColumn("form_ok", F.forall("_pairs", lambda p: p["value"].isNotNull()))
+    paired = paired.withColumn(
+        "form_ok",
+        (length > 0) & (length <= max_body) & F.forall("_pairs", lambda p: p["value"].isNotNull()),
+    )
     for name in fields:
         paired = paired.withColumn(name, form_field(F.col("_pairs"), name))
     return paired.drop("_pairs")

@@ -18,7 +18,7 @@ from glyphloom.session import cut_lineage
 # --- fixed values: ink threshold, normalization, component limits -------------------
 INK_FLOOR = 0.18
 BRIGHT_BORDER = 0.5
-MEAN_STD = {"digits": (0.1307, 0.3081), "characters": (0.173, 0.331)}
+MEAN_STD = {"digits": (0.1307, 0.3081), "letters": (0.1736, 0.3248), "characters": (0.173, 0.331)}
 MIN_PAGE_INK = 20
 MIN_COMPONENT_PIXELS = 12
 MIN_BOX_AREA = 20

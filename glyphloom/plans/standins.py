@@ -26,6 +26,18 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The table over all cores, for inputs whose rows expand a lot.
+
+    A table of fewer files than cores is scanned by a few tasks, which would then do
+    all of the expansion. One of many files is left as it is read.
+    """
+
+    df = table(spark, root, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 # ---------------------------------------------------------------- glyph samples
 
 
@@ -60,7 +72,7 @@ def scored_labels(spark: SparkSession, root: str) -> DataFrame:
 def score_vectors(spark: SparkSession, root: str, size: int) -> DataFrame:
     """(sample_id, target, scores): the first ``size`` numbers of a vector, times ten."""
 
-    return table(spark, root, "embeddings").select(
+    return spread(spark, root, "embeddings").select(
         F.col("vec_id").alias("sample_id"), F.col("label").alias("target"),
         F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, size), lambda v: v * 10).alias("scores"),
     )
@@ -73,7 +85,7 @@ def words(spark: SparkSession, root: str) -> DataFrame:
     """(conv_id, turn, page_id, row, word): every word of every turn."""
 
     return (
-        table(spark, root, "conversations")
+        spread(spark, root, "conversations")
         .select(
             "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("page_id"),
             F.posexplode(F.split(F.translate("text", "\n", " "), " ")).alias("_r", "word"),
@@ -154,7 +166,7 @@ def text_rows(spark: SparkSession, root: str) -> DataFrame:
         ),
         lines,
     )
-    return table(spark, root, "documents").select(
+    return spread(spark, root, "documents").select(
         F.col("doc_id").alias("page_id"), F.posexplode(rows).alias("_r", "text")
     ).select("page_id", (F.col("_r") + 1).alias("row"), "text")
 
@@ -165,7 +177,7 @@ def text_rows(spark: SparkSession, root: str) -> DataFrame:
 def feedback_events(spark: SparkSession, root: str) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     return (
-        table(spark, root, "events")
+        spread(spark, root, "events")
         .select("event_id", "user_id", F.col("user_id").cast("string").alias("uid"), k.alias("k"))
         .withColumn("kind_sel", F.col("event_id") % 6)
         .withColumn("c1", F.chr(33 + F.col("k") % 94))
@@ -248,7 +260,7 @@ def form_bodies(spark: SparkSession, root: str) -> DataFrame:
     tails = F.array(*[F.lit(tail) for _, tail in FORM_TAILS])
     image = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("practice-"), "user_id")).otherwise(F.col("user_id").cast("string"))
     again = F.when(F.col("event_id") % 5 == 0, "&filename=second+file.png").otherwise("")
-    return table(spark, root, "events").select(
+    return spread(spark, root, "events").select(
         "event_id",
         F.concat(
             F.lit("filename=first.png&correction_kind="), F.get(kinds, fault), F.lit("&image_id="), image,
@@ -297,7 +309,7 @@ def metric_history(spark: SparkSession, root: str) -> DataFrame:
 def word_ink(spark: SparkSession, root: str) -> DataFrame:
     """(page_id, y, x): each word a connected mark of 1 to 3 pixels height, lines 10 apart."""
 
-    lines = table(spark, root, "conversations").select(
+    lines = spread(spark, root, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "text")
     )
     tokens = lines.select("page_id", "line", F.posexplode(F.split("text", " ")).alias("w", "word")).filter("word <> ''")
@@ -323,7 +335,7 @@ def word_boxes(spark: SparkSession, root: str) -> DataFrame:
 def banner_ink(spark: SparkSession, root: str) -> DataFrame:
     """(page_id, y, x): supplier names as tall touching glyphs, zeros as thin bridges."""
 
-    chars = table(spark, root, "supplier").select(
+    chars = spread(spark, root, "supplier").select(
         F.col("s_suppkey").alias("page_id"), F.posexplode(F.split("s_name", "")).alias("i", "ch")
     ).filter("ch <> ''")
     columns = chars.select("page_id", "i", "ch", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("dx"))
@@ -345,7 +357,7 @@ def scattered_boxes(spark: SparkSession, root: str) -> DataFrame:
     x0 = i % 10 * 30 + key % 7
     y0 = F.floor(i / 10) * 70 + key * 3 % 25 + 10
     return as_ints(
-        table(spark, root, "part").select(
+        spread(spark, root, "part").select(
             F.floor(key / 20).alias("page_id"), key.alias("box_id"), x0.alias("x0"), y0.alias("y0"),
             (x0 + w).alias("x1"), (y0 + h).alias("y1"),
         ),
@@ -379,7 +391,7 @@ def grid_pixels(spark: SparkSession, root: str) -> DataFrame:
 def stroke_regions(spark: SparkSession, root: str) -> DataFrame:
     """(region_id, width, height, y, x): one simple stroke shape per part, 40 pixels high."""
 
-    rows = table(spark, root, "part").select(
+    rows = spread(spark, root, "part").select(
         F.col("p_partkey").alias("region_id"), (10 + F.col("p_size") % 24).alias("width"), F.lit(40).alias("height"),
         (F.col("p_partkey") % 6).alias("shape"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("y"),
     )

@@ -67,6 +67,13 @@ def test_feedback_validation(spark):
     assert [b.bbox.x for b in out[4].prediction_boxes] == [0.0, 1.0, 2.0, 3.0]
 
 
+def test_body_limits(spark):
+    df = spark.createDataFrame([("a=" + "x" * 16_384,), ("",), ("a=1",)], "body string")
+    flags = lambda **k: [r.form_ok for r in B.decode_forms(df, **k).collect()]
+    assert flags(max_body=B.MAX_API_BODY) == [False, False, True]
+    assert flags() == [True, False, True]
+
+
 def test_log_round_trip(spark, tmp_path):
     out = B.validate_corrections(B.decode_forms(spark.createDataFrame(
         [(f"image_id=é1&prediction_index=1&corrected_label=%C3%A9&bbox={BOX}",), (f"image_id=b&prediction_index=1&corrected_label=b&bbox={BOX}",)], "body string")))
