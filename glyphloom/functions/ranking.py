@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphloom.session import cut_lineage
+
 # Up to this rank Spark limits each partition of a ranking window before the shuffle.
 _PRE_SHUFFLE_LIMIT = 1000
 
@@ -66,6 +68,29 @@ def hashed_rank(
     )
 
 
+def _at_cuts(df: DataFrame, keys: list[str], hash_column: Column, take: Column, digits: int) -> DataFrame:
+    """Rows with the bucket their group is cut in (``_cut``) and what is left to take there.
+
+    The cuts are one row per group. They are written first, so that the join plans
+    with their real size: a broadcast as long as they are small, a shuffle beyond.
+    """
+
+    hashed = _with_bucket(df, hash_column, digits)
+    offsets = _bucket_offsets(hashed, keys).withColumn("_take", take)
+    at = offsets.filter((F.col("_before") < F.col("_take")) & (F.col("_take") <= F.col("_before") + F.col("_in_bucket")))
+    cuts = cut_lineage(at.select(*keys, F.col("_bucket").alias("_cut"), (F.col("_take") - F.col("_before")).alias("_left")))
+    return hashed.join(cuts, keys, "left")
+
+
+def _taken_at_cut(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    inside = W.partitionBy(*keys).orderBy("_hash", tie)
+    cut = rows.filter(F.col("_bucket") == F.col("_cut"))
+    return cut.withColumn("is_head", F.row_number().over(inside) <= F.col("_left"))
+
+
+_HELPERS = ["_hash", "_bucket", "_cut", "_left"]
+
+
 def hashed_head(
     df: DataFrame, keys: list[str], hash_column: Column, tie: str, take: Column, digits: int = 3
 ) -> DataFrame:
@@ -75,17 +100,10 @@ def hashed_head(
     is shuffled and sorted; every other row is decided where it is read.
     """
 
-    hashed = _with_bucket(df, hash_column, digits)
-    joined = hashed.join(_bucket_offsets(hashed, keys), [*keys, "_bucket"]).withColumn("_take", take)
-    all_in = F.col("_before") + F.col("_in_bucket") <= F.col("_take")
-    all_out = F.col("_before") >= F.col("_take")
-    decided = joined.filter(all_in | all_out).withColumn("is_head", F.coalesce(all_in, F.lit(False)))
-    inside = W.partitionBy(*keys, "_bucket").orderBy("_hash", tie)
-    split = joined.filter(~(all_in | all_out)).withColumn(
-        "is_head", F.col("_before") + F.row_number().over(inside) <= F.col("_take")
-    )
-    drop = ["_hash", "_bucket", "_in_bucket", "_before", "_group_rows", "_take"]
-    return decided.unionByName(split).drop(*drop)
+    rows = _at_cuts(df, keys, hash_column, take, digits)
+    elsewhere = rows.filter(~F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False)))
+    decided = elsewhere.withColumn("is_head", F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False)))
+    return decided.unionByName(_taken_at_cut(rows, keys, tie)).drop(*_HELPERS)
 
 
 def hashed_top(
@@ -93,17 +111,13 @@ def hashed_top(
 ) -> DataFrame:
     """The first ``n`` rows of each group in hash order; smaller groups stay whole.
 
-    Buckets that start past ``n`` are dropped before anything is sorted.
+    Rows beyond a group's cut are dropped where they are read.
     """
 
-    hashed = _with_bucket(df, hash_column, digits)
-    joined = hashed.join(_bucket_offsets(hashed, keys), [*keys, "_bucket"]).filter(F.col("_before") < n)
-    inside = W.partitionBy(*keys, "_bucket").orderBy("_hash", tie)
-    return (
-        joined.withColumn("_rank", F.col("_before") + F.row_number().over(inside))
-        .filter(F.col("_rank") <= n)
-        .drop("_hash", "_bucket", "_in_bucket", "_before", "_group_rows", "_rank")
-    )
+    rows = _at_cuts(df, keys, hash_column, F.least(F.lit(n), F.col("_group_rows")), digits)
+    before = rows.filter(F.col("_bucket") < F.col("_cut"))
+    at_cut = _taken_at_cut(rows, keys, tie).filter("is_head").drop("is_head")
+    return before.unionByName(at_cut).drop(*_HELPERS)
 
 
 def hash_number(hash_column: Column, digits: int = 8) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions.labels import fold_target, is_alnum, is_alpha, is_digit, is_lower, is_upper
 from glyphloom.functions.ranking import first_n, hash_number, hashed_head, hashed_rank, hashed_top, seeded_hash
+from glyphloom.session import cut_lineage
 
 # --- fixed values -------------------------------------------------------------------
 VALIDATION_PERCENT = 15
@@ -160,9 +161,13 @@ def class_counts(samples: DataFrame, label: str = "target") -> DataFrame:
 
 
 def sample_weights(samples: DataFrame, label: str = "target") -> DataFrame:
-    """Each row's inverse class frequency; the class table is one row per label."""
+    """Each row's inverse class frequency.
 
-    return samples.join(class_counts(samples, label), label).withColumn(
+    The class table, one row per label, is written first: the join then knows its size
+    and need not shuffle the samples.
+    """
+
+    return samples.join(cut_lineage(class_counts(samples, label)), label).withColumn(
         "weight", 1.0 / F.greatest(F.col("class_rows"), F.lit(1))
     )
 
@@ -175,7 +180,7 @@ def weighted_draw(samples: DataFrame, seed: int, label: str = "target", id: str
     makes it an equi-join: no cumulative weights, no range join.
     """
 
-    counts = class_counts(samples, label)
+    counts = cut_lineage(class_counts(samples, label))
     classes = counts.agg(F.count("*")).scalar()
     # One row per class, so numbering them needs no partitioning.
     numbered = counts.withColumn("_slot", F.row_number().over(W.orderBy(label)) - 1)

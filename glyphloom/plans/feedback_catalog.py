@@ -249,13 +249,13 @@ def item_counts(spark: SparkSession, root: str) -> DataFrame:
     _report(
         _ITEM_COUNTS
         + """, s AS (SELECT recognizer, any_value(pos) AS pos, bool_and(ready) AS ready, count(*) FILTER (NOT ready) AS nr, greatest(count(*) * 80 - sum(count), 0) AS need FROM cov GROUP BY 1),
-        b AS (SELECT string_agg(label, '' ORDER BY qr) AS batch_labels, count(*) AS batch_size, CAST(sum(count) AS BIGINT) AS bs, CAST(sum(needed) AS BIGINT) AS bn FROM que WHERE pos = 0 AND qr <= 8)
+        b AS (SELECT coalesce(string_agg(label, '' ORDER BY qr), '') AS batch_labels, count(*) AS batch_size, coalesce(CAST(sum(count) AS BIGINT), 0) AS bs, coalesce(CAST(sum(needed) AS BIGINT), 0) AS bn FROM que WHERE pos = 0 AND qr <= 8)
         SELECT (SELECT items FROM ic WHERE recognizer = 'character') AS character_crops, (SELECT items FROM ic WHERE recognizer = 'folded_alnum') AS folded_items,
         (SELECT items FROM ic WHERE recognizer = 'mixedcase') AS mixedcase_items, (SELECT bool_and(ready) FROM s) AS ready,
         CASE WHEN (SELECT bool_and(ready) FROM s) THEN 'train_corrections' ELSE 'collect_corrections' END AS recommended_action,
         (SELECT label FROM que WHERE qr = 1 ORDER BY pos LIMIT 1) AS recommended_label, batch_labels, batch_size,
         (SELECT nr FROM s WHERE pos = 0) AS not_ready_label_count, bs AS batch_samples, batch_size * 80 AS batch_target_samples, bn AS batch_needed_samples,
-        round(100.0::DOUBLE * bs / (batch_size * 80), 6) AS batch_coverage_percent,
+        CASE WHEN batch_size = 0 THEN 100.0 ELSE round(100.0::DOUBLE * bs / (batch_size * 80), 6) END::DOUBLE AS batch_coverage_percent,
         CASE WHEN (SELECT bool_and(ready) FROM s) THEN '' ELSE 'Need ' || (SELECT CAST(need AS BIGINT) FROM s WHERE pos = 0) || ' more labeled samples across '
           || (SELECT nr FROM s WHERE pos = 0) || ' labels before training.' END AS training_blocked_reason FROM b""",
         TARGET,

@@ -167,7 +167,30 @@ def banner_boxes(spark: SparkSession, root: str) -> DataFrame:
     ).withColumns({"box_id": F.col("page_id"), "width": F.lit(400), "height": F.lit(64)})
 
 
-@query("v04_wide_box_split")
+# A banner has one stroke per column from y = 4 down, so columns with heights say it all.
+@query(
+    "v04_wide_box_split",
+    with_ctes(
+        ["banner_columns"],
+        """, b AS (SELECT page_id, min(x) AS x0, max(x) + 1 AS x1, max(n) AS h FROM banner_columns GROUP BY 1),
+        s AS (SELECT *, x1 - x0 AS w, CASE WHEN h > 20 AND (x1 - x0) / h::DOUBLE >= 1.45
+          THEN least(4, greatest(1, CAST(round_even((x1 - x0) / (h * 0.62::DOUBLE), 0) AS INTEGER))) ELSE 1 END AS pieces FROM b),
+        k AS (SELECT *, x0 + floor(w * part / pieces::DOUBLE) AS e, greatest(12, floor(w / pieces::DOUBLE * 0.35)) AS r FROM s, range(1, 4) p(part) WHERE part < pieces),
+        d AS (SELECT k.page_id, part, e - r AS lo, e + r AS hi, x, n FROM k JOIN banner_columns c ON c.page_id = k.page_id AND x >= e - r AND x < e + r),
+        m AS (SELECT *, sum(n) OVER (PARTITION BY page_id, part ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7.0::DOUBLE AS p FROM d),
+        q AS (SELECT *, min(p) OVER (PARTITION BY page_id, part) AS mn FROM m),
+        c AS (SELECT page_id, part, x FROM q WHERE p <= mn + 0.5 QUALIFY row_number() OVER (PARTITION BY page_id, part ORDER BY abs(x - lo - (hi - lo) / 2), x) = 1),
+        v AS (SELECT s.page_id, x0, x1, max(CASE WHEN part = 1 THEN x END) AS c1, max(CASE WHEN part = 2 THEN x END) AS c2, max(CASE WHEN part = 3 THEN x END) AS c3
+          FROM s LEFT JOIN c USING (page_id) GROUP BY 1, 2, 3),
+        g1 AS (SELECT *, CASE WHEN c1 - x0 > 8 AND x1 - c1 > 8 THEN c1 END AS e1 FROM v),
+        g2 AS (SELECT *, CASE WHEN c2 - coalesce(e1, x0) > 8 AND x1 - c2 > 8 THEN c2 END AS e2 FROM g1),
+        g3 AS (SELECT *, CASE WHEN c3 - coalesce(e2, e1, x0) > 8 AND x1 - c3 > 8 THEN c3 END AS e3 FROM g2),
+        l AS (SELECT page_id, list_filter([x0, e1, e2, e3, x1], lambda z: z IS NOT NULL) AS edges FROM g3),
+        t AS (SELECT page_id, edges[i] AS a, edges[i + 1] AS z, i FROM l, range(1, 5) r(i) WHERE i < len(edges))
+        SELECT t.page_id, t.page_id AS box_id, CAST(i - 1 AS INTEGER) AS piece, CAST(min(x) AS INTEGER) AS x0, 4 AS y0, CAST(max(x) + 1 AS INTEGER) AS x1, CAST(4 + max(n) AS INTEGER) AS y1
+        FROM t JOIN banner_columns k ON k.page_id = t.page_id AND x >= a AND x < z GROUP BY t.page_id, i HAVING sum(n) >= 12""",
+    ).replace("\n, b AS", ",\nb AS"),
+)
 def wide_box_split(spark: SparkSession, root: str) -> DataFrame:
     out = Y.split_wide_boxes(banner_boxes(spark, root), T.banner_ink(spark, root))
     return out.select("page_id", "box_id", "piece", "x0", "y0", "x1", "y1")

@@ -601,7 +601,12 @@ def loss_aggregates(spark: SparkSession, root: str) -> DataFrame:
 # ------------------------------------------------------------------ scorers
 
 
-@query("f01_pluggable_scorer")
+@query(
+    "f01_pluggable_scorer",
+    f"""WITH {_SCORES.format(n=10)}, p AS (SELECT sample_id, i, v, sum(exp(v)) OVER (PARTITION BY sample_id) AS z FROM s)
+    SELECT sample_id AS region_id, ['0','O','o','1','l','I','S','s','5','7'][i + 1] AS label, round(exp(v) / z, 6) AS confidence FROM p
+    QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY v DESC, i) = 1""",
+)
 def pluggable_scorer(spark: SparkSession, root: str) -> DataFrame:
     samples = T.glyph_samples(spark, root).select(F.col("sample_id").alias("region_id"), "vec")
     scored = scoring.score_vectors(samples, lambda block: block[:, :10] * 10.0)

@@ -578,3 +578,8 @@ _sql(
     UNION ALL SELECT p_partkey, 10 + p_size % 24, p_partkey % 6, y, 8 + p_size % 24, 9 + p_size % 24
       FROM part, range(0, 18) r(y) WHERE p_partkey % 6 = 4)""",
 )
+_sql(
+    "banner_columns",
+    """SELECT page_id, CAST(i * 12 + dx AS INTEGER) AS x, CASE WHEN ch = '0' AND i % 4 = 1 THEN 1 ELSE 24 + (ascii(ch) * 7 + dx * 5) % 12 END AS n FROM (
+    SELECT s_suppkey AS page_id, unnest(string_split(s_name, '')) AS ch, generate_subscripts(string_split(s_name, ''), 1) - 1 AS i FROM supplier), range(0, 12) r(dx)""",
+)
