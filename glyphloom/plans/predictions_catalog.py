@@ -265,7 +265,7 @@ def visible_predictions(spark: SparkSession, root: str) -> DataFrame:
 def _word_pages(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Every word as a page: character predictions and digit predictions."""
 
-    preds = T.predictions(spark, root, twins=True).withColumn(
+    preds = T.predictions(spark, root, "twins").withColumn(
         "page_id", F.concat_ws("/", "page_id", "row")
     ).withColumn("row", F.lit(1))
     keep = ["page_id", "row", "idx", "shown", "confidence"]
@@ -334,24 +334,78 @@ def _flat(preds: DataFrame) -> DataFrame:
     return preds.select("page_id", "row", "idx", "label", rounded("confidence").alias("confidence"), "x", "y", "width", "height")
 
 
-@query("j04_stem_dot_merge")
+_STEM = "a.label IN ('1', 'I', 'L', 'l', '|', '!') AND a.height >= 28 AND a.height / greatest(a.width, 1) >= 2.35"
+_REACH = "abs(b.x + b.width / 2 - a.x - a.width / 2) <= greatest(22.0, a.width * 1.5)"
+_LIMIT = "greatest(58.0, a.height * 0.55)"
+
+
+def _dot_sql(side: str, labels: list[str]) -> str:
+    members = ", ".join("'" + v.replace("'", "''") + "'" for v in labels)
+    return f"{side}.label IN ({members}) AND {side}.width <= 36 AND {side}.height <= 36"
+
+
+def _claims_sql(claimant: str, dot: str, fits: str, label: str, floor: float, exclusive: bool = False) -> str:
+    """Claims one claimant at a time: a recursive walk along each row with the dots used so far."""
+
+    free = "list_filter(k.dots, lambda z: NOT list_contains(rec.used, z))[1]"
+    pick = f"CASE WHEN list_contains(rec.used, k.s) THEN NULL ELSE {free} END" if exclusive else free
+    return with_ctes(
+        ["marked"],
+        f""", p AS (SELECT page_id, CAST(row AS INTEGER) AS row, idx, label, confidence, x, y, width, height FROM marked),
+        e AS (SELECT a.page_id, a.row, a.idx AS s, list(b.idx ORDER BY b.idx) AS dots FROM p a JOIN p b ON a.page_id = b.page_id AND a.row = b.row
+          AND a.idx <> b.idx AND {claimant} AND {dot} AND {fits} GROUP BY 1, 2, 3),
+        k AS (SELECT *, row_number() OVER (PARTITION BY page_id, row ORDER BY s) AS k FROM e),
+        rec AS (SELECT DISTINCT page_id, row, 0::BIGINT AS k, []::INTEGER[] AS used, NULL::INTEGER AS s, NULL::INTEGER AS d FROM k
+          UNION ALL SELECT page_id, row, k, CASE WHEN d IS NULL THEN used ELSE list_append(used, d) END, s, d FROM (
+            SELECT k.page_id, k.row, k.k, rec.used, k.s, {pick} AS d FROM rec JOIN k ON k.page_id = rec.page_id AND k.row = rec.row AND k.k = rec.k + 1)),
+        c AS (SELECT page_id, row, s, d FROM rec WHERE d IS NOT NULL)
+        SELECT p.page_id, p.row, p.idx, CASE WHEN c.d IS NULL THEN p.label ELSE '{label}' END AS label,
+        round(CASE WHEN c.d IS NULL THEN p.confidence ELSE greatest(p.confidence, q.confidence, {floor}) END::DOUBLE, 6) AS confidence,
+        CASE WHEN c.d IS NULL THEN p.x ELSE least(p.x, q.x) END AS x, CASE WHEN c.d IS NULL THEN p.y ELSE least(p.y, q.y) END AS y,
+        CASE WHEN c.d IS NULL THEN p.width ELSE greatest(p.x + p.width, q.x + q.width) - least(p.x, q.x) END AS width,
+        CASE WHEN c.d IS NULL THEN p.height ELSE greatest(p.y + p.height, q.y + q.height) - least(p.y, q.y) END AS height
+        FROM p LEFT JOIN c ON c.page_id = p.page_id AND c.row = p.row AND c.s = p.idx
+        LEFT JOIN p q ON q.page_id = c.page_id AND q.row = c.row AND q.idx = c.d
+        WHERE NOT EXISTS (SELECT 1 FROM c u WHERE u.page_id = p.page_id AND u.row = p.row AND u.d = p.idx)""",
+    ).replace("\n, p AS", ",\np AS").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "j04_stem_dot_merge",
+    _claims_sql(
+        _STEM, _dot_sql("b", marks.I_DOT_LABELS),
+        f"{_REACH} AND b.y + b.height <= a.y + a.height * 0.18::DOUBLE AND a.y - b.y - b.height <= {_LIMIT}", "i", 0.9,
+    ),
+)
 def stem_dot_merge(spark: SparkSession, root: str) -> DataFrame:
-    return _flat(marks.merge_dotted_stems(T.predictions(spark, root)))
+    return _flat(marks.merge_dotted_stems(T.predictions(spark, root, "marks")))
 
 
-@query("j05_exclamation_merge")
+@query(
+    "j05_exclamation_merge",
+    _claims_sql(
+        _STEM, _dot_sql("b", marks.EXCLAMATION_DOT_LABELS),
+        f"{_REACH} AND b.y - a.y - a.height BETWEEN 0 AND {_LIMIT}", "!", 0.92,
+    ),
+)
 def exclamation_merge(spark: SparkSession, root: str) -> DataFrame:
-    return _flat(marks.merge_exclamations(T.predictions(spark, root)))
+    return _flat(marks.merge_exclamations(T.predictions(spark, root, "marks")))
 
 
-@query("j06_colon_merge")
+@query(
+    "j06_colon_merge",
+    _claims_sql(
+        _dot_sql("a", marks.COLON_DOT_LABELS), _dot_sql("b", marks.COLON_DOT_LABELS),
+        "b.idx > a.idx AND abs(b.x + b.width / 2 - a.x - a.width / 2) <= 14 AND b.y - a.y - a.height BETWEEN 8 AND 80", ":", 0.9, True,
+    ),
+)
 def colon_merge(spark: SparkSession, root: str) -> DataFrame:
-    return _flat(marks.merge_colons(T.predictions(spark, root)))
+    return _flat(marks.merge_colons(T.predictions(spark, root, "marks")))
 
 
 @query("j04_j06_all_mark_merges")
 def all_mark_merges(spark: SparkSession, root: str) -> DataFrame:
-    return _flat(marks.merge_marks(T.predictions(spark, root)))
+    return _flat(marks.merge_marks(T.predictions(spark, root, "marks")))
 
 
 @query(
@@ -403,7 +457,7 @@ def case_by_geometry(spark: SparkSession, root: str) -> DataFrame:
 
 @query("j13_known_row_repair")
 def known_row_repair(spark: SparkSession, root: str) -> DataFrame:
-    before = T.predictions(spark, root, twins=True)
+    before = T.predictions(spark, root, "twins")
     after = twins.resolve_twins(before).select(*KEY, F.col("shown").alias("repaired"), F.col("confidence").alias("raised"))
     changed = before.join(after, KEY).filter((F.col("shown") != F.col("repaired")) | (F.col("confidence") != F.col("raised")))
     return changed.select("page_id", "row", "idx", "shown", "repaired", rounded("raised").alias("confidence"))

@@ -18,6 +18,7 @@ TWIN_LABELS = ["0", "O", "o", "1", "l", "I", "S", "s", "5", "7"]
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 # Letter by letter, the confusable glyph it is read as in the twin predictions.
 CONFUSABLE = "opZiSGtOI4kzTs1P80l527M9yg"
+READINGS = {"plain": (",", "'"), "twins": (LETTERS, CONFUSABLE), "marks": (",ht", "''.")}
 CASE_AND_TWIN_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 CASE_AND_TWIN_TO = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZOlZzYSGTBg"
 
@@ -99,17 +100,18 @@ def _guess(label: Column, confidence: Column) -> Column:
     return F.struct(label.alias("label"), confidence.alias("confidence"))
 
 
-def predictions(spark: SparkSession, root: str, twins: bool = False) -> DataFrame:
+def predictions(spark: SparkSession, root: str, reading: str = "plain") -> DataFrame:
     """One prediction per printable ASCII character; a page is a turn, a row is a word.
 
-    With ``twins`` each letter is read as a confusable glyph.
+    As ``twins`` each letter is read as a confusable glyph, as ``marks`` two frequent
+    letters are read as loose dots, high and low.
     """
 
     chars = words(spark, root).select(
         "conv_id", "turn", "page_id", "row", F.posexplode(F.split("word", "")).alias("_p", "ch")
     ).filter("ch <> '' and ascii(ch) between 33 and 126").withColumn("pos", F.col("_p") + 1)
     code = F.ascii("ch")
-    label = F.translate("ch", LETTERS, CONFUSABLE) if twins else F.when(F.col("ch") == ",", "'").otherwise(F.col("ch"))
+    label = F.translate("ch", *READINGS[reading])
     stem = F.col("label").isin("l", "I", "1", "|", "!")
     dot = F.col("label").isin("i", ".", "'", ":")
     tall = F.col("label").rlike("^[A-Z0-9]$")
@@ -482,8 +484,9 @@ _sql(
 )
 
 
-def _predictions_sql(twins: bool) -> str:
-    label = f"translate(ch, '{LETTERS}', '{CONFUSABLE}')" if twins else "CASE WHEN ch = ',' THEN '''' ELSE ch END"
+def _predictions_sql(reading: str) -> str:
+    source, glyphs = (text.replace("'", "''") for text in READINGS[reading])
+    label = f"translate(ch, '{source}', '{glyphs}')"
     return f"""SELECT page_id, conv_id, turn, row, pos, CAST(row * 100 + pos AS INTEGER) AS idx, label, label AS shown,
     ((conv_id * 31 + turn * 7 + row * 17 + pos * 13) % 1000) / 1000.0::DOUBLE AS confidence,
     pos * 12.0::DOUBLE AS x,
@@ -501,8 +504,9 @@ def _predictions_sql(twins: bool) -> str:
           generate_subscripts(string_split(word, ''), 1) AS pos FROM words) WHERE ascii(ch) BETWEEN 33 AND 126)))"""
 
 
-_sql("preds", _predictions_sql(False), "words")
-_sql("twins", _predictions_sql(True), "words")
+_sql("preds", _predictions_sql("plain"), "words")
+_sql("twins", _predictions_sql("twins"), "words")
+_sql("marked", _predictions_sql("marks"), "words")
 _sql(
     "text_rows",
     f"""SELECT doc_id AS page_id, unnest(rows) AS text, generate_subscripts(rows, 1) AS row FROM (
