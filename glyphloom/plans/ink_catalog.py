@@ -196,7 +196,36 @@ def wide_box_split(spark: SparkSession, root: str) -> DataFrame:
     return out.select("page_id", "box_id", "piece", "x0", "y0", "x1", "y1")
 
 
-@query("v04_overlap_trim")
+# Neighbours in x order are walked one by one; each step knows where the last box now starts.
+@query(
+    "v04_overlap_trim",
+    with_ctes(
+        ["scattered"],
+        """, px AS (SELECT DISTINCT page_id, y, x FROM (SELECT page_id, x0, x1, unnest(range(y0, y1, 2)) AS y FROM scattered) b, range(0, 400) r(x) WHERE x >= x0 AND x < x1),
+        col AS (SELECT page_id, x, count(*) AS n FROM px GROUP BY 1, 2),
+        s AS (SELECT page_id, box_id, x0, y0, x1, y1, row_number() OVER v AS seq, lag(x1) OVER v AS prev FROM (SELECT * REPLACE (x1 + 12 AS x1) FROM scattered)
+          WINDOW v AS (PARTITION BY page_id ORDER BY x0, y0, x1, y1)),
+        pr AS (SELECT page_id, seq, greatest(0, x0) AS lo, least(399, prev) AS hi FROM s WHERE prev > x0),
+        d AS (SELECT q.page_id, q.seq, lo, hi, q.x, coalesce(n, 0) AS n FROM (SELECT *, unnest(range(lo, hi)) AS x FROM pr WHERE hi > lo + 2) q
+          LEFT JOIN col ON col.page_id = q.page_id AND col.x = q.x),
+        m AS (SELECT *, CASE WHEN hi - lo >= 7 THEN sum(n) OVER (PARTITION BY page_id, seq ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7.0::DOUBLE ELSE n END AS p FROM d),
+        mn AS (SELECT *, min(p) OVER (PARTITION BY page_id, seq) AS least_p FROM m),
+        cuts AS (SELECT page_id, seq, x AS cut FROM mn WHERE p <= least_p + 0.5
+            QUALIFY row_number() OVER (PARTITION BY page_id, seq ORDER BY abs(x - lo - (hi - lo) / 2.0::DOUBLE), x) = 1
+          UNION ALL SELECT page_id, seq, (lo + hi) // 2 FROM pr WHERE hi <= lo + 2),
+        b AS (SELECT s.*, cut FROM s LEFT JOIN cuts USING (page_id, seq)),
+        rec AS (SELECT page_id, seq, x0, x1, NULL::BIGINT AS before_x1 FROM b WHERE seq = 1
+          UNION ALL SELECT page_id, seq, CASE WHEN moves THEN c ELSE nx0 END, nx1, CASE WHEN moves THEN c ELSE x1 END FROM (
+            SELECT *, coalesce(x1 > nx0 AND share >= 0.12 AND c - x0 >= greatest(8, floor((x1 - x0 + nx1 - nx0) / 2.0::DOUBLE * 0.18::DOUBLE))
+              AND nx1 - c >= greatest(8, floor((x1 - x0 + nx1 - nx0) / 2.0::DOUBLE * 0.18::DOUBLE)), false) AS moves FROM (
+            SELECT *, CASE WHEN share >= 0.35 THEN least(cut, nx0 + CAST(floor((x1 - nx0) * 0.35::DOUBLE) AS BIGINT)) ELSE cut END AS c FROM (
+            SELECT b.page_id, b.seq, rec.x0, rec.x1, b.x0 AS nx0, b.x1 AS nx1, b.cut,
+              (rec.x1 - b.x0) / greatest(1, least(rec.x1 - rec.x0, b.x1 - b.x0))::DOUBLE AS share
+            FROM rec JOIN b ON b.page_id = rec.page_id AND b.seq = rec.seq + 1)))),
+        f AS (SELECT rec.page_id, rec.seq, rec.x0, coalesce(nxt.before_x1, rec.x1) AS x1 FROM rec LEFT JOIN rec nxt ON nxt.page_id = rec.page_id AND nxt.seq = rec.seq + 1)
+        SELECT f.page_id, b.box_id, CAST(f.x0 AS INTEGER) AS x0, b.y0, CAST(f.x1 AS INTEGER) AS x1, b.y1 FROM f JOIN b USING (page_id, seq) WHERE f.x1 > f.x0 AND b.y1 > b.y0""",
+    ).replace("\n, px AS", ",\npx AS").replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def overlap_trim(spark: SparkSession, root: str) -> DataFrame:
     boxes = T.scattered_boxes(spark, root).withColumns({"width": F.lit(400), "height": F.lit(200)})
     wider = boxes.withColumn("x1", F.col("x1") + 12)

@@ -455,7 +455,86 @@ def case_by_geometry(spark: SparkSession, root: str) -> DataFrame:
     return twins.resolve_twins(T.predictions(spark, root)).select(*KEY, "shown", "confidence")
 
 
-@query("j13_known_row_repair")
+def _al(i: int, labels: str) -> str:
+    """Strongest confidence of any of the labels at place ``i`` of a row kept as lists."""
+
+    cases = ", ".join(f"CASE WHEN contains('{labels}', {g}[{i}]) THEN {c}[{i}] ELSE 0 END" for g, c in (("l", "c1"), ("a2", "c2"), ("a3", "c3")))
+    return f"greatest({cases})"
+
+
+def _row_repair_sql() -> str:
+    low, high = "least(w[1], w[2], w[3])", "greatest(w[1], w[2], w[3])"
+    spread = lambda r: f"{low} > 0 AND {high} >= {low} * {r}::DOUBLE"
+    big, small = f"list_position(w[1:3], {high})", f"list_position(w[1:3], {low})"
+    short = "list_position(list_transform(range(1, 4), lambda q: [h[q], w[q]]), list_min(list_transform(range(1, 4), lambda q: [h[q], w[q]])))"
+    some = lambda m: f"(regexp_matches(t, '[{m}]') OR " + " OR ".join(f"{_al(i, m)} >= 0.10" for i in (1, 2, 3)) + ")"
+
+    def ranked(tiny: str, upper: str, lower: str, digit: str) -> str:
+        return " || ".join(f"CASE WHEN {tiny} = {i} THEN '{lower}' WHEN {big} = {i} THEN '{upper}' ELSE '{digit}' END" for i in (1, 2, 3))
+
+    two_s = "(" + " + ".join(f"CAST({_al(i, 'Ss')} >= 0.10 AS INTEGER)" for i in (1, 2, 3)) + ") >= 2"
+    side = f"greatest({_al(3, 'lL')}) >= 0.10"
+    pairs = ", ".join(
+        f"CASE WHEN (contains('{p}', l[1]) OR {_al(1, p)} >= 0.02) AND (contains('{p}', l[2]) OR {_al(2, p)} >= 0.02) THEN '{p}' END" for p in _PAIRS
+    )
+    size = [f"greatest(w[{i}], h[{i}])" for i in (1, 2)]
+    rules = [
+        (f"t = 'T35T' AND {_al(3, 'Ss')} >= 0.10 AND {_al(4, '7')} >= 0.50", "'..s7'", 0.88),
+        (f"regexp_matches(t, '^[5Ss]{{3}}$') AND t <> '555' AND {some('Ss')} AND {spread(1.18)}", ranked(small, "S", "s", "5"), 0.84),
+        (f"t = '555' AND least({_al(1, 'Ss')}, {_al(3, 'Ss')}) >= 0.12 AND {_al(2, 'Ss')} <= 0.05 AND greatest(w[1], w[3]) >= least(w[1], w[3]) * 1.25",
+         "CASE WHEN w[1] > w[3] THEN 'S.s' ELSE 's.S' END", 0.86),
+        (f"t = '555' AND {two_s} AND {spread(1.25)} AND {small} = 2", "'Ss.'", 0.84),
+        (f"t = '555' AND {two_s} AND {spread(1.25)} AND {small} = 3", "'.Ss'", 0.84),
+        (f"regexp_matches(t, '^[0Oo]{{3}}$') AND {some('Oo')} AND {spread(1.20)}", ranked(short, "O", "o", "0"), 0.86),
+        (f"regexp_matches(t, '^[2Zz]{{3}}$') AND {some('Zz')} AND {spread(1.20)}", ranked(small, "Z", "z", "2"), 0.84),
+        (f"t = 'gqg' AND {_al(1, '9')} >= 0.015", "'9..'", 0.84),
+        (f"regexp_matches(t, '^[9qgGQ]{{2}}g$') AND (l[1] = '9' OR {_al(1, '9')} >= 0.10) AND (l[2] = 'q' OR {_al(2, 'q')} >= 0.35)", "'9q.'", 0.84),
+        (f"t = 'GGb' AND {_al(2, '6')} >= 0.03 AND w[1] > 0 AND w[2] > 0 AND w[1] >= w[2] * 1.20", "'.6.'", 0.84),
+        (f"t = '4y' AND {_al(1, 'Y')} >= 0.80", "'Y.'", 0.84),
+        (f"t = '44' AND {_al(1, 'Y')} >= 0.65 AND {_al(2, 'y')} >= 0.18 AND {_al(2, 'y')} >= {_al(2, 'Y')} * 0.35", "'Yy'", 0.84),
+        (f"t = '88' AND {_al(1, 'B')} >= 0.50 AND {_al(2, 'B')} < 0.10", "'B.'", 0.84),
+        (f"t = 'kk' AND {_al(1, 'K')} >= 0.50 AND {_al(2, 'K')} < {_al(1, 'K')} * 0.35", "'K.'", 0.84),
+        (f"t = 'MM' AND {_al(2, 'm')} >= 0.30 AND least(h[1], h[2]) > 0 AND h[1] >= h[2] * 1.15", "'.m'", 0.84),
+        (f"t = 'TtT' AND {_al(3, '7')} >= 0.50", "'..7'", 0.84),
+        (f"t = 'PP' AND {_al(2, 'p')} >= 0.10 AND w[1] >= w[2] * 1.08", "'.p'", 0.84),
+        (f"t = '11i' AND {side} AND least(w[1], w[2]) > 0 AND greatest(w[1], w[2]) >= least(w[1], w[2]) * 1.50",
+         "CASE WHEN w[1] > w[2] THEN '1Il' ELSE 'I1l' END", 0.84),
+        (f"t = '111' AND {spread(1.45)} AND {big} = 1", "'.Il'", 0.84),
+        (f"t = '111' AND {spread(1.45)} AND {big} = 2", "'I.l'", 0.84),
+        (f"t IN ('1I1', 'I11') AND {side}", "'..l'", 0.84),
+        (f"t IN ('Heiio', 'heiio') AND {_al(3, 'lL')} >= 0.10 AND {_al(4, 'lL')} >= 0.10", "'..ll.'", 0.84),
+        (f"t = 'HELL0' AND {_al(5, 'Oo')} >= 0.10", "'....O'", 0.84),
+        (f"t = 'CAt' AND {_al(2, 'a')} >= 0.10", "'.a.'", 0.84),
+        (f"t = 'u5A' AND {_al(1, 'U')} >= 0.50 AND {_al(2, 'S')} >= 0.40", "'US.'", 0.84),
+        (f"t = 'Abc123' AND {_al(1, 'a')} >= 0.10", "'a.....'", 0.84),
+        (f"t = 'I11!' AND {_al(2, 'lL')} >= 0.50", "'.l1.'", 0.86),
+        (f"t = '111!' AND w[3] = {high}", "'Il1.'", 0.86),
+        ("regexp_matches(t, '^[1Ili]{3}!$') AND w[1] < w[2] AND w[2] < w[3]", "'Il1.'", 0.86),
+        (f"length(t) = 2 AND len(list_filter([{pairs}], lambda z: z IS NOT NULL)) = 1 AND {size[0]} >= {size[1]} AND {size[0]} >= {size[1]} * 1.10",
+         f"list_filter([{pairs}], lambda z: z IS NOT NULL)[1]", 0.84),
+    ]
+    cases = " ".join(f"WHEN {when} THEN struct_pack(labels := {labels}, floor := {floor}::DOUBLE)" for when, labels, floor in rules)
+    kept = ", ".join(f"list({c} ORDER BY x, idx) AS {n}" for c, n in (
+        ("idx", "ids"), ("width", "w"), ("height", "h"), ("label", "l"), ("confidence", "c1"), ("alt2", "a2"), ("conf2", "c2"), ("alt3", "a3"), ("conf3", "c3")))
+    return with_ctes(
+        ["twins"],
+        f""", g AS (SELECT page_id, row, string_agg(label, '' ORDER BY x, idx) AS t, {kept} FROM twins GROUP BY 1, 2 HAVING count(*) <= 6),
+        r AS (SELECT page_id, row, ids, CASE {cases} END AS res FROM g),
+        z AS (SELECT page_id, row, unnest(ids) AS idx, generate_subscripts(ids, 1) AS at, res FROM r WHERE res IS NOT NULL),
+        n AS (SELECT *, count(*) OVER v AS cnt, max(height) OVER v AS tall, min(height) OVER v AS low,
+          translate(label, 'CFKMNOPSUVWXYZcfkmnopsuvwxyz', 'cfkmnopsuvwxyzCFKMNOPSUVWXYZ') AS other FROM twins WINDOW v AS (PARTITION BY page_id, row)),
+        f AS (SELECT n.page_id, n.row, n.idx, n.label, n.confidence, coalesce(z.res.floor, 0.84) AS floor,
+          CASE WHEN z.res IS NOT NULL THEN nullif(substr(z.res.labels, z.at, 1), '.')
+            WHEN cnt >= 3 AND low > 0 AND tall >= low * 1.28 AND other <> label
+              AND greatest(CASE WHEN alt2 = other THEN conf2 ELSE 0 END, CASE WHEN alt3 = other THEN conf3 ELSE 0 END) >= 0.12
+              AND ((regexp_matches(label, '[A-Z]') AND height / tall <= 0.76) OR (regexp_matches(label, '[a-z]') AND height / tall >= 0.92)) THEN other END AS new
+          FROM n LEFT JOIN z ON z.page_id = n.page_id AND z.row = n.row AND z.idx = n.idx)
+        SELECT page_id, CAST(row AS INTEGER) AS row, idx, label AS shown, new AS repaired, round(greatest(confidence, floor), 6)::DOUBLE AS confidence FROM f
+        WHERE new IS NOT NULL AND (new <> label OR floor > confidence)""",
+    ).replace("\n, g AS", ",\ng AS")
+
+
+@query("j13_known_row_repair", _row_repair_sql())
 def known_row_repair(spark: SparkSession, root: str) -> DataFrame:
     before = T.predictions(spark, root, "twins")
     after = twins.resolve_twins(before).select(*KEY, F.col("shown").alias("repaired"), F.col("confidence").alias("raised"))

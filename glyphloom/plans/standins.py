@@ -587,3 +587,10 @@ _sql(
     """SELECT page_id, CAST(i * 12 + dx AS INTEGER) AS x, CASE WHEN ch = '0' AND i % 4 = 1 THEN 1 ELSE 24 + (ascii(ch) * 7 + dx * 5) % 12 END AS n FROM (
     SELECT s_suppkey AS page_id, unnest(string_split(s_name, '')) AS ch, generate_subscripts(string_split(s_name, ''), 1) - 1 AS i FROM supplier), range(0, 12) r(dx)""",
 )
+_sql(
+    "scattered",
+    """SELECT k // 20 AS page_id, k AS box_id, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, CAST(x0 + w AS INTEGER) AS x1, CAST(y0 + h AS INTEGER) AS y1 FROM (
+    SELECT p_partkey AS k, p_partkey % 20 % 10 * 30 + p_partkey % 7 AS x0, p_partkey % 20 // 10 * 70 + p_partkey * 3 % 25 + 10 AS y0,
+    CASE WHEN p_partkey % 4 = 0 THEN 4 + p_partkey % 9 ELSE 6 + p_partkey * 5 % 26 END AS w,
+    CASE WHEN p_partkey % 4 = 0 THEN 4 + p_partkey % 7 ELSE 8 + p_partkey * 11 % 50 END AS h FROM part)""",
+)
