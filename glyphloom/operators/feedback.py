@@ -479,6 +479,10 @@ def coverage_report(rows: DataFrame, target: int = TARGET_PER_LABEL) -> DataFram
         "next_label",
         zero("next_count").alias("next_count"),
         zero("next_needed").alias("next_needed"),
+        F.when(F.col("next_label").isNotNull(), target).otherwise(0).alias("next_target"),
+        F.when(F.col("next_label").isNotNull(), 100.0 * F.col("next_count") / target)
+        .otherwise(100.0)
+        .alias("next_coverage_percent"),
         zero("focus_samples").alias("focus_samples"),
         focus_target.alias("focus_target_samples"),
         zero("focus_needed_samples").alias("focus_needed_samples"),
@@ -486,6 +490,7 @@ def coverage_report(rows: DataFrame, target: int = TARGET_PER_LABEL) -> DataFram
         .otherwise(100.0)
         .alias("focus_coverage_percent"),
         F.coalesce("focus_labels", none).alias("focus_labels"),
+        F.size(F.coalesce("focus_labels", none)).alias("recommended_batch_size"),
         F.coalesce("not_ready_label_list", none).alias("not_ready_label_list"),
     )
 

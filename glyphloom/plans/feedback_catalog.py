@@ -221,6 +221,9 @@ def readiness_summary(spark: SparkSession, root: str) -> DataFrame:
         CASE WHEN ready_labels = total_labels THEN '' ELSE 'Need ' || needed_samples || ' more labeled samples across ' || (total_labels - ready_labels) || ' labels before training.' END AS training_blocked_reason,
         ready_labels, total_labels, total_labels - ready_labels AS not_ready_labels, samples, total_labels * 80 AS target_samples, needed_samples,
         round(100.0::DOUBLE * samples / (total_labels * 80), 6) AS coverage_percent, next_label, coalesce(nc, 0) AS next_count, coalesce(nn, 0) AS next_needed,
+        CAST(CASE WHEN next_label IS NULL THEN 0 ELSE 80 END AS INTEGER) AS next_target,
+        CASE WHEN next_label IS NULL THEN 100.0 ELSE round(100.0::DOUBLE * nc / 80, 6) END::DOUBLE AS next_coverage_percent,
+        CAST(length(coalesce(focus_labels, '')) AS INTEGER) AS recommended_batch_size,
         coalesce(fs, 0) AS focus_samples, coalesce(fs, 0) + coalesce(fn, 0) AS focus_target_samples, coalesce(fn, 0) AS focus_needed_samples,
         CASE WHEN coalesce(fs, 0) + coalesce(fn, 0) > 0 THEN round(100.0::DOUBLE * fs / (fs + fn), 6) ELSE 100.0 END::DOUBLE AS focus_coverage_percent,
         coalesce(focus_labels, '') AS focus_labels, coalesce(not_ready, '') AS not_ready_label_list FROM tot LEFT JOIN foc USING (recognizer)""",
@@ -231,7 +234,8 @@ def coverage_report(spark: SparkSession, root: str) -> DataFrame:
     out = B.coverage_report(coverage(spark, root, TARGET), TARGET).drop("recognizer_pos")
     return out.withColumns(
         {
-            "coverage_percent": rounded("coverage_percent"), "focus_coverage_percent": rounded("focus_coverage_percent"),
+            "coverage_percent": rounded("coverage_percent"), "next_coverage_percent": rounded("next_coverage_percent"),
+            "focus_coverage_percent": rounded("focus_coverage_percent"),
             "focus_labels": F.array_join("focus_labels", ""), "not_ready_label_list": F.array_join("not_ready_label_list", ""),
         }
     )

@@ -129,6 +129,7 @@ def test_report_when_all_is_ready(spark):
     out = B.coverage_report(coverage(spark, {"A": 20, "B": 25}, "AB")).first()
     assert (out.ready, out.recommended_action, out.training_blocked_reason, out.next_label) == (True, "train_corrections", "", None)
     assert out.focus_labels == [] and out.focus_coverage_percent == 100.0
+    assert (out.next_target, out.next_coverage_percent, out.recommended_batch_size) == (0, 100.0, 0)
 
 
 def test_digit_routing(spark):
