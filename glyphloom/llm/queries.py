@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import rules
+from glyphloom.llm import packing, rules, topk, warc
 from glyphloom.plans.registry import query
 
 
@@ -14,6 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_exact_top_k", topk.ORACLE)
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings")).select(F.col("query_id").cast("long"), "rank", "vec_id", "score")
+
+
+@query("op8_warc")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 @query("op10_quality_rules", rules.ORACLE)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.statistics(table(spark, sf_dir, "documents"))
