@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import bpe, neardup, packing, quality_model, rules, topk, toxicity, warc
+from glyphloom.llm import bpe, licenses, neardup, packing, pii, quality_model, rules, topk, toxicity, warc
 from glyphloom.plans.registry import query
 
 
@@ -24,6 +24,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op3_pii_pseudonyms")
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), found="n_replaced").select("doc_id", "text", "n_replaced")
+
+
 @query("op4_quality_classifier")
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -50,6 +55,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_rules", rules.ORACLE)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.statistics(table(spark, sf_dir, "documents"))
