@@ -9,13 +9,13 @@ prefixes, so that inflected forms of a stem share what is learned.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import arrow_rows, bounded_part, crc_remainder
+from glyphloom.llm.common import arrow_rows, bounded_part, crc_remainder, ship_package
 from glyphloom.session import cut_lineage
 
 SAMPLE_DOCS = 12_000
@@ -246,6 +246,14 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id"
     return arrow_rows(docs, [key, text], f"`{key}` {dict(docs.dtypes)[key]}, score double", rows)
 
 
+def score_column(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callable[[Column], Column]:
+    """A function from a text column to its score, for filters that keep all columns."""
+
+    ship_package(spark)
+    scorer = Scorer(*model)
+    return F.udf(lambda value: scorer.score(value), "double", useArrow=True)
+
+
 def offending(docs: DataFrame, model: tuple[np.ndarray, float], least: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, end, score, sentence): every sentence that scores ``least`` or more."""
 
