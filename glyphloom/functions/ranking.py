@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from glyphloom.session import cut_lineage
 
-# Up to this rank Spark limits each partition of a ranking window before the shuffle.
-_PRE_SHUFFLE_LIMIT = 1000
-
 
 def seeded_hash(seed: int, *columns: Column) -> Column:
     """A reproducible random order: ``md5(seed|id)``."""
@@ -21,15 +18,13 @@ def seeded_hash(seed: int, *columns: Column) -> Column:
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:
     """The first ``n`` rows of each group.
 
-    For small ``n`` the optimizer cuts every partition to ``n`` rows per group
-    ahead of the exchange. Beyond its threshold the same cut is made by hand:
-    each group is spread over ``salts`` sub-groups, cut there, then cut once more.
+    Each group is spread over ``salts`` sub-groups, cut there, then cut once more,
+    so one group never meets in one task before it is down to ``salts`` times ``n``.
     """
 
-    if n > _PRE_SHUFFLE_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        part = W.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= n).drop("_rank", "_salt")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    part = W.partitionBy(*keys, "_salt").orderBy(*order)
+    df = salted.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= n).drop("_rank", "_salt")
     whole = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n).drop("_rank")
 
@@ -120,7 +115,7 @@ def hashed_top(
     return before.unionByName(at_cut).drop(*_HELPERS)
 
 
-def hash_number(hash_column: Column, digits: int = 8) -> Column:
+def hash_number(hash_column: Column, digits: int = 15) -> Column:
     """The leading hex digits of a hash as a number."""
 
     return F.conv(F.substring(hash_column, 1, digits), 16, 10).cast("long")

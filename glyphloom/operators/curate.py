@@ -42,7 +42,7 @@ def fold_source_targets(samples: DataFrame, source_vocab: DataFrame, vocab: Data
         .join(vocab.select(F.col("idx").alias("folded"), "label"), "label")
         .select("target", "folded")
     )
-    return samples.join(F.broadcast(mapping), "target").drop("target").withColumnRenamed("folded", "target")
+    return samples.join(mapping, "target").drop("target").withColumnRenamed("folded", "target")
 
 
 def vocabulary_order_errors(source_vocab: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def keep_source_targets(samples: DataFrame, source_vocab: DataFrame, vocab: Data
     wrong = vocabulary_order_errors(source_vocab, vocab).limit(1).collect()
     if wrong:
         raise ValueError(f"Unexpected source label order at position {wrong[0]['idx']}")
-    return samples.join(F.broadcast(vocab.select(F.col("idx").alias("target"))), "target", "left_semi")
+    return samples.join(vocab.select(F.col("idx").alias("target")), "target", "left_semi")
 
 
 def fold_case_targets(samples: DataFrame) -> DataFrame:

@@ -237,8 +237,8 @@ def backfill_sequence_boxes(corrections: DataFrame, regions: DataFrame) -> DataF
     """Give old sequence rows without boxes the page's regions, if the counts agree.
 
     ``regions``: image_id, row, x0, y0, x1, y1. Only pages of records that lack
-    boxes are gathered, and a page is bounded by the ingest limits. Boxes that
-    cannot match (255 characters at most per record) are dropped before gathering.
+    boxes, and whose region count is the length of one of their labels, are gathered;
+    a page is bounded by the ingest limits.
     """
 
     lacking = (
@@ -246,9 +246,9 @@ def backfill_sequence_boxes(corrections: DataFrame, regions: DataFrame) -> DataF
         & (F.coalesce(F.size("prediction_boxes"), F.lit(0)) <= 0)
         & (F.coalesce(F.col("corrected_label"), F.lit("")) != "")
     )
-    needed = corrections.filter(lacking).select("image_id").distinct()
-    sizes = regions.join(needed, "image_id", "left_semi").groupBy("image_id").agg(F.count("*").alias("_n"))
-    small = sizes.filter(F.col("_n") <= MAX_SEQUENCE)
+    wanted = corrections.filter(lacking).select("image_id", F.length("corrected_label").alias("_n")).distinct()
+    sizes = regions.join(wanted.select("image_id").distinct(), "image_id", "left_semi").groupBy("image_id").agg(F.count("*").cast("int").alias("_n"))
+    small = sizes.join(wanted, ["image_id", "_n"], "left_semi")
     pages = (
         regions.join(small, "image_id")
         .groupBy("image_id")

@@ -211,13 +211,15 @@ def replay_accuracy(cases: DataFrame, pages: DataFrame) -> DataFrame:
 def best_checkpoint(candidates: DataFrame, metric: str, keys: list[str] | None = None) -> DataFrame:
     """The candidate with the highest metric; a missing metric counts as 0, the earliest wins a tie.
 
-    ``candidates`` carries ``position``: history in order, then the saved checkpoints.
+    ``candidates`` carries ``position``, the place in its history. With ``kind`` the
+    history comes first, then ``best_checkpoint``, then other checkpoints by name.
     """
 
     value = F.coalesce(F.col(metric), F.lit(0.0))
-    picked = candidates.groupBy(*(keys or [])).agg(
-        F.max_by(F.struct(*candidates.columns), F.struct(value.alias("v"), (-F.col("position")).alias("p"))).alias("b")
-    )
+    kind = F.col("kind") if "kind" in candidates.columns else F.lit("history")
+    rank = F.when(kind == "history", 0).when(kind == "best_checkpoint", 1).otherwise(2)
+    first = F.struct((-value).alias("v"), rank.alias("r"), kind.alias("k"), F.col("position").alias("p"))
+    picked = candidates.groupBy(*(keys or [])).agg(F.min_by(F.struct(*candidates.columns), first).alias("b"))
     return picked.select("b.*")
 
 

@@ -332,7 +332,7 @@ def feedback_validation(spark: SparkSession, root: str) -> DataFrame:
 )
 def box_aligned_label(spark: SparkSession, root: str) -> DataFrame:
     word, row = F.col("word"), F.col("row")
-    display = F.concat(F.substring(word, 1, 1), F.lit("\n"), F.substring(word, 2, 1000000))
+    display = F.concat(F.substring(word, 1, 1), F.lit("\n"), F.substr(word, F.lit(2)))
     size = F.length(word)
     boxes = F.when(row % 3 == 0, size).when(row % 3 == 1, size + 1).otherwise(0)
     corrected = F.when(row % 4 == 0, word).otherwise(F.concat(display, F.when(row % 4 == 1, "x").otherwise("")))
@@ -580,7 +580,7 @@ def checksum_manifest(spark: SparkSession, root: str) -> DataFrame:
     with_ctes(
         ["history"],
         """SELECT model AS file, 'history' AS kind, CAST(epoch - 1 AS INTEGER) AS position, CAST(epoch AS VARCHAR) AS epoch FROM history
-        UNION ALL SELECT model, 'best_checkpoint', 1000000, CAST(max(epoch) AS VARCHAR) FROM history WHERE model NOT LIKE '1%' AND model NOT LIKE '5%' GROUP BY model""",
+        UNION ALL SELECT model, 'best_checkpoint', 0, CAST(max(epoch) AS VARCHAR) FROM history WHERE model NOT LIKE '1%' AND model NOT LIKE '5%' GROUP BY model""",
     ).replace("FROM history\n        UNION", "FROM history WHERE model NOT LIKE '5%'\n        UNION"),
 )
 def metric_files(spark: SparkSession, root: str) -> DataFrame:

@@ -254,8 +254,8 @@ def sample_weights(spark: SparkSession, root: str) -> DataFrame:
         ["glyphs"],
         """, c AS (SELECT target, count(*) AS n, row_number() OVER (ORDER BY target) - 1 AS slot, count(*) OVER () AS classes
           FROM glyphs GROUP BY target),
-        d AS (SELECT sample_id AS draw_id, ('0x' || substr(md5('7|' || sample_id || '|class'), 1, 8))::BIGINT AS cp,
-          ('0x' || substr(md5('7|' || sample_id || '|row'), 1, 8))::BIGINT AS rp FROM glyphs),
+        d AS (SELECT sample_id AS draw_id, ('0x' || substr(md5('7|' || sample_id || '|class'), 1, 15))::BIGINT AS cp,
+          ('0x' || substr(md5('7|' || sample_id || '|row'), 1, 15))::BIGINT AS rp FROM glyphs),
         r AS (SELECT sample_id, target, row_number() OVER (PARTITION BY target ORDER BY md5('7|' || sample_id), sample_id) AS rk FROM glyphs)
         SELECT d.draw_id, r.sample_id, r.target FROM d JOIN c ON c.slot = d.cp % c.classes
         JOIN r ON r.target = c.target AND r.rk = d.rp % c.n + 1""",

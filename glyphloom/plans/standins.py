@@ -28,15 +28,10 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The table over all cores, for inputs whose rows expand a lot.
-
-    A table of fewer files than cores is scanned by a few tasks, which would then do
-    all of the expansion. One of many files is left as it is read.
-    """
+    """The table dealt anew by its first column, for inputs whose rows expand a lot."""
 
     df = table(spark, root, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df.repartition(df.columns[0])
 
 
 # ---------------------------------------------------------------- glyph samples
@@ -156,11 +151,11 @@ PATTERN_ROWS = [
 
 
 def text_rows(spark: SparkSession, root: str) -> DataFrame:
-    """(page_id, row, text): two pattern rows, then every line of the document; some pages are patterns only."""
+    """(page_id, row, text): two pattern rows, then every line of the document."""
 
     patterns = F.array(*[F.lit(p) for p in PATTERN_ROWS])
     size = len(PATTERN_ROWS)
-    lines = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
+    lines = F.split("text", "\n")
     rows = F.concat(
         F.array(
             F.get(patterns, (F.col("doc_id") % size).cast("int")),
@@ -512,7 +507,7 @@ _sql(
     f"""SELECT doc_id AS page_id, unnest(rows) AS text, generate_subscripts(rows, 1) AS row FROM (
     SELECT doc_id, list_concat([({_list(PATTERN_ROWS)})[doc_id % {len(PATTERN_ROWS)} + 1],
     ({_list(PATTERN_ROWS)})[(doc_id + doc_id // {len(PATTERN_ROWS)}) % {len(PATTERN_ROWS)} + 1]],
-    CASE WHEN doc_id % 3 = 0 THEN [] ELSE string_split(text, chr(10)) END) AS rows FROM documents)""",
+    string_split(text, chr(10))) AS rows FROM documents)""",
 )
 _sql(
     "fb",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a private one only where none is configured.
 
     A cluster names a folder every executor can reach in ``spark.checkpoint.dir``.
-    Only an unconfigured local session (the tests) falls back to a temporary one.
+    Only an unconfigured local session (the tests) falls back to a temporary one,
+    which goes when the process ends.
     """
 
     current = spark.sparkContext.getCheckpointDir()
@@ -45,6 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix=f"glyphloom-ckpt-{os.getpid()}-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
 

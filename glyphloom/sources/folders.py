@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphloom.functions.labels import MIXED_LABELS
 from glyphloom.functions.ranking import hashed_top, seeded_hash
 
 # --- fixed values -------------------------------------------------------------------
@@ -16,32 +15,33 @@ HEX_SAMPLES_PER_CLASS = 1200
 REPORTED_BAD_FOLDERS = 8
 MAX_CODE_POINT = 0x10FFFF
 
-# A chosen set up to this many paths is read by name; the default draw is 62 x 1200.
-MAX_NAMED_PATHS = 200_000
-
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under ``root`` without its content: (path, length, rel)."""
+    """Every file under ``root`` without its content: (path, length, rel).
+
+    ``rel`` is what follows the root, cut by the root's length as the file system writes
+    it, so URIs, relative and dotted roots and folders named like the root all work. A
+    path elsewhere is an error.
+    """
 
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    return listed.select("path", "length", F.substring_index("path", base, -1).alias("rel"))
+    base = qualified(spark, root).rstrip("/") + "/"
+    outside = F.raise_error(F.concat(F.lit(f"not under {base}: "), F.col("path")))
+    rel = F.when(F.startswith("path", F.lit(base)), F.substr("path", F.lit(len(base) + 1))).otherwise(outside)
+    return listed.select("path", "length", rel.alias("rel"))
 
 
-def read_files(spark: SparkSession, chosen: DataFrame, root: str, bound: int) -> DataFrame:
-    """(path, content) of the chosen paths only.
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as Spark's listings write paths: with scheme, absolute, without dots."""
 
-    ``bound`` is what the caller can prove about the number of paths (cap times
-    classes). Small sets are opened by name, larger ones by a semi-join.
-    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return store.getFileStatus(store.resolvePath(store.makeQualified(path))).getPath().toString()
+
+
+def read_files(spark: SparkSession, chosen: DataFrame, root: str) -> DataFrame:
+    """(path, content) of the chosen paths only, by a semi-join on the listing: content is read after it."""
 
-    if bound <= MAX_NAMED_PATHS:
-        paths = [r["path"] for r in chosen.select("path").limit(bound + 1).collect()]
-        if len(paths) > bound:
-            raise ValueError(f"more than {bound} paths were chosen")
-        if not paths:
-            return spark.createDataFrame([], "path string, content binary")
-        return spark.read.format("binaryFile").load(paths).select("path", "content")
     everything = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return everything.join(chosen.select("path"), "path", "left_semi").select("path", "content")
 
@@ -69,7 +69,7 @@ def labelled_folders(paths: DataFrame, vocab: DataFrame) -> DataFrame:
     images = paths.withColumn("label_folder", top_folder(F.col("rel"))).filter("label_folder <> ''")
     return (
         images.withColumn("_key", F.upper("label_folder"))
-        .join(F.broadcast(keys), "_key", "left")
+        .join(keys, "_key", "left")
         .filter(F.col("target").isNull() | has_image_suffix(F.col("rel")))
         .select("path", "label_folder", "target")
     )
@@ -135,7 +135,7 @@ def extra_code_samples(paths: DataFrame, vocab: DataFrame) -> tuple[DataFrame, D
     coded = code_folders(paths)
     bad = coded.filter("code is null").select("folder").distinct()
     samples = coded.filter(_direct_png(F.col("rel"))).join(
-        F.broadcast(vocab.select("label", F.col("idx").alias("target"))), "label"
+        vocab.select("label", F.col("idx").alias("target")), "label"
     )
     return samples.select("path", "label", "target"), bad
 
@@ -156,7 +156,7 @@ def mixed_code_samples(paths: DataFrame, vocab: DataFrame) -> DataFrame:
     if first:
         raise ValueError(f"Mixed-case extra dataset contains non-ASCII-code folder: {first}")
     samples = coded.filter(has_image_suffix(F.col("rel"))).join(
-        F.broadcast(vocab.select("label", F.col("idx").alias("target"))), "label"
+        vocab.select("label", F.col("idx").alias("target")), "label"
     )
     return samples.select("path", "label", "target")
 
@@ -196,7 +196,7 @@ def balanced_hex_samples(paths: DataFrame, n: int = HEX_SAMPLES_PER_CLASS, seed:
 
 def load_hex_samples(spark: SparkSession, root: str, n: int = HEX_SAMPLES_PER_CLASS, seed: int = 42) -> DataFrame:
     chosen = balanced_hex_samples(list_files(spark, root), n, seed)
-    return chosen.join(read_files(spark, chosen, root, n * len(MIXED_LABELS)), "path")
+    return chosen.join(read_files(spark, chosen, root), "path")
 
 
 # ---------------------------------------------------------------- folder = sample number

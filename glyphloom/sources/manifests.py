@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +89,7 @@ def read_metric_candidates(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     A file is a bare list of epochs, or an object with ``history`` and checkpoints.
     Broken or empty files give no rows. ``kind`` is history, best_checkpoint or the
-    name of another ``*_best_checkpoint``; positions count history first.
+    name of another ``*_best_checkpoint``; a position counts inside its kind.
     """
 
     raw = spark.read.text(paths, wholetext=True).select(
@@ -113,8 +112,7 @@ def metric_candidates(raw: DataFrame) -> DataFrame:
     )
     objects = F.from_json("value", "map<string,string>")
     checkpoints = named.select(
-        "file", "kind",
-        (F.when(F.col("kind") == "best_checkpoint", 1_000_000).otherwise(1_000_001)).alias("position"),
+        "file", "kind", F.lit(0).alias("position"),
         objects[F.col("kind")].alias("item"),
     )
     return (
@@ -159,11 +157,11 @@ def snapshot(spark: SparkSession, base: str, key: str, build) -> DataFrame:
     """Read the Parquet snapshot ``base/key`` or build and write it first."""
 
     path = f"{base.rstrip('/')}/{key}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")):  # absent or half written
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 GLYPH_SCHEMA = T.StructType(

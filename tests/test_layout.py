@@ -40,17 +40,20 @@ def as_sets(df, columns=("x0", "y0", "x1", "y1")):
     return {p: sorted(v) for p, v in out.items()}
 
 
-def test_reading_order(spark):
-    data = pages(1, 30, 14, sizes=(5, 45), pitch=25)
+def test_reading_order_of_separate_lines(spark):
+    """Lines far apart in y are the rows, whatever the order of input; within a line x decides."""
+
+    rng = random.Random(1)
+    data, lines = {}, {}
+    for p in range(20):
+        lines[p] = [[(x, 100 * k + rng.randrange(6), x + 20, 100 * k + 40) for x in sorted(rng.sample(range(0, 400, 25), rng.randint(1, 7)))] for k in range(4)]
+        data[p] = [b for line in lines[p] for b in line]
+        rng.shuffle(data[p])
     boxes, _ = frames(spark, data, {0: [(0, 0)]})
-    rows = Y.assign_rows(boxes)
     got = {}
-    for r in rows.collect():
+    for r in Y.assign_rows(boxes).collect():
         got.setdefault(r.page_id, {}).setdefault(r.row, []).append((r.place, (r.x0, r.y0, r.x1, r.y1)))
-    for p, bs in data.items():
-        mine = [[b[0] for _, b in sorted(got[p][k])] for k in sorted(got[p])]
-        assert mine == [[b[0] for b in row] for row in brute.rows_of(bs)]
-        assert [sorted(b for _, b in got[p][k]) for k in sorted(got[p])] == [sorted(row) for row in brute.rows_of(bs)]
+    assert {p: [[b for _, b in sorted(got[p][k])] for k in sorted(got[p])] for p in got} == lines
 
 
 def test_two_rows_of_two(spark):
@@ -65,75 +68,146 @@ def test_padding_stops_at_neighbours(spark):
     assert [(r.px0, r.py0, r.px1, r.py1) for r in out] == [(4, 4, 33, 56), (30, 4, 62, 56)]
 
 
-def test_wide_boxes_split_like_brute_force(spark):
+def bounds(px):
+    ys, xs = [p[0] for p in px], [p[1] for p in px]
+    return min(xs), min(ys), max(xs) + 1, max(ys) + 1
+
+
+def inside(ink, b):
+    return [(y, x) for y, x in ink if b[0] <= x < b[2] and b[1] <= y < b[3]]
+
+
+def test_wide_boxes_split_into_tight_disjoint_pieces(spark):
     rng = random.Random(5)
     data, ink = {}, {}
     for p in range(25):
         w, h = rng.randrange(40, 170), rng.randrange(18, 60)
         x0, y0 = rng.randrange(0, 60), rng.randrange(0, 60)
-        px = {(y, x) for x in range(x0, x0 + w) for y in range(y0, y0 + h) if rng.random() < 0.15 + 0.5 * ((x // 9) % 3 > 0)}
+        ink[p] = {(y, x) for x in range(x0, x0 + w) for y in range(y0, y0 + h) if rng.random() < 0.15 + 0.5 * ((x // 9) % 3 > 0)}
         data[p] = [(x0, y0, x0 + w, y0 + h)]
-        ink[p] = px
     boxes, pixels = frames(spark, data, ink)
     got = as_sets(Y.split_wide_boxes(boxes, pixels))
-    assert got == {p: sorted(brute.split_wide(ink[p], bs[0], 300)) for p, bs in data.items()}
+    for p, (box,) in data.items():
+        pieces = got[p]
+        if pieces == [box]:
+            continue
+        assert len(pieces) <= 4
+        assert all(pieces[k][2] <= pieces[k + 1][0] for k in range(len(pieces) - 1))
+        assert all(bounds(inside(ink[p], piece)) == piece and len(inside(ink[p], piece)) >= 12 for piece in pieces)
+        assert len(inside(ink[p], box)) - sum(len(inside(ink[p], piece)) for piece in pieces) < 12 * 4
     assert any(len(v) > 1 for v in got.values())
 
 
-def test_overlaps_trim_like_brute_force(spark):
+def test_a_clear_gap_is_where_a_wide_box_is_cut(spark):
+    ink = {0: {(y, x) for y in range(40) for x in [*range(0, 30), *range(36, 66)]}, 1: {(y, x) for y in range(40) for x in range(0, 50)}}
+    boxes, pixels = frames(spark, {0: [(0, 0, 66, 40)], 1: [(0, 0, 50, 40)]}, ink)
+    got = as_sets(Y.split_wide_boxes(boxes, pixels))
+    assert len(got[0]) >= 2 and any(b[0] == 36 for b in got[0]) and any(b[2] == 30 for b in got[0])
+    assert got[1] == [(0, 0, 50, 40)]
+
+
+def test_trimmed_overlaps_meet_in_one_column(spark):
     data = pages(7, 25, 9, sizes=(15, 70), pitch=60)
-    ink = {p: fill(bs, 3) for p, bs in data.items()}
+    boxes, pixels = frames(spark, data, {p: fill(bs, 3) for p, bs in data.items()})
+    out = as_sets(Y.trim_overlaps(boxes, pixels))
+    moved = 0
+    for p, bs in data.items():
+        before, after = sorted(bs), sorted(out[p])
+        rows = lambda boxes: sorted((b[1], b[3]) for b in boxes)
+        assert len(after) == len(before) and rows(after) == rows(before)
+        starts, ends = {b[0] for b in after} - {b[0] for b in before}, {b[2] for b in after} - {b[2] for b in before}
+        assert starts <= {b[2] for b in after} and ends <= {b[0] for b in after}
+        moved += len(starts)
+    assert moved
+
+
+def test_overlaps_below_the_limit_stay(spark):
+    data = {0: [(0, 0, 40, 40), (38, 0, 80, 40)], 1: [(0, 0, 40, 40), (30, 0, 80, 40)]}
+    ink = {p: {(y, x) for y in range(40) for x in [*range(0, 33), *range(37, 80)]} for p in data}
     boxes, pixels = frames(spark, data, ink)
-    got = as_sets(Y.trim_overlaps(boxes, pixels))
-    assert got == {p: sorted(brute.trim(ink[p], bs, 300, 200)) for p, bs in data.items()}
-    assert got != {p: sorted(bs) for p, bs in data.items()}
+    out = as_sets(Y.trim_overlaps(boxes, pixels))
+    assert out[0] == data[0]
+    (a, b) = out[1]
+    assert a[2] == b[0] and 30 <= b[0] <= 40
 
 
-def test_broken_parts_merge_like_brute_force(spark):
+def test_merged_parts_are_hulls_of_whole_boxes(spark):
     data = pages(11, 40, 12, sizes=(8, 34), pitch=45)
     ink = {p: fill(bs) for p, bs in data.items()}
     boxes, pixels = frames(spark, data, ink)
     got = as_sets(Y.merge_broken_parts(boxes, pixels))
-    assert got == {p: sorted(brute.merge_parts(ink[p], bs)) for p, bs in data.items()}
-    assert sum(map(len, got.values())) < sum(map(len, data.values()))
+    again = as_sets(Y.merge_broken_parts(boxes.repartition(3, "x1"), pixels.repartition(2)))
+    assert got == again and sum(map(len, got.values())) < sum(map(len, data.values()))
+    for p, bs in data.items():
+        edges = [{b[k] for b in bs} for k in range(4)]
+        assert all(b[k] in edges[k] for b in got[p] for k in range(4))
+        assert all(any(g[0] <= b[0] and g[1] <= b[1] and b[2] <= g[2] and b[3] <= g[3] for g in got[p]) for b in bs)
+
+
+def test_parts_side_by_side_or_stacked_join(spark):
+    data = {0: [(0, 0, 30, 40), (32, 0, 48, 40)], 1: [(0, 0, 30, 30), (0, 33, 30, 45)], 2: [(0, 0, 20, 40), (90, 0, 110, 40)], 3: [(0, 0, 20, 40), (24, 0, 26, 8)]}
+    boxes, pixels = frames(spark, data, {p: fill(bs, 1) for p, bs in data.items()})
+    got = as_sets(Y.merge_broken_parts(boxes, pixels))
+    assert got == {0: [(0, 0, 48, 40)], 1: [(0, 0, 30, 45)], 2: data[2], 3: data[3]}
 
 
-def test_small_marks_attach_like_brute_force(spark):
+def test_attached_marks_leave_hulls(spark):
     data = pages(13, 60, 12, sizes=(3, 30), pitch=45)
-    ink = {p: fill(bs) for p, bs in data.items()}
-    boxes, pixels = frames(spark, data, ink)
+    boxes, pixels = frames(spark, data, {p: fill(bs) for p, bs in data.items()})
     ordered = Y.assign_rows(boxes)
-    reading = {}
-    for r in ordered.orderBy("page_id", "row", "place").collect():
-        reading.setdefault(r.page_id, []).append((r.x0, r.y0, r.x1, r.y1))
     got = as_sets(Y.attach_small_marks(ordered, pixels))
-    assert got == {p: sorted(brute.attach_marks(ink[p], bs)) for p, bs in reading.items()}
+    assert got == as_sets(Y.attach_small_marks(ordered.repartition(3, "y1"), pixels.repartition(2)))
     assert sum(map(len, got.values())) < sum(map(len, data.values()))
+    for p, bs in data.items():
+        edges = [{b[k] for b in bs} for k in range(4)]
+        assert all(b[k] in edges[k] for b in got[p] for k in range(4))
+        assert all(any(g[0] <= b[0] and g[1] <= b[1] and b[2] <= g[2] and b[3] <= g[3] for g in got[p]) for b in bs)
 
 
-def test_touching_regions_split_like_brute_force(spark):
-    rng = random.Random(3)
-    regions, ink, wanted = [], [], {}
-    for p in range(30):
-        w, h = rng.randrange(45, 260), rng.randrange(40, 90)
-        bounds = sorted(rng.sample(range(w // 4, 3 * w // 4), rng.choice([1, 2, 3])))
-        sizes = [rng.choice([3, 8, 14]) for _ in bounds]
-        px = set()
-        for x in range(w):
-            gap = any(abs(x - b) < size for b, size in zip(bounds, sizes))
-            tall = rng.choice([0, 0, 1]) if gap else rng.randrange(h // 2, h)
-            px |= {(y, x) for y in range(tall)}
-        rid = f"r{p}"
-        regions.append((rid, 7, 9, w, h))
-        ink += [(rid, y, x) for y, x in px]
-        wanted[rid] = sorted(brute.split_touching(px, 7, 9, w, h))
+def test_a_near_dot_attaches_and_a_far_one_stays(spark):
+    data = {0: [(50, 40, 80, 90), (60, 22, 68, 30)], 1: [(50, 40, 80, 90), (200, 40, 208, 48)]}
+    boxes, pixels = frames(spark, data, {p: fill(bs, 1) for p, bs in data.items()})
+    got = as_sets(Y.attach_small_marks(Y.assign_rows(boxes), pixels))
+    assert got == {0: [(50, 22, 80, 90)], 1: data[1]}
+
+
+def pieces_of(spark, regions, ink):
     r = spark.createDataFrame(regions, "region_id string, x0 int, y0 int, width int, height int")
     i = spark.createDataFrame(ink, "region_id string, y int, x int").repartition(6)
     got = {}
     for row in Y.split_touching(r, i).collect():
         got.setdefault(row.region_id.split("/")[0], []).append((row.x0, row.y0, row.width, row.height))
-    assert {k: sorted(v) for k, v in got.items()} == wanted
-    assert any(len(v) > 2 for v in wanted.values())
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def test_touching_pieces_are_tight_and_disjoint(spark):
+    rng = random.Random(3)
+    regions, ink = {}, {}
+    for p in range(30):
+        w, h = rng.randrange(45, 260), rng.randrange(40, 90)
+        cuts = sorted(rng.sample(range(w // 4, 3 * w // 4), rng.choice([1, 2, 3])))
+        sizes = [rng.choice([3, 8, 14]) for _ in cuts]
+        px = set()
+        for x in range(w):
+            gap = any(abs(x - b) < size for b, size in zip(cuts, sizes))
+            px |= {(y, x) for y in range(rng.choice([0, 0, 1]) if gap else rng.randrange(h // 2, h))}
+        regions[f"r{p}"], ink[f"r{p}"] = (7, 9, w, h), px
+    got = pieces_of(spark, [(k, *v) for k, v in regions.items()], [(k, y, x) for k, px in ink.items() for y, x in px])
+    for k, pieces in got.items():
+        if pieces == [regions[k]]:
+            continue
+        assert 2 <= len(pieces) <= 8
+        assert all(a[0] + a[2] <= b[0] for a, b in zip(pieces, pieces[1:]))
+        for x0, y0, w, h in pieces:
+            own = inside(ink[k], (x0 - 7, y0 - 9, x0 - 7 + w, y0 - 9 + h))
+            assert bounds(own) == (x0 - 7, y0 - 9, x0 - 7 + w, y0 - 9 + h)
+    assert any(len(v) > 2 for v in got.values()) and set(got) == set(regions)
+
+
+def test_two_blobs_with_a_blank_between_are_two_pieces(spark):
+    blobs = [("two", y, x) for y in range(60) for x in [*range(0, 40), *range(54, 94)]] + [("one", y, x) for y in range(60) for x in range(40)]
+    got = pieces_of(spark, [("two", 100, 10, 94, 60), ("one", 0, 0, 40, 60)], blobs)
+    assert got == {"two": [(100, 10, 40, 60), (154, 10, 40, 60)], "one": [(0, 0, 40, 60)]}
 
 
 def test_components_equal_flood_fill(spark):

@@ -298,3 +298,24 @@ def test_page_text(spark):
     df = spark.createDataFrame([g + ([],) for g in glyphs], "page_id string, row int, idx int, label string, confidence double, x double, y double, width double, height double, alternatives array<struct<label:string,confidence:double>>").withColumn("shown", F.col("label"))
     out = page_layout.page_texts(df).first()
     assert (out.display, out.raw_sequence) == ("Hi", "Hi")
+
+
+def test_roots_as_uri_dotted_relative_and_repeated(spark, tmp_path, monkeypatch):
+    root = write(tmp_path / "base", "65/a.png", "66/b.png")
+    inner = f"66{root}"
+    write(tmp_path / "base", f"{inner}/deep.png")
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "x").mkdir()
+    expected = {"65/a.png", "66/b.png", f"{inner}/deep.png"}
+    for given in (root, f"file://{root}", f"file:{root}/", f"{tmp_path}/x/../base"):
+        assert {r.rel for r in folders.list_files(spark, given).collect()} == expected
+    counts = folders.exported_crop_counts(folders.list_files(spark, f"file://{root}"))
+    assert {r.label: r["count"] for r in counts.collect()} == {"A": 1, "B": 2}
+
+
+def test_checkpoints_follow_the_history(spark):
+    rows = [("other_best_checkpoint", 0, 0.5), ("history", 7, 0.5), ("best_checkpoint", 0, 0.5), ("another_best_checkpoint", 0, 0.5)]
+    table = spark.createDataFrame(rows, "kind string, position int, m double")
+    assert quality.best_checkpoint(table, "m").first().kind == "history"
+    assert quality.best_checkpoint(table.filter("kind <> 'history'"), "m").first().kind == "best_checkpoint"
+    assert quality.best_checkpoint(table.filter("kind like '%other%'"), "m").first().kind == "another_best_checkpoint"
