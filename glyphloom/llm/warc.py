@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import arrow_rows, row_keyed
+from glyphloom.llm.common import arrow_rows
 from glyphloom.session import cut_lineage, scratch_path
 
-DATA_MEMBER = "archive/data.warc"
+DATA_MEMBER = "archive/data.warc.gz"
 INDEX_MEMBER = "indexes/index.cdxj"
 RANGE_BYTES = 8 << 20
 """Bytes of consecutive records that one read fetches, about."""
@@ -53,19 +55,18 @@ def record(kind: str, ident: str, url: str, payload: bytes, refers_to: str | Non
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of consecutive records."""
+def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of one record."""
 
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:stop].decode("utf-8", "surrogatepass").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
-        length = int(headers["Content-Length"])
-        yield headers, data[stop + 4 : stop + 4 + length]
-        at = stop + 4 + length + 4
+    head, _, rest = data.partition(b"\r\n\r\n")
+    version, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    if not version.startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
+    block = rest[: int(headers["Content-Length"])]
+    if rest[len(block) :] != b"\r\n\r\n":
+        raise ValueError(f"{headers.get('WARC-Record-ID')}: its length is wrong")
+    return headers, block
 
 
 def zip_members(read_at: ReadAt, size: int) -> dict[str, tuple[int, int, int]]:
@@ -124,25 +125,36 @@ def _wide_fields(extra: bytes, wanted: list[bool]) -> list[int | None]:
     return [None] * len(wanted)
 
 
+SALTS = 16
+"""Parts into which the rows of one payload are dealt where they meet the row that stands for them."""
+
+
 def with_revisits(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """(row_key, key, url, payload, refers_to, refers_key): whose payload another row's record stands for.
+    """(key, url, payload, refers_to): the page whose record holds this row's payload, if another's does.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes that with the largest key
-    (then row) is kept; the others name it. Keys and digests alone are grouped and joined;
-    the payload moves once, by row, so a payload shared by a third of all rows stays spread.
+    is kept; the others name it. Digests are grouped with partial sums; what is joined
+    back are digests that occur twice or more, once for each of ``SALTS`` parts, so a payload
+    that a third of all rows share is not one task's. Null keys come before all others; rows
+    that repeat the kept row's key and payload are kept like it.
     """
 
-    keyed = row_keyed(pages.select(key, "url", F.coalesce(F.col(payload), F.lit("")).alias("payload")))
-    marks = cut_lineage(keyed.filter(F.octet_length("payload") >= least_bytes).select("row_key", F.col(key).alias("k"), F.sha1(F.col("payload").cast("binary")).alias("sha"), F.octet_length("payload").alias("size")))
-    kept = marks.groupBy("sha", "size").agg(F.max(F.struct("k", "row_key")).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    refers = marks.join(kept, ["sha", "size"]).filter("kept.row_key <> row_key").select("row_key", F.col("kept.k").alias("refers_to"), F.col("kept.row_key").alias("refers_key"))
-    return keyed.join(refers, "row_key", "left")
+    payloads = pages.select(key, "url", F.coalesce(F.col(payload), F.lit("")).alias("payload")).withColumns(
+        {"sha": F.sha1(F.col("payload").cast("binary")), "size": F.octet_length("payload"), "salt": F.pmod(F.xxhash64(key, "url"), F.lit(SALTS)).cast("int")}
+    )
+    shared = (
+        payloads.filter(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.max(key).alias("kept"), F.count("*").alias("n"))
+        .filter("n > 1").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    other = F.when(~F.col("kept").eqNullSafe(F.col(key)), F.col("kept"))
+    return payloads.join(shared, ["sha", "size", "salt"], "left").select(key, "url", "payload", other.alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, key: str = "page_id") -> DataFrame:
     """Write one ZIP package per partition into the shared ``folder``; returns the written (path, records, bytes).
 
-    The package holds the WARC file as a stored member and an index of its records. A retried
+    The package holds the WARC file as a stored member, each record a gzip member of its own,
+    and an index of its records. A retried
     task writes under another name, and only names that reached the returned table are read.
     """
 
@@ -160,23 +172,22 @@ def write_archives(records: DataFrame, folder: str, key: str = "page_id") -> Dat
             with package.open(DATA_MEMBER, "w", force_zip64=True) as member:
                 part: list[tuple] | None = first
                 while part is not None:
-                    for row_key, page, url, text, refers_to, refers_key in part:
-                        kind = "response" if refers_key is None else "revisit"
-                        other = None if refers_key is None else _ident(refers_to, refers_key)
-                        data = record(kind, _ident(page, row_key), url, (text or "").encode("utf-8", "surrogatepass"), other)
+                    for page, url, text, refers_to in part:
+                        kind = "response" if refers_to is None else "revisit"
+                        plain = record(kind, _ident(page), url, (text or "").encode("utf-8", "surrogatepass"), _ident(refers_to))
+                        data = gzip.compress(plain, 1, mtime=0)
                         member.write(data)
-                        lines.append(json.dumps({"id": _ident(page, row_key), "offset": at, "length": len(data)}))
+                        lines.append(json.dumps({"id": _ident(page), "offset": at, "length": len(data)}))
                         at += len(data)
                     part = next(slices, None)
             package.writestr(INDEX_MEMBER, "\n".join(lines))
         yield [(path, len(lines), store.get_file_info(path).size)]
 
-    columns = ["row_key", key, "url", "payload", "refers_to", "refers_key"]
-    return cut_lineage(arrow_rows(records, columns, "path string, records bigint, bytes bigint", rows))
+    return cut_lineage(arrow_rows(records, [key, "url", "payload", "refers_to"], "path string, records bigint, bytes bigint", rows))
 
 
-def _ident(page: int | None, row_key: int) -> str:
-    return f"urn:page:{'' if page is None else page}:{row_key}"
+def _ident(page: int | None) -> str:
+    return f"urn:page:{'' if page is None else page}"
 
 
 def _page(ident: str | None) -> int | None:
@@ -185,7 +196,7 @@ def _page(ident: str | None) -> int | None:
 
 
 def record_ranges(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, start, bytes): runs of whole records of every package's WARC member, from directory and index."""
+    """(path, start, lengths): runs of whole records of every package's WARC member, from directory and index."""
 
     def rows(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         from pyarrow import fs
@@ -198,16 +209,17 @@ def record_ranges(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYT
                     (method, first, _), (index_method, index_at, index_bytes) = members[DATA_MEMBER], members[INDEX_MEMBER]
                     if method or index_method:
                         raise ValueError(f"{path}: members are compressed")
-                    start, length, out = first, 0, []
+                    start, size_of, lengths, out = first, 0, [], []
                     for line in file.read_at(index_bytes, index_at).decode().split("\n"):
                         entry = json.loads(line)
-                        if length and length + entry["length"] > range_bytes:
-                            out.append((path, start, length))
-                            start, length = first + entry["offset"], 0
-                        length += entry["length"]
-                    yield [*out, (path, start, length)]
+                        if lengths and size_of + entry["length"] > range_bytes:
+                            out.append((path, start, lengths))
+                            start, size_of, lengths = first + entry["offset"], 0, []
+                        lengths.append(entry["length"])
+                        size_of += entry["length"]
+                    yield [*out, (path, start, lengths)]
 
-    return arrow_rows(archives, ["path", "bytes"], "path string, start bigint, bytes bigint", rows)
+    return arrow_rows(archives, ["path", "bytes"], "path string, start bigint, lengths array<bigint>", rows)
 
 
 def read_records(ranges: DataFrame, folder: str) -> DataFrame:
@@ -218,11 +230,12 @@ def read_records(ranges: DataFrame, folder: str) -> DataFrame:
 
         store, _ = fs.FileSystem.from_uri(folder)
         for part in slices:
-            for path, start, size in part:
+            for path, start, lengths in part:
                 with store.open_input_file(path) as file:
-                    data = file.read_at(size, start)
-                out = []
-                for headers, block in split_records(data):
+                    data = memoryview(file.read_at(sum(lengths), start))
+                out, stops = [], list(accumulate(lengths))
+                for a, b in zip([0, *stops], stops):
+                    headers, block = parsed(gzip.decompress(data[a:b]))
                     head, _, payload = block.partition(b"\r\n\r\n")
                     digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                     size_of = int(head.decode().rpartition("Content-Length: ")[2])
@@ -235,7 +248,7 @@ def read_records(ranges: DataFrame, folder: str) -> DataFrame:
                 yield out
 
     fields = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
-    return arrow_rows(ranges, ["path", "start", "bytes"], fields, rows)
+    return arrow_rows(ranges, ["path", "start", "lengths"], fields, rows)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
