@@ -13,7 +13,7 @@ from glyphloom.functions.labels import (
     TARGET_PER_LABEL,
     characters,
 )
-from glyphloom.functions.text import box_aligned_label, strip
+from glyphloom.functions.text import box_aligned_label, data_url_bytes, data_url_reason, strip
 from glyphloom.session import cut_lineage
 
 BOX = "struct<x:double,y:double,width:double,height:double,row:int>"
@@ -35,6 +35,7 @@ UNALIGNED = "Whole-result corrections must match the detected character count."
 MAX_API_BODY = 16_384
 MAX_FORM_BODY = 8 * 1024 * 1024 + 16_384
 MAX_SEQUENCE = 255
+RECEIVED_AT = "received_at"
 MAX_BOXES = 255
 MIN_CORRECTIONS = 10
 FOCUS_SIZE = 8
@@ -140,7 +141,8 @@ def validate_corrections(forms: DataFrame, practice_labels: str = PRIORITY_LABEL
     """Shape decoded forms into correction records with the first failing rule as ``reason``.
 
     ``reason`` is null on accepted rows. Splitting on it gives the log and the
-    quarantine from one pass.
+    quarantine from one pass. A column ``received_at`` with the event's time becomes
+    the record's ``timestamp``; without it the column is null.
     """
 
     def field(name: str, default: str = "") -> Column:
@@ -193,7 +195,8 @@ def validate_corrections(forms: DataFrame, practice_labels: str = PRIORITY_LABEL
         .when(sequence & (F.length("_final") != F.size("_boxes")), UNALIGNED)
         .when(~_box_complete(F.col("_bbox")), MALFORMED)
     )
-    keep = [c for c in forms.columns if c not in FORM_FIELDS and c not in ("body", "form_ok")]
+    keep = [c for c in forms.columns if c not in FORM_FIELDS and c not in ("body", "form_ok", RECEIVED_AT)]
+    received = F.col(RECEIVED_AT) if RECEIVED_AT in forms.columns else F.lit(None)
     return shaped.select(
         *keep,
         F.col("_kind").alias("correction_kind"),
@@ -206,10 +209,24 @@ def validate_corrections(forms: DataFrame, practice_labels: str = PRIORITY_LABEL
         F.col("_conf").alias("confidence"),
         F.col("_bbox").alias("bbox"),
         F.col("_boxes").alias("prediction_boxes"),
+        received.cast("timestamp").alias("timestamp"),
         reason.alias("reason"),
     )
 
 
+def practice_images(forms: DataFrame) -> DataFrame:
+    """(image_id, content): the image sent with each accepted practice form, first copy per image id by content.
+
+    Forms that validation or the payload check refuses give none. The result feeds
+    an anti-join on the ids that the store already holds.
+    """
+
+    checked = validate_corrections(forms.withColumn("_source", F.coalesce("source_image", F.lit(""))))
+    accepted = checked.filter(F.col("reason").isNull() & (F.col("_source") != "") & data_url_reason(F.col("_source"), F.col("image_id")).isNull())
+    decoded = accepted.select("image_id", data_url_bytes(F.col("_source")).alias("content"))
+    return decoded.groupBy("image_id").agg(F.min("content").alias("content"))
+
+
 # -------------------------------------------------------------- records to items
 
 

@@ -308,16 +308,39 @@ def form_decode(spark: SparkSession, root: str) -> DataFrame:
       WHEN 7 THEN 'Whole-result corrections must match the detected character count.'
       WHEN 8 THEN CASE WHEN event_id % 4 <> 0 THEN 'Practice correction is malformed.' END
       WHEN 9 THEN CASE WHEN event_id % 4 <> 0 THEN 'Practice correction is malformed.' ELSE 'Practice corrections must use a practice label.' END
-      WHEN 10 THEN 'Correction request is malformed.' END AS reason FROM events""",
+      WHEN 10 THEN 'Correction request is malformed.' END AS reason, ts AS timestamp FROM events""",
 )
 def feedback_validation(spark: SparkSession, root: str) -> DataFrame:
-    checked = B.validate_corrections(B.decode_forms(T.form_bodies(spark, root)))
+    times = T.table(spark, root, "events").select("event_id", F.col("ts").alias(B.RECEIVED_AT))
+    checked = B.validate_corrections(B.decode_forms(T.form_bodies(spark, root).join(times, "event_id")))
     return checked.select(
         "event_id", "correction_kind", "corrected_label", F.size("prediction_boxes").alias("boxes"), F.col("bbox.x").alias("x"),
-        "filename", "reason",
+        "filename", "reason", "timestamp",
     )
 
 
+@query(
+    "s12_practice_images",
+    """SELECT 'practice-' || event_id AS image_id, 'image' || event_id AS content FROM events WHERE event_id % 4 = 0
+    UNION ALL SELECT 'practice-same', min('image' || event_id) FROM events WHERE event_id % 4 = 1 HAVING count(*) > 0""",
+)
+def practice_images(spark: SparkSession, root: str) -> DataFrame:
+    """Forms in four kinds: an image of its own, a shared image id, a broken payload, a label that isn't practised."""
+
+    kind = F.col("event_id") % 4
+    payload = F.base64(F.encode(F.concat(F.lit("image"), "event_id"), "utf-8"))
+    url = F.concat(F.lit(X.PNG_DATA_URL), F.when(kind == 2, "*").otherwise(""), payload)
+    image = F.concat(F.lit("practice-"), F.when(kind == 1, "same").otherwise(F.col("event_id").cast("string")))
+    label = F.when(kind == 3, "~").otherwise(B.PRIORITY_LABELS[0])
+    box = '{"x": 1, "y": 2, "width": 3, "height": 4, "row": 1}'
+    body = F.concat(
+        F.lit("prediction_index=1&corrected_label="), F.url_encode(label), F.lit("&image_id="), image, F.lit("&bbox="), F.url_encode(F.lit(box)),
+        F.lit("&source_image="), F.url_encode(url),
+    )
+    forms = B.decode_forms(T.table(spark, root, "events").select(body.alias("body")), max_body=B.MAX_API_BODY * 1024)
+    return B.practice_images(forms).select("image_id", F.decode("content", "utf-8").alias("content"))
+
+
 @query(
     "p19_box_aligned_label",
     with_ctes(

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from glyphloom.functions.labels import CHARACTER_LABELS
 from glyphloom.operators.feedback import (
+    RECEIVED_AT,
     coverage_report,
     coverage_rows,
     decode_forms,
@@ -33,7 +34,10 @@ def read_bodies(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 
 def accepted_and_refused(bodies: DataFrame) -> DataFrame:
-    return validate_corrections(decode_forms(bodies))
+    """Checked records; bodies without a time of their own get the batch's."""
+
+    timed = bodies if RECEIVED_AT in bodies.columns else bodies.withColumn(RECEIVED_AT, F.current_timestamp())
+    return validate_corrections(decode_forms(timed))
 
 
 def write_feedback(

@@ -1,4 +1,5 @@
 import glob
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -19,8 +20,10 @@ def test_feedback_stream_equals_batch(spark, tmp_path):
     paths = [str(tmp_path / n) for n in ("log", "refused", "ckpt")]
     S.write_feedback(S.read_bodies(spark, str(tmp_path / "in"), 2), *paths).awaitTermination()
     batch = B.validate_corrections(B.decode_forms(bodies))
-    log = sorted(r.value for r in spark.read.text(paths[0]).collect())
-    assert log == sorted(r.value for r in feedback_log.correction_lines(batch.filter("reason is null").drop("reason")).collect())
+    timed = [json.loads(r.value) for r in spark.read.text(paths[0]).collect()]
+    assert all(r["timestamp"] for r in timed)
+    untimed = lambda lines: sorted(json.dumps({**json.loads(v), "timestamp": None}, sort_keys=True) for v in lines)
+    assert untimed(json.dumps(r) for r in timed) == untimed(r.value for r in feedback_log.correction_lines(batch.filter("reason is null").drop("reason")).collect())
     count = lambda df: {r.reason: r["count"] for r in df.groupBy("reason").count().collect()}
     assert count(spark.read.parquet(paths[1])) == count(batch.filter("reason is not null"))
     assert len(glob.glob(f"{paths[0]}/batch=*")) > 1
