@@ -6,7 +6,8 @@ in one certain token, and a byte-by-byte machine can keep all prefixes at which
 token may still begin, each with its encoding. Tokens common to all of them are certain and
 leave at once; since vocabulary tokens are short, the lookahead is bounded. What is left,
 with the trie places of the open tokens, is the machine's state. States and transitions are
-made when first met and forgotten together when there are too many.
+made as they are met, one for each piece that leaves the known ones, and forgotten together
+when there are too many.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from glyphloom.llm.common import arrow_rows
 
 MAX_STATES = 200_000
-MAX_CHUNKS = 250_000
+MAX_CHUNKS = 400_000
+MAX_PIECES = 350_000
 MAX_PAIRS = 500_000
 
 
@@ -70,14 +72,15 @@ class Transducer:
             return (whole,)
         out: tuple[int, ...] = ()
         state, steps = 0, self.steps
-        for b in piece:
+        for at, b in enumerate(piece):
             hop = steps.get(state << 8 | b)
             if hop is None:
                 if len(self.states) >= self.max_states:
                     here = self.states[state]
                     self._forget()
-                    steps, state = self.steps, self._intern(here)
-                hop = steps[state << 8 | b] = self._step(self.states[state], b)
+                    state = self._intern(here)
+                state, emitted = self.steps[state << 8 | b] = self._step(self.states[state], b)
+                return out + emitted + self._undetermined(self.states[state], piece[at + 1 :])
             state, emitted = hop
             if emitted:
                 out += emitted
@@ -86,6 +89,34 @@ class Transducer:
             left = self.flush[state] = next(tokens[known:] for node, tokens, known in self.states[state] if node == 0)
         return out + left
 
+    def _undetermined(self, state: tuple, rest: bytes) -> tuple[int, ...]:
+        """Tokens still to emit after ``rest``, by the open prefixes themselves, without new states.
+
+        A piece makes one new transition, so what is met often gets its states and what is
+        met once doesn't fill the memory.
+        """
+
+        children, token_at, pairs, own = self.children, self.token_at, self.pairs, self.own
+        live = [(node, tokens[-1] if tokens else -1, tokens[known:]) for node, tokens, known in state]
+        whole = next(x for x in live if not x[0])
+        for b in rest:
+            onward, whole = [], None
+            for node, last, path in live:
+                at = children[node].get(b)
+                if at is None:
+                    continue
+                if whole is None:
+                    token = token_at[at]
+                    if token is not None and (token in own or self._own(token, at)):
+                        stays = True if last < 0 else pairs.get(last << 32 | token)
+                        if stays or stays is None and self._stay(last, token):
+                            whole = (0, token, (*path, token))
+                if children[at]:
+                    onward.append((at, last, path))
+            onward.append(whole)
+            live = onward
+        return whole[2]
+
     def _intern(self, state: tuple) -> int:
         at = self.number.setdefault(state, len(self.states))
         if at == len(self.states):
@@ -240,6 +271,7 @@ class Codec:
         self.table = [self.machine.bytes_of.get(k, b"") for k in range(max(self.machine.bytes_of) + 1)]
         self.known: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         """Ids of every match of the pattern, each encoded by itself.
@@ -275,9 +307,11 @@ class Codec:
     def _piece(self, piece: str) -> tuple[int, ...]:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.machine.encode(piece.encode("utf-8", "surrogatepass"))
-            if len(self.pieces) > MAX_CHUNKS:
-                self.pieces.clear()
+            ids = self.older.get(piece)
+            if ids is None:
+                ids = self.machine.encode(piece.encode("utf-8", "surrogatepass"))
+            if len(self.pieces) > MAX_PIECES:  # what was met since the last change of generation stays
+                self.older, self.pieces = self.pieces, {}
             if len(piece) < 64:
                 self.pieces[piece] = ids
         return ids
