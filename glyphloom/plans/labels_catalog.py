@@ -567,14 +567,14 @@ def score_folding(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "p13_top_guesses_from_scores",
-    f"""WITH {_SCORES.format(n=10)}, p AS (SELECT sample_id, i, exp(v - max(v) OVER w) / sum(exp(v)) OVER w * exp(max(v) OVER w) AS p
+    f"""WITH {_SCORES.format(n=64)}, p AS (SELECT sample_id, i, exp(v - max(v) OVER w) / sum(exp(v)) OVER w * exp(max(v) OVER w) AS p
     FROM s WINDOW w AS (PARTITION BY sample_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, i) AS k FROM p)
-    SELECT sample_id, CAST(k AS INTEGER) AS k, ['0','O','o','1','l','I','S','s','5','7'][i + 1] AS label, round(p, 6) AS confidence FROM r WHERE k <= 5""",
+    SELECT sample_id, CAST(k AS INTEGER) AS k, chr(CAST(33 + i AS INTEGER)) AS label, round(p, 6) AS confidence FROM r WHERE k <= 5""",
 )
 def top_guesses_from_scores(spark: SparkSession, root: str) -> DataFrame:
-    labels = F.array(*[F.lit(v) for v in T.TWIN_LABELS])
-    top = T.score_vectors(spark, root, 10).select(
+    labels = F.array(*[F.lit(v) for v in T.SCORE_LABELS])
+    top = T.score_vectors(spark, root, 64).select(
         "sample_id", F.posexplode(S.top_guesses_from_scores(F.col("scores"), labels)).alias("k", "g")
     )
     return top.select("sample_id", (F.col("k") + 1).alias("k"), "g.label", rounded("g.confidence").alias("confidence"))
@@ -603,14 +603,14 @@ def loss_aggregates(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "f01_pluggable_scorer",
-    f"""WITH {_SCORES.format(n=10)}, p AS (SELECT sample_id, i, v, sum(exp(v)) OVER (PARTITION BY sample_id) AS z FROM s)
-    SELECT sample_id AS region_id, ['0','O','o','1','l','I','S','s','5','7'][i + 1] AS label, round(exp(v) / z, 6) AS confidence FROM p
+    f"""WITH {_SCORES.format(n=64)}, p AS (SELECT sample_id, i, v, sum(exp(v)) OVER (PARTITION BY sample_id) AS z FROM s)
+    SELECT sample_id AS region_id, chr(CAST(33 + i AS INTEGER)) AS label, round(exp(v) / z, 6) AS confidence FROM p
     QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY v DESC, i) = 1""",
 )
 def pluggable_scorer(spark: SparkSession, root: str) -> DataFrame:
     samples = T.glyph_samples(spark, root).select(F.col("sample_id").alias("region_id"), "vec")
-    scored = scoring.score_vectors(samples, lambda block: block[:, :10] * 10.0)
-    labels = F.array(*[F.lit(v) for v in T.TWIN_LABELS])
+    scored = scoring.score_vectors(samples, lambda block: block * 10.0)
+    labels = F.array(*[F.lit(v) for v in T.SCORE_LABELS])
     best = F.get(S.top_guesses_from_scores(F.col("scores"), labels, 1), F.lit(0))
     return scored.select("region_id", best["label"].alias("label"), rounded(best["confidence"]).alias("confidence"))
 

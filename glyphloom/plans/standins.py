@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from glyphloom.operators.curate import exemplar_bank, stratified_split
 from glyphloom.operators.matching import nearest_exemplar
+from glyphloom.session import cut_lineage
 
 TWIN_LABELS = ["0", "O", "o", "1", "l", "I", "S", "s", "5", "7"]
+SCORE_LABELS = [chr(33 + i) for i in range(64)]
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 # Letter by letter, the confusable glyph it is read as in the twin predictions.
 CONFUSABLE = "opZiSGtOI4kzTs1P80l527M9yg"
@@ -55,7 +57,7 @@ def split_samples(spark: SparkSession, root: str) -> DataFrame:
 def scored_labels(spark: SparkSession, root: str) -> DataFrame:
     """(sample_id, batch_id, expected, predicted, distance): validation rows, 1-NN labels."""
 
-    samples = split_samples(spark, root)
+    samples = cut_lineage(split_samples(spark, root))  # read twice below
     bank = exemplar_bank(samples.filter("split = 'train'"))
     queries = samples.filter("split = 'validation'").select("sample_id", F.col("label").alias("expected"), "vec")
     matched = nearest_exemplar(queries, bank, ["sample_id", "expected"])
