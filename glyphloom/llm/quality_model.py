@@ -153,7 +153,7 @@ def fit(measured: DataFrame, features: int = FEATURES, gamma: float = GAMMA, rid
 def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, key: str = "doc_id", text: str = "text") -> Model | None:
     """Fit on labelled rows whose crc32 remainder of 3 isn't ``held_out``; None without any."""
 
-    known = labels.filter("quality is not null").select(F.col(key).alias("id"), F.col("quality").cast("double").alias("label"))
+    known = labels.filter("quality in (0, 1)").select(F.col(key).alias("id"), F.col("quality").cast("double").alias("label"))
     if held_out is not None:
         known = known.filter(crc_remainder(F.col("id"), 3) != held_out)
     known = bounded_part(known, SAMPLE_DOCS, F.col("id"))

@@ -227,7 +227,7 @@ def _gradient(narrow: DataFrame, w: np.ndarray, bias: float) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
     """Train on labelled rows of ``docs`` whose crc32 remainder of 4 isn't ``held_out``; rows without a label don't count."""
 
-    known = labels.filter("toxic is not null").select(F.col(key).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = labels.filter("toxic in (0, 1)").select(F.col(key).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     if held_out is not None:
         known = known.filter(crc_remainder(F.col("doc_id"), 4) != held_out)
     known = bounded_part(known, SAMPLE_DOCS, F.col("doc_id"))
