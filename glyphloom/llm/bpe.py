@@ -6,8 +6,8 @@ in one certain token, and a byte-by-byte machine can keep all prefixes at which
 token may still begin, each with its encoding. Tokens common to all of them are certain and
 leave at once; since vocabulary tokens are short, the lookahead is bounded. What is left,
 with the trie places of the open tokens, is the machine's state. States and transitions are
-made as they are met, one for each piece that leaves the known ones, and forgotten together
-when there are too many.
+made once they have been met some times (rare ones are followed prefix by prefix) and forgotten
+together when there are too many.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ MAX_STATES = 200_000
 MAX_CHUNKS = 400_000
 MAX_PIECES = 350_000
 MAX_PAIRS = 500_000
+MAX_MISSED = 400_000
+MEETINGS = 12
+"""Times that a transition has to be met before it is made."""
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -63,6 +66,7 @@ class Transducer:
         self.states: list[tuple] = [start]
         self.flush: list[tuple[int, ...] | None] = [()]
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte
+        self.missed: dict[int, int] = {}
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ids of ``piece``; a piece that is itself in the vocabulary is one token, as in tiktoken."""
@@ -73,14 +77,18 @@ class Transducer:
         out: tuple[int, ...] = ()
         state, steps = 0, self.steps
         for at, b in enumerate(piece):
-            hop = steps.get(state << 8 | b)
+            key = state << 8 | b
+            hop = steps.get(key)
             if hop is None:
-                if len(self.states) >= self.max_states:
+                met = self.missed.get(key, 0) + 1
+                if met < MEETINGS:
+                    self.missed[key] = met
+                    return out + self._undetermined(self.states[state], piece[at:])
+                if len(self.states) >= self.max_states or len(self.missed) > MAX_MISSED:
                     here = self.states[state]
                     self._forget()
-                    state = self._intern(here)
-                state, emitted = self.steps[state << 8 | b] = self._step(self.states[state], b)
-                return out + emitted + self._undetermined(self.states[state], piece[at + 1 :])
+                    steps, state = self.steps, self._intern(here)
+                hop = steps[state << 8 | b] = self._step(self.states[state], b)
             state, emitted = hop
             if emitted:
                 out += emitted
@@ -92,8 +100,8 @@ class Transducer:
     def _undetermined(self, state: tuple, rest: bytes) -> tuple[int, ...]:
         """Tokens still to emit after ``rest``, by the open prefixes themselves, without new states.
 
-        A piece makes one new transition, so what is met often gets its states and what is
-        met once doesn't fill the memory.
+        A transition is made when it is missed for the ``MEETINGS``-th time, so what is met
+        often gets its states and what is met once costs no more than this.
         """
 
         children, token_at, pairs, own = self.children, self.token_at, self.pairs, self.own
@@ -269,6 +277,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.runs = regex.compile(r"\s ").search
         self.table = [self.machine.bytes_of.get(k, b"") for k in range(max(self.machine.bytes_of) + 1)]
+        self.decimal = [str(k) for k in range(len(self.table))]
         self.known: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -357,7 +366,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
                 digest = hashlib.sha256()
                 for decoded in codec.decode_stream(ids[k : k + DECODE_IDS] for k in range(0, len(ids), DECODE_IDS)):
                     digest.update(decoded.encode())
-                out.append((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), digest.hexdigest()))
+                out.append((doc_id, len(ids), hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest(), digest.hexdigest()))
             yield out
 
     kind = dict(docs.dtypes)[key]
