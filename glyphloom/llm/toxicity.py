@@ -1,9 +1,12 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents carry the labels.
 
-A sentence scores sigma(b + sum of its distinct words' weights); a document is toxic unless
-all its sentences are clean: p = 1 - prod(1 - p_s) (noisy-or). The document's label trains
-the sentence weights. A word's weight is the sum over hashed features: the word and its
-prefixes, so that inflected forms of a stem share what is learned.
+A sentence scores by how far sigma(b + v), v the sum of its distinct features' weights, exceeds
+sigma(b): 1 - p_s = (1 - sigma(b + v)) / (1 - sigma(b)), and 0 where v isn't positive. A document
+is toxic unless all its sentences are clean and its base rate is: p = 1 - (1 - p_0) prod(1 - p_s)
+(noisy-or). A sentence without evidence scores 0 and p_0 counts once a document, so that a
+long text isn't toxic for its length. The document's label trains weights, b and p_0. A word's
+features are hashes of the word and its prefixes, so that inflected forms of a stem share what
+is learned.
 """
 
 from __future__ import annotations
@@ -64,13 +67,14 @@ def sentences(text: str | None) -> Iterator[tuple[int, int]]:
 class Scorer:
     """Scores texts with learned weights; words met again come from a bounded memory."""
 
-    def __init__(self, weights: np.ndarray, bias: float) -> None:
-        self.weights, self.bias, self.known = weights, bias, {}
+    def __init__(self, weights: np.ndarray, bias: float, base: float) -> None:
+        self.weights, self.bias, self.base, self.known, self.told = weights, bias, base, {}, {}
 
-    def _word(self, word: str) -> tuple[float, bool]:
-        at = word_buckets(word)
-        value = float(self.weights[list(at)].sum()) if at else 0.0
-        return (value, word.endswith(ENDS) or word == "\n")  # whether a sentence ends after it
+    def _word(self, word: str) -> tuple[bool, bool]:
+        at = [k for k in word_buckets(word) if self.weights[k]]
+        if at:
+            self.told[word] = at
+        return (bool(at), word.endswith(ENDS) or word == "\n")  # whether a sentence ends after it
 
     def sentence_scores(self, text: str | None) -> np.ndarray:
         """Probability of every sentence, in order; the empty text has one empty sentence."""
@@ -82,16 +86,26 @@ class Scorer:
         except KeyError:
             if len(known) > KNOWN_WORDS:
                 known.clear()
+                self.told.clear()
             for w in set(words).difference(known):
                 known[w] = self._word(w)
             pairs = [known[w] for w in words]
-        values, ends = np.array(pairs, dtype=np.float64).T
-        first = np.flatnonzero(np.append(True, ends[:-1] > 0))
-        z = self.bias + np.add.reduceat(values, first)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        telling, ends = np.array(pairs, dtype=bool).T
+        first = np.flatnonzero(np.append(True, ends[:-1]))
+        hits = np.flatnonzero(telling)
+        held: dict[int, set[int]] = {}
+        for sentence, at in zip((np.searchsorted(first, hits, "right") - 1).tolist(), hits.tolist()):
+            held.setdefault(sentence, set()).update(self.told[words[at]])
+        v = np.zeros(len(first))
+        for sentence, buckets in held.items():
+            v[sentence] = self.weights[sorted(buckets)].sum()
+        return -np.expm1(log_clean(v, self.bias))
 
     def score(self, text: str | None) -> float:
-        return noisy_or(self.sentence_scores(text))
+        """Noisy-or of the document's base rate and its sentences."""
+
+        clean = 1 - noisy_or(self.sentence_scores(text))
+        return float(1 - clean / (1 + np.exp(self.base)))
 
     def worst(self, text: str | None, least: float) -> list[tuple[int, int, float]]:
         """(start, end, score) of sentences from ``least`` on, to show what is offending."""
@@ -104,6 +118,13 @@ class Scorer:
         return found
 
 
+def log_clean(v: np.ndarray, bias: float) -> np.ndarray:
+    """log(1 - p) of sentences whose weights sum up to ``v``; 0 without evidence."""
+
+    z = np.clip(bias + np.maximum(v, 0), -30, 30)
+    return np.minimum(np.log1p(np.exp(np.clip(bias, -30, 30))) - np.log1p(np.exp(z)), 0)
+
+
 def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
@@ -157,8 +178,8 @@ def telling_buckets(bags_table: DataFrame, n: int, n_toxic: int) -> np.ndarray:
     return np.array([r["bucket"] for r in telling.select("bucket").toLocalIterator()], np.int64)
 
 
-def train(bags_table: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights and bias from full-batch gradients summed per partition, AdaGrad steps on the driver.
+def train(bags_table: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float]:
+    """Weights, the sentences' bias and the documents' from full-batch gradients summed per partition, AdaGrad steps on the driver.
 
     A round is one Spark job; a partition sends back one number per telling bucket, whatever
     the number of documents.
@@ -167,19 +188,19 @@ def train(bags_table: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, floa
     counts = {r["toxic"]: r["count"] for r in bags_table.groupBy("toxic").count().collect()}
     n, weights = sum(counts.values()), np.zeros(BUCKETS)
     if len(counts) < 2:
-        return weights, -START_BIAS if counts.get(1) else START_BIAS
+        return weights, START_BIAS, -START_BIAS if counts.get(1) else START_BIAS
     telling = telling_buckets(bags_table, n, counts[1])
     narrow = cut_lineage(_narrowed(bags_table, telling))
-    w, bias = np.ones(len(telling)), START_BIAS
-    squares = np.full(len(telling) + 1, 1e-8)
+    w, bias, base = np.ones(len(telling)), START_BIAS, START_BIAS
+    squares = np.full(len(telling) + 2, 1e-8)
     for _ in range(rounds):
-        gradient = _gradient(narrow, w, bias) / n
-        gradient[:-1] += SPARSITY * np.sign(w)
+        gradient = _gradient(narrow, w, bias, base) / n
+        gradient[:-2] += SPARSITY * np.sign(w)
         squares += gradient**2
         step = RATE * gradient / np.sqrt(squares)
-        w, bias = w - step[:-1], bias - float(step[-1])
+        w, bias, base = w - step[:-2], bias - float(step[-2]), base - float(step[-1])
     weights[telling] = w
-    return weights, bias
+    return weights, bias, base
 
 
 def _narrowed(bags_table: DataFrame, telling: np.ndarray) -> DataFrame:
@@ -201,9 +222,14 @@ def _narrowed(bags_table: DataFrame, telling: np.ndarray) -> DataFrame:
     return arrow_rows(bags_table, ["toxic", "starts", "buckets"], "toxic int, sizes binary, places binary", rows)
 
 
-def _gradient(narrow: DataFrame, w: np.ndarray, bias: float) -> np.ndarray:
+def _gradient(narrow: DataFrame, w: np.ndarray, bias: float, base: float) -> np.ndarray:
+    """Sums over documents: a number per weight, then one for ``bias`` and one for ``base``."""
+
+    def sigma(z: np.ndarray | float) -> np.ndarray | float:
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     def rows(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
-        total = np.zeros(len(w) + 1)
+        total = np.zeros(len(w) + 2)
         for part in slices:
             toxic = np.array([r[0] for r in part])
             sizes = [np.frombuffer(r[1], np.int32) for r in part]
@@ -211,20 +237,21 @@ def _gradient(narrow: DataFrame, w: np.ndarray, bias: float) -> np.ndarray:
             doc = np.repeat(np.arange(len(part)), [len(x) for x in sizes])
             flat = np.concatenate(sizes)
             sentence = np.repeat(np.arange(len(flat)), flat)
-            z = np.clip(bias + np.bincount(sentence, w[places], len(flat)), -30, 30)
-            p = 1 / (1 + np.exp(-z))
-            clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(part)))[doc]
-            # d loss / d z_s: p_s in a clean document, -p_s * clean / (1 - clean) in a toxic one.
-            d = np.where(toxic[doc] == 1, -p * clean / np.maximum(1 - clean, 1e-9), p)
-            total[:-1] += np.bincount(places, d[sentence], len(w))
-            total[-1] += d.sum()
+            v = np.bincount(sentence, w[places], len(flat))
+            clean = np.exp(np.bincount(doc, log_clean(v, bias), len(part))) * (1 - sigma(base))
+            # d loss / d log(clean), negated: 1 in a clean document, -clean / (1 - clean) in a toxic one.
+            g = np.where(toxic == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
+            d = np.where(v > 0, g[doc] * sigma(bias + v), 0.0)
+            total[:-2] += np.bincount(places, d[sentence], len(w))
+            total[-2] += np.where(v > 0, d - g[doc] * sigma(bias), 0.0).sum()
+            total[-1] += (g * sigma(base)).sum()
         yield [(total.tobytes(),)]
 
     sums = arrow_rows(narrow, ["toxic", "sizes", "places"], "total binary", rows).toLocalIterator()
-    return sum((np.frombuffer(r["total"]) for r in sums), np.zeros(len(w) + 1))
+    return sum((np.frombuffer(r["total"]) for r in sums), np.zeros(len(w) + 2))
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float, float]:
     """Train on labelled rows of ``docs`` whose crc32 remainder of 4 isn't ``held_out``; rows without a label don't count."""
 
     known = labels.filter("toxic in (0, 1)").select(F.col(key).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -235,7 +262,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, key: str
     return train(cut_lineage(bags(chosen).repartition(4)))
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: tuple[np.ndarray, float, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row from its whole text; null scores as the empty text. Nothing is shuffled."""
 
     def rows(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
@@ -246,7 +273,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id"
     return arrow_rows(docs, [key, text], f"`{key}` {dict(docs.dtypes)[key]}, score double", rows)
 
 
-def score_column(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callable[[Column], Column]:
+def score_column(spark: SparkSession, model: tuple[np.ndarray, float, float]) -> Callable[[Column], Column]:
     """A function from a text column to its score, for filters that keep all columns."""
 
     ship_package(spark)
@@ -254,7 +281,7 @@ def score_column(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callab
     return F.udf(lambda value: scorer.score(value), "double", useArrow=True)
 
 
-def offending(docs: DataFrame, model: tuple[np.ndarray, float], least: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def offending(docs: DataFrame, model: tuple[np.ndarray, float, float], least: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, end, score, sentence): every sentence that scores ``least`` or more."""
 
     def rows(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:

@@ -159,6 +159,23 @@ def test_toxicity_learns_stems_and_locates_sentences(spark):
     assert {x.doc_id for x in found} == set(range(0, 300, 5)) and all("zork" in x.sentence for x in found)
 
 
+def test_toxicity_of_long_clean_text(spark):
+    r = random.Random(3)
+    docs, marks = [], []
+    for i in range(400):
+        parts = [words((i, k), 8).capitalize() + "." for k in range(6)]
+        if i % 5 == 0:
+            parts[r.randrange(6)] = f"You are a zork{r.choice(['ling', 'el', 'ina'])} indeed."
+        docs.append((i, " ".join(parts)))
+        marks.append((i, int(i % 5 == 0 or i % 20 == 1)))  # some labels without a reason in the text
+    table, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    scorer = toxicity.Scorer(*toxicity.learn(table, known))
+    long = " ".join(words(("long", k), 8).capitalize() + "." for k in range(20_000))
+    assert scorer.score(long) < toxicity.THRESHOLD
+    assert abs(scorer.score("Xyzzy plugh. " * 20_000) - scorer.score("Xyzzy plugh.")) < 1e-9
+    assert scorer.score(long + " You are a zorkel indeed.") >= toxicity.THRESHOLD
+
+
 def test_pii_pseudonyms(spark, odd, none):
     texts = [
         "4111 1111 1111 1111 and 4111-1111-1111-1111 but 4111111111111112", "DE89370400440532013000, DE89 3704 0044 0532 0130 00",
