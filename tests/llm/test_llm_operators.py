@@ -399,6 +399,29 @@ def test_license_rules(text, names):
     assert [x[0] for x in licenses.recognised(list(licenses.licence_sentences(text)))] == names
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("distributed under the GNU General\nPublic License, version 3", ["GPL-3.0"]), ("Apache Software\nLicense 2.0", ["Apache-2.0"]),
+        ("Released under the MIT\nLicense", ["MIT"]), ("# under the GNU General\n# Public License, version 3", ["GPL-3.0"]),
+        ("CC0", ["CC0-1.0"]), ("CC BY 4.0", ["CC-BY-4.0"]), ("A photo (CC BY-SA 3.0)", ["CC-BY-SA-3.0"]), ("accent", []),
+        ("The MIT Licence", ["MIT"]), ("the GNU General Public Licence, version 3", ["GPL-3.0"]),
+        ("GNU Lesser General Public License as published by the Free Software Foundation, version 2.1", ["LGPL-2.1"]),
+        ("GNU Affero General Public License as published by the Free Software Foundation, either version 3", ["AGPL-3.0"]),
+        ("This permission " + "goes on and on " * 100 + "under the MIT License", ["MIT"]),
+        ("Header\nCopyright 2020 X\nAll rights reserved", ["All-Rights-Reserved"]), ("MIT License\n" * 3, ["MIT"] * 3),
+    ],
+)
+def test_license_rules_over_lines(text, names):
+    assert [x[0] for x in licenses.recognised(list(licenses.licence_sentences(text)))] == names
+
+
+def test_license_sentence_places():
+    text = "Menu\nHome\nCopyright 2020 X\nAll rights reserved"
+    assert [text[a:b] for _, _, a, b in licenses.recognised(list(licenses.licence_sentences(text)))] == ["Copyright 2020 X\nAll rights reserved"]
+    assert len(list(licenses.licence_sentences("mit license " * 20_000))) == 20_000
+
+
 def test_license_scan(spark, odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
