@@ -19,16 +19,53 @@ DEMO_KEY = "glyphloom-demo-key"
 
 # The shapes of candidates, in order of trial.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|CR|HR|LI|LV",
+    22: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 33: "RU",
+}
+"""Countries by their IBANs' length."""
+
+
+def _iban_form(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return f"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+OF_COUNTRY = "|".join(_iban_form(*item) for item in IBAN_LENGTHS.items())
+OTHER_IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+IBAN = f"(?<![A-Za-z0-9])(?:(?:{OF_COUNTRY})(?![A-Za-z0-9])|{OTHER_IBAN}(?![A-Za-z0-9]))"
 HEX = r"(?<![A-Za-z0-9])(?=[A-Fa-f]*+[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./-])[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4}(?![0-9])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])"
+PHONE_FORMS = (
+    r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\(0\) ?)?[0-9]{1,3}|0[0-9])(?:[ .-][0-9]{2}){3,4}(?![0-9])",
+    r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\) ?|[0-9]{1,5}[ ./-])[0-9]{4,9}(?![0-9])",
+    r"\+[0-9]{8,15}(?![0-9])",
+)
+PHONE = "|".join(PHONE_FORMS)
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+CARD = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9][0-9 -]*[0-9](?![0-9])(?!(?<=[ -][0-9]{1,3})[./][0-9])"
+"""A run of digit groups, in which cards stand."""
+CARD_SHAPES = {
+    9: r"[0-9]{4}([ -])(?:[0-9]{4}\1){3}[0-9]{3}",
+    7: r"[0-9]{4}([ -])(?:[0-9]{4}\1){2}[0-9]{4}|[0-9]{4}([ -])[0-9]{3}\2[0-9]{3}\2[0-9]{3}",
+    5: r"[0-9]{4}([ -])(?:[0-9]{6}\1[0-9]{4,5}|[0-9]{5}\1[0-9]{6}|[0-9]{4}\1[0-9]{5})",
+    3: r"[0-9]{6}[ -][0-9]{13}",
+    1: r"[0-9]{13,19}",
+}
+"""Issued groupings of cards by their number of groups and separators; a card has one kind of separator."""
+WHOLE_CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 FORMS = {"email": EMAIL, "iban": IBAN, "hex": HEX, "iso": ISO_DATE, "day": DAY_DATE, "ip": IPV4, "ssn": SSN, "card": CARD, "phone": PHONE}
-ANY = "|".join(f"(?:{form})" for form in FORMS.values())  # the one capturing group is the day date's mark
+
+
+def any_of(kinds: list[str]) -> str:
+    return "|".join(f"(?:{FORMS[kind]})" for kind in kinds)
+
+
+ANY = any_of(list(FORMS))  # the one capturing group is the day date's mark
 SOME = "[0-9@]"
 """Every shape holds one of these; a scan for them alone is many times faster than for the shapes."""
 FIRST_DAY, DAYS, DAY_PARTS = "1800-01-01", 146_097, (189, 773)
@@ -103,13 +140,54 @@ def _email(value: Column, key: str) -> Column:
     return F.concat(F.lit("user"), F.substring(digest, 1, 16), F.lit("@mail.invalid"))
 
 
-def _card(value: Column, key: str) -> Column:
+def _valid_card(value: Column, key: str) -> Column:
     digits = digits_of(value)
     body = permuted_digits(digits.substr(F.lit(1), F.length(digits) - 1), F.lit("card"), key)
     check = (10 - luhn_sum(body, 0) % 10) % 10
     return F.when(luhn_sum(digits, 1) % 10 == 0, refilled(value, F.concat(body, check.cast("string"))))
 
 
+def _cards(value: Column, key: str) -> Column:
+    """A run's pieces: the cards in it replaced, wherever their groups begin, and the candidates of other kinds between them.
+
+    A run without a card of an issued grouping is one if it has a card's length and check digit.
+    """
+
+    def split(tokens: Column) -> Column:
+        # (first token, tokens) of every card; "at" is the first token that is in none.
+        none = F.array().cast("array<struct<i:int,size:int>>")
+
+        def window(i: Column, size: Column | int) -> Column:
+            return F.array_join(F.slice(tokens, i, size), "")
+
+        def step(state: Column, i: Column) -> Column:
+            sizes = [F.when(window(i, k).rlike(f"^(?:{shape})$") & (luhn_sum(digits_of(window(i, k)), 1) % 10 == 0), F.lit(k)) for k, shape in CARD_SHAPES.items()]
+
+            def put(size: Column) -> Column:
+                cards = F.concat(state["cards"], F.array(F.struct(i.alias("i"), size.alias("size"))))
+                return F.when(size > 0, F.struct(cards.alias("cards"), (i + size).alias("at"))).otherwise(state)
+
+            return F.when(i < state["at"], state).otherwise(_let(F.coalesce(*sizes, F.lit(0)), put))
+
+        def in_turn(cards: Column) -> Column:
+            """Text, card, text, ..., text."""
+
+            end = lambda k: F.coalesce(F.get(cards, k)["i"] + F.get(cards, k)["size"], F.lit(1))
+            turns = F.transform(cards, lambda c, k: F.array(window(end(k - 1), c["i"] - end(k - 1)), window(c["i"], c["size"])))
+            last = end(F.size(cards) - 1)
+            return F.concat(F.flatten(turns), F.array(window(last, F.size(tokens) - last + 1)))
+
+        start = F.struct(none.alias("cards"), F.lit(1).alias("at"))
+        return _let(F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda s: s["cards"]), in_turn)
+
+    def whole(pieces: Column) -> Column:
+        valid = value.rlike(f"^{WHOLE_CARD}$") & (luhn_sum(digits_of(value), 1) % 10 == 0)
+        return F.when((F.size(pieces) == 1) & valid, F.array(F.lit(""), value, F.lit(""))).otherwise(pieces)
+
+    pieces = _let(_let(F.regexp_extract_all(value, F.lit("([0-9]+|[ -]+)"), F.lit(1)), split), whole)
+    return F.flatten(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.array(_piece(_valid_card(p, key), n=1))).otherwise(_cut(p, OTHERS))))
+
+
 def _iban(value: Column, key: str) -> Column:
     bare = F.regexp_replace(value, " ", "")
     country, account = F.substring(bare, 1, 2), bare.substr(F.lit(5), F.length(bare))
@@ -198,15 +276,68 @@ def _phone(value: Column, key: str) -> Column:
 
 
 KINDS: dict[str, Callable[[Column, str], Column]] = {
-    "email": _email, "iban": _iban, "hex": _hex, "iso": _iso_date, "day": _day_date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone,
+    "email": _email, "iban": _iban, "hex": _hex, "iso": _iso_date, "day": _day_date, "ip": _ip, "ssn": _ssn, "phone": _phone,
 }
+OTHERS = [kind for kind in FORMS if kind not in ("iban", "card")]
+"""Kinds looked for beside cards in a run of digit groups."""
+IN_IBAN = [kind for kind in FORMS if kind != "iban"]
+"""Kinds looked for in what has an IBAN's shape but not its check digits."""
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _piece(text: Column, n: int = 0, candidate: bool = False) -> Column:
+    return F.struct(F.lit(n).alias("n"), text.alias("text"), F.lit(candidate).alias("candidate"))
+
+
+def _cut(value: Column, kinds: list[str]) -> Column:
+    """The text cut at its candidates, as an array of pieces."""
+
+    form = any_of(kinds)
+    found = F.transform(F.regexp_extract_all(value, F.lit(form), F.lit(0)), lambda v: _piece(v, candidate=True))
+    between = F.transform(F.split(value, form, -1), lambda t: _piece(t))
+    return F.flatten(F.zip_with(between, found, lambda p, c: F.array(p, F.coalesce(c, _piece(F.lit(""))))))
+
+
+def _each(pieces: Column, then: Callable[[Column], Column]) -> Column:
+    """Every candidate replaced by its pieces."""
+
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["candidate"], then(p["text"])).otherwise(F.array(p))))
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one candidate, by the first kind whose shape it has whole and whose check it passes; else itself."""
+def _made(value: Column, new: Column, otherwise: Callable[[], Column]) -> Column:
+    return _let(new, lambda v: F.when(v.isNotNull(), F.array(F.struct((v != value).cast("int").alias("n"), v.alias("text"), F.lit(False).alias("candidate")))).otherwise(otherwise()))
 
-    tried = [F.when(value.rlike(f"^(?:{FORMS[kind]})$"), make(value, key)) for kind, make in KINDS.items()]
-    return F.coalesce(*tried, value)
+
+def _shaped(value: Column, kind: str) -> Column:
+    return value.rlike(f"^(?:{FORMS[kind]})$")
+
+
+def replaced(value: Column, key: str) -> Column:
+    """The text's pieces, (n, text, candidate) each, n being 1 where a value was replaced.
+
+    A candidate is of the first kind whose shape it has whole and whose check it passes. Runs
+    of digit groups and the rest of a failed IBAN are searched for the values in them first.
+    """
+
+    def iban(v: Column) -> Column:
+        failed = lambda: F.concat(F.array(_piece(F.substring(v, 1, 4))), _cut(v.substr(F.lit(5), F.length(v)), IN_IBAN))
+        return F.when(_shaped(v, "iban"), _made(v, _iban(v, key), failed)).otherwise(F.array(_piece(v, candidate=True)))
+
+    def other(v: Column) -> Column:
+        tried = [F.when(_shaped(v, kind), KINDS[kind](v, key)) for kind in OTHERS]
+        return _made(v, F.coalesce(*tried), lambda: F.array(_piece(v)))
+
+    def card(v: Column) -> Column:
+        first = [kind for kind in FORMS if kind not in ("iban", "card", "phone")]
+        earlier = v.rlike(f"^(?:{any_of(first)})$")
+        return F.when(_shaped(v, "card") & ~earlier, _cards(v, key)).otherwise(F.array(_piece(v, candidate=True)))
+
+    return _each(_each(_each(_cut(value, list(FORMS)), iban), card), other)
 
 
 def pseudonymised(docs: DataFrame, key: str = DEMO_KEY, text: str = "text", found: str | None = None) -> DataFrame:
@@ -217,13 +348,14 @@ def pseudonymised(docs: DataFrame, key: str = DEMO_KEY, text: str = "text", foun
     """
 
     value = F.col(text)
-    candidates = F.regexp_extract_all(value, F.lit(ANY), F.lit(0))
-    changed = F.transform(candidates, lambda v: pseudonym(v, key))
-    pieces = F.split(value, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(pieces, changed, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), "")
     hit = value.rlike(SOME) & value.rlike(ANY)
-    out = docs.withColumn(text, F.when(hit, joined).otherwise(value))
+
+    def joined(pieces: Column) -> Column:
+        n = F.aggregate(pieces, F.lit(0), lambda s, p: s + p["n"])
+        return F.struct(F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"), n.cast("long").alias("n"))
+
+    out = F.when(hit, _let(replaced(value, key), joined)).otherwise(F.struct(value.alias("text"), F.lit(0).cast("long").alias("n")))
     if found is None:
-        return out
-    count = F.when(hit, F.size(F.filter(F.arrays_zip(candidates.alias("v"), changed.alias("c")), lambda z: z["v"] != z["c"]))).otherwise(0)
-    return docs.withColumn(found, F.coalesce(count, F.lit(0)).cast("long")).withColumn(text, F.when(hit, joined).otherwise(value))
+        return docs.withColumn(text, out["text"])
+    both = docs.withColumn("_pseudonymised", out)
+    return both.withColumns({found: F.col("_pseudonymised.n"), text: F.col("_pseudonymised.text")}).drop("_pseudonymised")

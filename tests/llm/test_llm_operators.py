@@ -201,6 +201,33 @@ def test_pii_pseudonyms(spark, odd, none):
     assert pii.pseudonymised(odd).columns == odd.columns and pii.pseudonymised(none).count() == 0
 
 
+def test_pii_values_beside_others(spark):
+    card = "4111 1111 1111 1111"
+    texts = [
+        ("4111111111111111 123", ["4111111111111111"]), (f"{card} 12/27", [card]), (f"order 12 {card}", [card]), (f"1234 {card} 5678", [card]),
+        (f"1 22 {' '.join(['12345'] * 40)} {card}", [card]), (f"{card} {card}", [card]), (f"{card} 2024-02-29 123-45-6789", [card, "2024-02-29", "123-45-6789"]),
+        (f"{card} 29.02.2024", [card, "29.02.2024"]), ("3782 822463 10005 and 12", ["3782 822463 10005"]), ("BE68 5390 0754 7034 BIC", ["BE68 5390 0754 7034"]),
+        (f"AB12 {card}", [card]), ("+33 6 12 34 56 78", ["6 12 34 56 78"]), ("+49 30 1234567", ["30 1234567"]), ("06 12 34 56 78", ["06 12 34 56 78"]),
+        (f"12 3 {' '.join(['12'] * 3000)}", []),
+    ]
+    table = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n) for r in pii.pseudonymised(table, found="n").collect()}
+    seen = set()
+    for k, (before, values) in enumerate(texts):
+        after, n = out[k]
+        assert len(after) == len(before) and n == sum(before.count(v) for v in values), before
+        kept = 0
+        for v in values:
+            at = before.index(v, kept)
+            assert after[kept:at] == before[kept:at] and after[at : at + len(v)] != v, before
+            kept = at + len(v)
+            if v == card:
+                seen.add(after[at:kept])
+                assert luhn(after[at:kept].replace(" ", ""))
+        assert card in after[kept:] or after[kept:] == before[kept:] or before.count(card) > 1
+    assert len(seen) == 1
+
+
 def luhn(digits):
     return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
 
