@@ -520,7 +520,7 @@ def manifest_subset(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stroke_files(spark: SparkSession, root: str) -> DataFrame:
-    """One pen file per customer, a record per order: well-formed, broken and foreign ones."""
+    """One pen file per order in its customer's folder, a record each: well-formed, broken and foreign ones."""
 
     orders = T.table(spark, root, "orders")
     key = F.col("o_orderkey")
@@ -529,9 +529,8 @@ def stroke_files(spark: SparkSession, root: str) -> DataFrame:
     first = F.concat(F.lit("  POINTS 2 # 10 20 "), (key % 50 + 11).cast("string"), F.lit(" "), (key % 70 + 21).cast("string"), F.lit("\n"))
     second = F.when(key % 5 == 0, "  oops\n").otherwise(F.concat(F.lit("  POINTS 1 # 10 "), (key % 90 + 20).cast("string"), F.lit("\n")))
     record = F.concat(F.lit("// comment\n"), word, header, first, second)
-    return orders.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, record.alias("r")))), lambda s: s["r"]), "").alias("value")
-    )
+    path = F.concat_ws("/", F.col("o_custkey").cast("string"), F.lpad(key.cast("string"), 20, "0"))
+    return orders.select(path.alias("path"), record.alias("value"))
 
 
 _PENS = """SELECT o_custkey, o_orderkey AS k, chr(CAST(48 + o_orderkey % 75 AS INTEGER)) AS label FROM orders
@@ -545,7 +544,7 @@ _PENS = """SELECT o_custkey, o_orderkey AS k, chr(CAST(48 + o_orderkey % 75 AS I
 )
 def stroke_records(spark: SparkSession, root: str) -> DataFrame:
     return strokes.parse_strokes(stroke_files(spark, root)).select(
-        "path", "label", "session", F.size("strokes").alias("strokes"), F.size(F.flatten("strokes")).alias("points"),
+        F.substring_index("path", "/", 1).alias("path"), "label", "session", F.size("strokes").alias("strokes"), F.size(F.flatten("strokes")).alias("points"),
         F.get(F.get("strokes", F.lit(0)), F.lit(1))["x"].alias("second_x"),
     )
 
@@ -562,7 +561,7 @@ def stroke_normalization(spark: SparkSession, root: str) -> DataFrame:
     parsed = strokes.parse_strokes(stroke_files(spark, root)).withColumn("s", strokes.normalize_strokes(F.col("strokes")))
     stroke = F.get("s", F.lit(0))
     return parsed.select(
-        "path", "session", F.get(stroke, F.lit(0))["x"].alias("x_first"), F.get(stroke, F.lit(1))["x"].alias("x_second"),
+        F.substring_index("path", "/", 1).alias("path"), "session", F.get(stroke, F.lit(0))["x"].alias("x_first"), F.get(stroke, F.lit(1))["x"].alias("x_second"),
         F.get(stroke, F.lit(1))["y"].alias("y_second"),
     )
 

@@ -319,3 +319,12 @@ def test_checkpoints_follow_the_history(spark):
     assert quality.best_checkpoint(table, "m").first().kind == "history"
     assert quality.best_checkpoint(table.filter("kind <> 'history'"), "m").first().kind == "best_checkpoint"
     assert quality.best_checkpoint(table.filter("kind like '%other%'"), "m").first().kind == "another_best_checkpoint"
+
+
+def test_stroke_files_hold_one_order_each(spark):
+    from glyphloom.plans import feedback_catalog
+
+    root = "/root/testdata/sf0.001"
+    files = feedback_catalog.stroke_files(spark, root).collect()
+    assert len(files) == len({f.path for f in files}) == spark.read.parquet(f"{root}/orders.parquet").count()
+    assert all(f.value.count("WORD ") == 1 for f in files)
