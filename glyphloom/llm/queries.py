@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import bpe, licenses, neardup, packing, pii, quality_model, rules, topk, toxicity, warc
+from glyphloom.llm import bpe, fim, licenses, neardup, packing, pii, quality_model, rules, topk, toxicity, warc
 from glyphloom.plans.registry import query
 
 
@@ -63,3 +63,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules", rules.ORACLE)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.statistics(table(spark, sf_dir, "documents"))
+
+
+@query("op13_fill_in_middle", fim.ORACLE)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(table(spark, sf_dir, "documents"))
