@@ -74,7 +74,7 @@ def test_words_as_units_keep_gaps(spark):
 
 
 def test_marks_that_run_into_each_other_are_refused(spark):
-    docs = spark.createDataFrame([(1, "abc.d" * 9)], "doc_id string, text string")
+    docs = spark.createDataFrame([("1", "abc.d" * 9)], "doc_id string, text string")
     for marks in (("<P>", "<P>", "<M>"), ("", "b", "c"), ("ab", "bc", "x"), ("aa", "b", "c"), ("abc", "b", "x")):
         with pytest.raises(ValueError):
             fim.fill_in_middle(docs, marks=marks)
