@@ -155,7 +155,7 @@ def fill_in_middle(
 def restored(form: Column, output: Column, marks: tuple[str, str, str] = MARKS) -> Column:
     """The text that an output was made of. A plain output is the text; others hold each mark once."""
 
-    parts = F.split(output, "|".join(rf"\Q{m}\E" for m in _checked(marks)), -1)
+    parts = F.split(output, "|".join(map(re.escape, _checked(marks))), -1)
     part = lambda k: F.get(parts, F.lit(k))
     return (
         F.when(form == "psm", F.concat(part(1), part(3), part(2)))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import bpe, fim, licenses, neardup, packing, pii, quality_model, rules, topk, toxicity, warc
+from glyphloom.llm import bpe, divergence, fim, licenses, neardup, packing, pii, quality_model, rules, simhash, topk, toxicity, warc
 from glyphloom.plans.registry import query
 
 
@@ -65,6 +65,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.statistics(table(spark, sf_dir, "documents"))
 
 
+@query("op11_source_divergence", divergence.ORACLE)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_simhash_near_dedup")
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op13_fill_in_middle", fim.ORACLE)
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_digests(table(spark, sf_dir, "documents"))
