@@ -1,4 +1,4 @@
-"""Connected components of an edge table by hooking and pointer jumping."""
+"""Connected components of an edge table, by hooking and pointer jumping or by contraction."""
 
 from __future__ import annotations
 
@@ -48,3 +48,42 @@ def connected_components(nodes: DataFrame, edges: DataFrame, within: list[str])
         pointers = moved.select(*within, "node", "at")
     found = moved.select(*within, "node", F.col("at").alias("component"))
     return nodes.join(found, [*within, "node"], "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def contracted_components(edges: DataFrame, within: list[str]) -> DataFrame:
+    """(within, node, component) for every node of ``edges(src, dst)``: the least node number of its component.
+
+    Each round every node goes over to the neighbour, or stays at itself, that is least by a hash
+    of the round, and two steps on from there. Edges are rewritten to where their ends went; those
+    inside one place and repeated ones go, so the table shrinks by a share each round and not just
+    the distance to the root. Only the rounds' own nodes are rewritten, and the maps are joined
+    up once at the end, smallest first.
+    """
+
+    live = cut_lineage(_ordered_edges(edges.select(*within, "src", "dst")))
+    maps: list[DataFrame] = []
+    while not live.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(maps))).alias("h"), F.col(c).alias("node"))
+        both = live.unionByName(live.select(*within, F.col("dst").alias("src"), F.col("src").alias("dst")))
+        best = both.groupBy(*within, F.col("src").alias("node")).agg(F.min(rank("dst")).alias("m"))
+        step = cut_lineage(best.select(*within, "node", F.least(rank("node"), F.col("m"))["node"].alias("at")))
+        further = step.select(*within, F.col("node").alias("at"), F.col("at").alias("next"))
+        moved = cut_lineage(step.join(further, [*within, "at"]).select(*within, "node", F.col("next").alias("at")))
+        maps.append(moved)
+        for end in ("src", "dst"):
+            live = live.join(moved.select(*within, F.col("node").alias(end), "at"), [*within, end]).drop(end).withColumnRenamed("at", end)
+        live = cut_lineage(_ordered_edges(live))
+    if not maps:
+        return live.select(*within, F.col("src").alias("node"), F.col("dst").alias("component"))
+    found = maps[-1]
+    for earlier in reversed(maps[:-1]):
+        later = found.select(*within, F.col("node").alias("at"), F.col("at").alias("root"))
+        found = earlier.join(later, [*within, "at"], "left").select(*within, "node", F.coalesce("root", "at").alias("at"))
+    found = cut_lineage(found)
+    least = found.groupBy(*within, "at").agg(F.min("node").alias("component"))
+    return found.join(least, [*within, "at"]).select(*within, "node", "component")
+
+
+def _ordered_edges(edges: DataFrame) -> DataFrame:
+    ends = {"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")}
+    return edges.filter("src <> dst").withColumns(ends).distinct()

@@ -8,11 +8,16 @@ whose groups do not grow with the page.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glyphloom.operators.components import connected_components
+from glyphloom.operators import bands
+from glyphloom.operators.components import contracted_components
 from glyphloom.session import cut_lineage
 
 # --- fixed values: ink threshold, normalization, component limits -------------------
@@ -119,24 +124,6 @@ def _tiles(lo: Column, hi: Column) -> Column:
     return F.sequence(F.floor(lo / TILE), F.floor(hi / TILE))
 
 
-def label_runs(runs: DataFrame, page: str = "page_id") -> DataFrame:
-    """Runs with their 4-neighbour component; touching runs meet through tiles.
-
-    A run's number on its page is its row and first column.
-    """
-
-    nodes = cut_lineage(runs.withColumn("node", F.shiftleft(F.col("y").cast("long"), 32) + F.col("xa")))
-    tiled = nodes.withColumn("_tile", F.explode(_tiles(F.col("xa"), F.col("xb"))))
-    upper = tiled.select(page, (F.col("y") + 1).alias("y"), "_tile", F.col("node").alias("src"),
-                         F.col("xa").alias("ua"), F.col("xb").alias("ub"))
-    lower = tiled.select(page, "y", "_tile", F.col("node").alias("dst"), "xa", "xb")
-    touching = (F.col("ua") <= F.col("xb")) & (F.col("xa") <= F.col("ub"))
-    # Two runs meet in the tile of their overlap's first column, once.
-    first_tile = F.floor(F.greatest("ua", "xa") / TILE) == F.col("_tile")
-    edges = upper.join(lower, [page, "y", "_tile"]).filter(touching & first_tile).select(page, "src", "dst")
-    return connected_components(nodes, edges, [page])
-
-
 def component_boxes(
     ink: DataFrame,
     page: str = "page_id",
@@ -147,38 +134,59 @@ def component_boxes(
 ) -> DataFrame:
     """(page, component, x0, y0, x1, y1, pixels): tight half-open boxes of joined ink.
 
-    Pixels join through the dilated ink but boxes and counts use the true ink.
-    Pages with less than 20 ink pixels have no components at all.
+    Pixels join through the dilated ink but boxes and counts use the true ink. A component's
+    number is the row and first column of its first dilated run. Pages with less than 20 ink
+    pixels have no components at all. A page is cut into bands of pixel rows; each band is solved
+    on its own, and only components that reach the row two bands share are joined by contraction.
+    Ink is shuffled once, by page and band.
     """
 
-    runs = cut_lineage(horizontal_runs(ink, page))
-    inked = runs.groupBy(page).agg(F.sum(F.col("xb") - F.col("xa") + 1).alias("_ink")).filter(
-        F.col("_ink") >= min_page_ink
-    )
-    runs = runs.join(inked.select(page), page, "left_semi")
-    grown = cut_lineage(label_runs(dilate_runs(runs, page, dilation) if dilation else runs, page))
-    whole = grown.groupBy(page, "component").agg(F.sum(F.col("xb") - F.col("xa") + 1).alias("_grown"))
-    tiled_grown = grown.select(
-        page, "y", "component", F.col("xa").alias("ga"), F.col("xb").alias("gb"),
-        F.explode(_tiles(F.col("xa"), F.col("xb"))).alias("_tile"),
-    )
-    # A true run lies inside one grown run, found by the tile of its first pixel.
-    owned = (
-        runs.withColumn("_tile", F.floor(F.col("xa") / TILE))
-        .join(tiled_grown, [page, "y", "_tile"])
-        .filter((F.col("ga") <= F.col("xa")) & (F.col("xb") <= F.col("gb")))
-    )
-    boxes = owned.groupBy(page, "component").agg(
-        F.min("xa").alias("x0"), F.min("y").alias("y0"),
-        (F.max("xb") + 1).alias("x1"), (F.max("y") + 1).alias("y1"),
-        F.sum(F.col("xb") - F.col("xa") + 1).alias("pixels"),
+    parts = cut_lineage(_band_parts(ink, page, dilation))
+    shared = parts.filter("border IS NOT NULL")
+    edges = shared.groupBy(page, "border").agg(F.min("node").alias("src"), F.max("node").alias("dst"))
+    merged = contracted_components(edges, [page])
+    solved = parts.filter("border IS NULL").join(merged, [page, "node"], "left")
+    boxes = solved.groupBy(page, F.coalesce("component", "node").alias("component")).agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        F.sum("pixels").alias("pixels"), F.sum("grown").alias("_grown"),
     )
+    inked = boxes.groupBy(page).agg(F.sum("pixels").alias("_ink")).filter(F.col("_ink") >= min_page_ink)
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return (
-        boxes.join(whole, [page, "component"])
-        .filter((F.col("pixels") >= min_pixels) & (F.col("_grown") >= min_pixels) & (area >= min_box_area))
-        .drop("_grown")
+    large = (F.col("pixels") >= min_pixels) & (F.col("_grown") >= min_pixels) & (area >= min_box_area)
+    return boxes.join(inked.select(page), page, "left_semi").filter(large).drop("_grown")
+
+
+def _band_parts(ink: DataFrame, page: str, dilation: int) -> DataFrame:
+    """Components inside each band of TILE pixel rows, and where they touch the next band.
+
+    A row with a null ``border`` is a component of one band: (page, node, box of its true ink in
+    the band, pixels, grown). The others say that a component has the dilated run ``border``, on
+    the first row of the lower band, which both bands work out. A band sees as many more pixel
+    rows as dilation needs.
+    """
+
+    y = F.col("y").cast("long")
+    first = F.greatest(F.lit(0), F.ceil((y - TILE - dilation) / TILE))
+    last = F.floor((y + dilation) / TILE)
+    banded = ink.select(page, y.alias("y"), F.col("x").cast("long").alias("x"), F.explode(F.sequence(first, last)).alias("_band"))
+    dealt = banded.repartition(page, "_band")  # the windows below keep to it
+    order = W.partitionBy(page, "_band", "y").orderBy("x")
+    runs = (
+        dealt.withColumn("_island", F.col("x") - F.row_number().over(order))
+        .groupBy(page, "_band", "y", "_island")
+        .agg(F.min("x").alias("xa"), F.max("x").alias("xb"))
+        .select(page, "_band", "y", "xa", "xb")
+        .sortWithinPartitions(page, "_band", "y", "xa")
     )
+    page_type = ink.schema[page].dataType
+    fields = "node bigint, border bigint, x0 int, y0 int, x1 int, y1 int, pixels bigint, grown bigint"
+    schema = T.StructType([T.StructField(page, page_type), *T.StructType.fromDDL(fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in bands.whole_groups(batches, 2):
+            yield bands.parts(part, dilation, TILE)
+
+    return runs.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- ink in boxes

@@ -489,7 +489,7 @@ def extra_code_folders(spark: SparkSession, root: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY c ORDER BY md5('42|' || path), path) <= 15""",
 )
 def hex_code_folders(spark: SparkSession, root: str) -> DataFrame:
-    return folders.balanced_hex_samples(T.path_table(spark, root, "hex"), 15, 42)
+    return folders.balanced_hex_samples(T.path_table(spark, root, "hex"), 15, 42).select("path", "target")
 
 
 @query(
@@ -504,6 +504,67 @@ def sample_folders(spark: SparkSession, root: str) -> DataFrame:
     return folded.join(mixed, "path").groupBy("folded", "mixed").agg(F.count("*").alias("n"))
 
 
+# The same layouts as real files: written, listed and read by the executors. A file holds its own relative path and number.
+
+
+def _read_totals(found: DataFrame, *keys: str) -> DataFrame:
+    sized = folders.read_files(found).withColumn("bytes", F.length("content").cast("long"))
+    return sized.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query(
+    "s01_labelled_folder_scan",
+    """SELECT CAST(10 + p_partkey % 26 AS INTEGER) AS target, count(*) AS n, CAST(sum(7 + 2 * strlen(CAST(p_partkey AS VARCHAR))) AS BIGINT) AS bytes
+    FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1""",
+)
+def labelled_folder_scan(spark: SparkSession, root: str) -> DataFrame:
+    # Class folders hold other files too, which are neither images nor opened.
+    folder = T.written_folder(spark, root, "label")
+    return _read_totals(folders.load_labelled_folder(spark, folder, L.vocabulary(spark, L.FOLDED_LABELS)), "target")
+
+
+@query(
+    "s02_code_folder_scan",
+    """SELECT CAST(33 + p_partkey % 94 AS INTEGER) AS code, CAST(dense_rank() OVER (ORDER BY 33 + p_partkey % 94) - 1 AS INTEGER) AS target,
+    count(*) FILTER (p_partkey % 7 <> 0) AS n,
+    CAST(sum(6 + strlen(CAST(33 + p_partkey % 94 AS VARCHAR)) + 2 * strlen(CAST(p_partkey AS VARCHAR))) FILTER (p_partkey % 7 <> 0) AS BIGINT) AS bytes
+    FROM part GROUP BY 33 + p_partkey % 94 HAVING count(*) FILTER (p_partkey % 7 <> 0) > 0""",
+)
+def code_folder_scan(spark: SparkSession, root: str) -> DataFrame:
+    samples, _ = folders.base_code_samples(folders.list_files(spark, T.written_folder(spark, root, "code")))
+    return _read_totals(samples, "label", "target").select(F.ascii("label").alias("code"), "target", "n", "bytes")
+
+
+@query(
+    "s03_hex_folder_scan",
+    """SELECT rel, CAST(CASE WHEN c <= 57 THEN c - 48 WHEN c <= 90 THEN c - 55 ELSE c - 61 END AS INTEGER) AS target, md5(rel || '|' || p_partkey) AS digest FROM (
+    SELECT 'by_class/' || lower(to_hex(33 + p_partkey % 94)) || '/a/' || p_partkey || '.png' AS rel, 33 + p_partkey % 94 AS c, p_partkey FROM part)
+    WHERE c BETWEEN 48 AND 57 OR c BETWEEN 65 AND 90 OR c BETWEEN 97 AND 122
+    QUALIFY row_number() OVER (PARTITION BY c ORDER BY md5('42|' || rel), rel) <= 15""",
+)
+def hex_folder_scan(spark: SparkSession, root: str) -> DataFrame:
+    drawn = folders.load_hex_samples(spark, T.written_folder(spark, root, "hex"), 15, 42)
+    return drawn.select("rel", "target", F.md5("content").alias("digest"))
+
+
+@query(
+    "s04_sample_folder_scan",
+    """SELECT CAST(CASE WHEN n >= 37 THEN n - 27 ELSE n - 1 END AS INTEGER) AS target, count(*) AS n, CAST(sum(15 + 2 * strlen(CAST(p_partkey AS VARCHAR))) AS BIGINT) AS bytes
+    FROM (SELECT p_partkey % 70 AS n, p_partkey FROM part) WHERE n BETWEEN 1 AND 62 GROUP BY 1""",
+)
+def sample_folder_scan(spark: SparkSession, root: str) -> DataFrame:
+    listed = folders.list_files(spark, T.written_folder(spark, root, "sample"))
+    return _read_totals(folders.numbered_samples(listed), "target")
+
+
+@query(
+    "s18_crop_folder_recount",
+    """SELECT chr(CAST(33 + p_partkey % 94 AS INTEGER)) AS label, count(*) AS count FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1""",
+)
+def crop_folder_recount(spark: SparkSession, root: str) -> DataFrame:
+    return folders.exported_crop_counts(folders.list_files(spark, T.written_folder(spark, root, "code")))
+
+
 @query(
     "s07_manifest_subset",
     """SELECT mode, label, count(*) AS n FROM (

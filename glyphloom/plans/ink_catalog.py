@@ -10,7 +10,7 @@ from glyphloom.operators import layout as Y
 from glyphloom.plans import page_layout
 from glyphloom.plans import standins as T
 from glyphloom.plans.registry import query, rounded
-from glyphloom.plans.standins import with_ctes
+from glyphloom.plans.standins import recursive, with_ctes
 
 
 @query(
@@ -245,7 +245,41 @@ def touching_split(spark: SparkSession, root: str) -> DataFrame:
     return Y.split_touching(regions, local)
 
 
-@query("j07_small_mark_attachment")
+@query(
+    "v01_reading_order_scattered",
+    recursive(with_ctes(["scattered_rows"], "SELECT page_id, box_id, row, place FROM scattered_rows")),
+)
+def reading_order_scattered(spark: SparkSession, root: str) -> DataFrame:
+    """Rows whose running means decide where the next box goes."""
+
+    return Y.assign_rows(T.scattered_boxes(spark, root)).select("page_id", "box_id", "row", "place")
+
+
+# Boxes are walked in reading order; ``own`` holds for each box of the page the place of the box that has it, or 0.
+@query(
+    "j07_small_mark_attachment",
+    recursive(
+        with_ctes(
+            ["scattered_sized"],
+            """, z AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY row, place) AS k, x1 - x0 AS w, y1 - y0 AS h,
+              greatest(18.0::DOUBLE, median(area) OVER (PARTITION BY page_id) * 0.35::DOUBLE) AS small FROM scattered_sized),
+            b AS (SELECT *, area > small OR (h >= 28 AND h / greatest(w, 1)::DOUBLE >= 3.0) AS anchor,
+              area <= small OR least(w, h) <= 7 OR (w <= 24 AND h <= 24) AS mark, (x0 + x1) / 2.0::DOUBLE AS c FROM z),
+            near AS (SELECT a.page_id, a.k, list(m.k) AS takes FROM b a JOIN b m ON m.page_id = a.page_id AND m.k <> a.k AND a.anchor AND m.mark
+              AND abs(a.c - m.c) <= greatest(a.w, m.w, 12) * 0.75::DOUBLE
+              AND sqrt(pow(greatest(a.x0 - m.x1, m.x0 - a.x1, 0), 2) + pow(greatest(a.y0 - m.y1, m.y0 - a.y1, 0), 2)) <= greatest(a.h, m.h, 14) * 0.85::DOUBLE
+              GROUP BY 1, 2),
+            walk AS (SELECT page_id, 0 AS step, list_transform(range(0, count(*)), lambda i: 0) AS own FROM b GROUP BY 1
+              UNION ALL SELECT walk.page_id, step + 1, CASE WHEN own[step + 1] = 0 AND b.anchor THEN
+                list_transform(own, lambda o, j: CASE WHEN o = 0 AND (j = step + 1 OR list_contains(coalesce(takes, []), j)) THEN step + 1 ELSE o END) ELSE own END
+              FROM walk JOIN b ON b.page_id = walk.page_id AND b.k = step + 1 LEFT JOIN near ON near.page_id = walk.page_id AND near.k = step + 1),
+            e AS (SELECT page_id, unnest(own) AS o, generate_subscripts(own, 1) AS k FROM walk QUALIFY step = max(step) OVER (PARTITION BY page_id))
+            SELECT e.page_id, any_value(a.box_id) AS box_id, min(m.x0) AS x0, min(m.y0) AS y0, max(m.x1) AS x1, max(m.y1) AS y1
+            FROM e JOIN b m ON m.page_id = e.page_id AND m.k = e.k JOIN b a ON a.page_id = e.page_id AND a.k = CASE WHEN o = 0 THEN e.k ELSE o END
+            GROUP BY e.page_id, a.k""",
+        ).replace("\n, z AS", ",\nz AS")
+    ),
+)
 def small_mark_attachment(spark: SparkSession, root: str) -> DataFrame:
     ordered = Y.assign_rows(T.scattered_boxes(spark, root))
     return Y.attach_small_marks(ordered, T.scattered_ink(spark, root))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from glyphloom.operators.curate import exemplar_bank, stratified_split
 from glyphloom.operators.matching import nearest_exemplar
-from glyphloom.session import cut_lineage
+from glyphloom.session import cut_lineage, scratch_path
+from glyphloom.sources.folders import write_files
 
 TWIN_LABELS = ["0", "O", "o", "1", "l", "I", "S", "s", "5", "7"]
 SCORE_LABELS = [chr(33 + i) for i in range(64)]
@@ -33,7 +34,8 @@ def spread(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table dealt anew by its first column, for inputs whose rows expand a lot."""
 
     df = table(spark, root, name)
-    return df.repartition(df.columns[0])
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, df.columns[0])
 
 
 # ---------------------------------------------------------------- glyph samples
@@ -286,6 +288,15 @@ def path_table(spark: SparkSession, root: str, layout: str) -> DataFrame:
     return table(spark, root, "part").select(rel.alias("path"), rel.alias("rel"), "p_partkey")
 
 
+def written_folder(spark: SparkSession, root: str, layout: str) -> str:
+    """A new folder in the shared scratch place that holds a small file for each part, in one of the folder layouts."""
+
+    folder = scratch_path(spark)
+    files = path_table(spark, root, layout).select("rel", F.concat_ws("|", "rel", "p_partkey").cast("binary").alias("content"))
+    write_files(files.repartition(spark.sparkContext.defaultParallelism, "rel"), folder)
+    return folder
+
+
 def metric_history(spark: SparkSession, root: str) -> DataFrame:
     """(model, epoch, test_accuracy, train_accuracy): one model per priority, one epoch per month."""
 
@@ -591,3 +602,60 @@ _sql(
     CASE WHEN p_partkey % 4 = 0 THEN 4 + p_partkey % 9 ELSE 6 + p_partkey * 5 % 26 END AS w,
     CASE WHEN p_partkey % 4 = 0 THEN 4 + p_partkey % 7 ELSE 8 + p_partkey * 11 % 50 END AS h FROM part)""",
 )
+
+
+# ---------------------------------------------------------------- recursive statements
+
+
+def _row_ctes(boxes: str, prefix: str) -> None:
+    """``{prefix}_rows``: the boxes with row and place, centres walked one by one as a list of rows with running sums."""
+
+    _sql(
+        f"{prefix}_centers",
+        f"""SELECT page_id, list({{'cy': cy, 'n': n, 'top': top}} ORDER BY cy) AS cs, any_value(tol) AS tol FROM (
+        SELECT page_id, (y0 + y1) / 2.0::DOUBLE AS cy, count(*) AS n, min(y0) AS top FROM {boxes} GROUP BY 1, 2) JOIN (
+        SELECT page_id, greatest(8.0::DOUBLE, median(y1 - y0) * 0.7::DOUBLE) AS tol FROM {boxes} GROUP BY 1) USING (page_id) GROUP BY 1""",
+        boxes,
+    )
+    new = "{'total': cy * n, 'n': n, 'top': top, 'members': [cy]}"
+    grown = "{'total': r.total + cy * n, 'n': r.n + n, 'top': least(r.top, top), 'members': list_append(r.members, cy)}"
+    _sql(
+        f"{prefix}_folded",
+        f"""SELECT page_id, 0 AS k, []::STRUCT(total DOUBLE, n BIGINT, top INTEGER, members DOUBLE[])[] AS rs FROM {prefix}_centers
+        UNION ALL SELECT page_id, k + 1, CASE WHEN hit > 0 THEN list_transform(rs, lambda r, i: CASE WHEN i = hit THEN {grown} ELSE r END)
+          ELSE list_append(rs, {new}) END FROM (
+          SELECT *, coalesce(list_position(list_transform(rs, lambda r: abs(cy - r.total / r.n) <= tol), true), 0) AS hit FROM (
+            SELECT f.page_id, k, rs, tol, cs[k + 1].cy AS cy, cs[k + 1].n AS n, cs[k + 1].top AS top
+            FROM {prefix}_folded f JOIN {prefix}_centers c ON c.page_id = f.page_id WHERE k < len(cs)))""",
+        f"{prefix}_centers",
+    )
+    _sql(
+        f"{prefix}_rows",
+        f"""SELECT b.*, CAST(rw AS INTEGER) AS row, CAST(row_number() OVER (PARTITION BY b.page_id, rw ORDER BY b.x0, (b.y0 + b.y1) / 2.0::DOUBLE, b.y0, b.x1, b.y1) AS INTEGER) AS place
+        FROM {boxes} b JOIN (
+          SELECT page_id, rw, unnest(r.members) AS cy FROM (
+            SELECT page_id, r, row_number() OVER (PARTITION BY page_id ORDER BY r.top, i) AS rw FROM (
+              SELECT f.page_id, unnest(rs) AS r, generate_subscripts(rs, 1) AS i FROM {prefix}_folded f JOIN {prefix}_centers c ON c.page_id = f.page_id WHERE k = len(cs)))) m
+        ON m.page_id = b.page_id AND m.cy = (b.y0 + b.y1) / 2.0::DOUBLE""",
+        f"{prefix}_folded",
+    )
+
+
+_row_ctes("scattered", "scattered")
+_sql(
+    "scattered_px",
+    """SELECT DISTINCT page_id, y, x FROM (SELECT page_id, x0, x1, unnest(range(y0, y1, 2)) AS y FROM scattered) b, range(0, 400) r(x)
+    WHERE x >= x0 AND x < x1""",
+    "scattered",
+)
+_sql(
+    "scattered_sized",
+    """SELECT r.*, coalesce(n, 0) AS area FROM scattered_rows r LEFT JOIN (
+    SELECT s.page_id, s.box_id, count(*) AS n FROM scattered s JOIN scattered_px p ON p.page_id = s.page_id AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2)
+    USING (page_id, box_id)""",
+    "scattered_rows", "scattered_px",
+)
+
+
+def recursive(statement: str) -> str:
+    return statement.replace("WITH ", "WITH RECURSIVE ", 1)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphloom.functions.ranking import hashed_top, seeded_hash
+from glyphloom.session import cut_lineage
 
 # --- fixed values -------------------------------------------------------------------
 IMAGE_SUFFIXES = ["bmp", "jpeg", "jpg", "png", "tif", "tiff", "webp"]
@@ -15,13 +23,18 @@ HEX_SAMPLES_PER_CLASS = 1200
 REPORTED_BAD_FOLDERS = 8
 MAX_CODE_POINT = 0x10FFFF
 
+TASK_BYTES, TASK_FILES = 128 << 20, 5_000
+"""Bytes and files that one task opens, about."""
+BATCH_BYTES = 16 << 20
+"""Bytes of file contents that a task hands on at once."""
+
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every file under ``root`` without its content: (path, length, rel).
 
     ``rel`` is what follows the root, cut by the root's length as the file system writes
     it, so URIs, relative and dotted roots and folders named like the root all work. A
-    path elsewhere is an error.
+    path elsewhere is an error. Empty files aren't listed, as Spark's scans leave them out.
     """
 
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -39,11 +52,72 @@ def qualified(spark: SparkSession, root: str) -> str:
     return store.getFileStatus(store.resolvePath(store.makeQualified(path))).getPath().toString()
 
 
-def read_files(spark: SparkSession, chosen: DataFrame, root: str) -> DataFrame:
-    """(path, content) of the chosen paths only, by a semi-join on the listing: content is read after it."""
+def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path inside. Hadoop writes local URIs with one slash and none escaped."""
+
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        return pafs.LocalFileSystem(), "/" + (rest if scheme == "file" else uri).lstrip("/")
+    authority, _, inside = rest.removeprefix("//").partition("/")
+    store, base = pafs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return store, base.rstrip("/") + "/" + inside
+
+
+def read_bytes(uri: str) -> bytes:
+    store, inside = store_of(uri)
+    with store.open_input_stream(inside) as stream:
+        return stream.read()
+
+
+def read_files(chosen: DataFrame, read: Callable[[str], bytes] = read_bytes) -> DataFrame:
+    """``chosen`` with the ``content`` of each ``path``, opened in the task that has the row.
+
+    Only chosen files are opened, nothing is listed again and no content is shuffled: paths are
+    dealt first, over as many tasks as their bytes (``length``, if it is there) fill. A file that
+    can't be read ends the job with its path. ``read`` opens a path where the store is one that
+    only the caller knows.
+    """
+
+    sizes = chosen.agg(F.count("*").alias("n"), *([F.sum("length").alias("bytes")] if "length" in chosen.columns else [])).first().asDict()
+    tasks = max(1, math.ceil((sizes.get("bytes") or 0) / TASK_BYTES), math.ceil(sizes["n"] / TASK_FILES))
+    schema = T.StructType([*chosen.schema, T.StructField("content", T.BinaryType())])
 
-    everything = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return everything.join(chosen.select("path"), "path", "left_semi").select("path", "content")
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, contents, held = 0, [], 0
+            for k, path in enumerate(batch.column("path").to_pylist()):
+                try:
+                    contents.append(read(path))
+                except OSError as error:
+                    raise OSError(f"cannot read {path}: {error}") from error
+                held += len(contents[-1])
+                if held >= BATCH_BYTES or k + 1 == batch.num_rows:
+                    part = batch.slice(start, len(contents))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.binary())], names=[*part.schema.names, "content"])
+                    start, contents, held = k + 1, [], 0
+
+    return chosen.repartition(tasks, "path").mapInArrow(opened, schema)
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write each row's ``content`` to ``rel`` below ``root``; how many files there are now.
+
+    A file gets its name once it is whole, so a task that runs twice or is lost leaves no half file.
+    """
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rel, content in zip(batch.column("rel").to_pylist(), batch.column("content").to_pylist()):
+                store, inside = store_of(f"{root.rstrip('/')}/{rel}")
+                folder, _, name = inside.rpartition("/")
+                store.create_dir(folder, recursive=True)
+                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as stream:
+                    stream.write(content)
+                store.move(part, inside)
+            yield pa.RecordBatch.from_arrays([batch.column("rel")], names=["rel"])
+
+    return files.select("rel", "content").mapInArrow(written, "rel string").count()
 
 
 def has_image_suffix(path: Column) -> Column:
@@ -175,7 +249,7 @@ def mixed_target(code: Column) -> Column:
 
 
 def hex_samples(paths: DataFrame) -> DataFrame:
-    """(path, target) of ``by_class/<hex>/.../*.png`` with at least four parts."""
+    """(path, rel, target), and length if given, of ``by_class/<hex>/.../*.png`` with at least four parts."""
 
     parts = F.split("rel", "/")
     hex_code = F.get(parts, F.lit(1))
@@ -184,19 +258,21 @@ def hex_samples(paths: DataFrame) -> DataFrame:
         paths.filter(F.lower("rel").endswith(".png") & (F.size(parts) >= 4) & (F.get(parts, F.lit(0)) == HEX_ROOT))
         .withColumn("target", mixed_target(code))
         .filter("target is not null")
-        .select("path", "target")
+        .select("path", "rel", "target", *[c for c in ("length",) if c in paths.columns])
     )
 
 
 def balanced_hex_samples(paths: DataFrame, n: int = HEX_SAMPLES_PER_CLASS, seed: int = 42) -> DataFrame:
-    """A seeded draw of ``n`` paths per class, made before any content is read."""
+    """A seeded draw of ``n`` paths per class, made before any content is read. The root has no part in the draw."""
 
-    return hashed_top(hex_samples(paths), ["target"], seeded_hash(seed, F.col("path")), "path", n)
+    return hashed_top(hex_samples(paths), ["target"], seeded_hash(seed, F.col("rel")), "rel", n)
 
 
 def load_hex_samples(spark: SparkSession, root: str, n: int = HEX_SAMPLES_PER_CLASS, seed: int = 42) -> DataFrame:
-    chosen = balanced_hex_samples(list_files(spark, root), n, seed)
-    return chosen.join(read_files(spark, chosen, root), "path")
+    """(path, rel, target, content) of the drawn files; no other file is opened."""
+
+    chosen = cut_lineage(balanced_hex_samples(list_files(spark, root), n, seed))
+    return read_files(chosen).drop("length")
 
 
 # ---------------------------------------------------------------- folder = sample number

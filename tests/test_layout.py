@@ -1,10 +1,13 @@
 import random
 
 import brute
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from glyphloom.operators import bands
 from glyphloom.operators import ink as I
 from glyphloom.operators import layout as Y
+from glyphloom.operators.components import contracted_components
 
 BOX = "page_id int, box_id int, x0 int, y0 int, x1 int, y1 int, width int, height int"
 INK = "page_id int, y int, x int"
@@ -214,8 +217,14 @@ def test_components_equal_flood_fill(spark):
     rng = random.Random(9)
     ink = {p: {(rng.randrange(0, 60), rng.randrange(0, 150)) for _ in range(220)} for p in range(8)}
     ink[8] = {(y, x) for y in range(0, 60) for x in (10 + (y // 3) % 2, 40)} | {(59, x) for x in range(10, 41)}
+    # A tall page of many bands: a spiral, a comb that joins only at the bottom, a ring, steps that meet at corners.
+    ink[9] = {(y, x) for y in range(0, 400) for x in (5, 25, 45, 65)} | {(399, x) for x in range(5, 66)}
+    ink[9] |= {(y, 100) for y in range(50, 330)} | {(329, x) for x in range(100, 180)} | {(y, 179) for y in range(100, 330)} | {(100, x) for x in range(130, 180)} | {(y, 130) for y in range(100, 270)}
+    ink[9] |= {(y, x) for y in range(120, 140) for x in range(210, 240) if not (123 < y < 136 and 213 < x < 236)} | {(300 + k, 250 + k) for k in range(80)}
+    ink[10] = {(y, x) for y in (63, 64, 127, 128, 191) for x in range(0, 90) if rng.random() < 0.7}
+    ink[11] = {(rng.randrange(0, 900), rng.randrange(0, 60)) for _ in range(2500)}
     df = spark.createDataFrame([(p, y, x) for p, px in ink.items() for y, x in px], INK).repartition(4)
-    for grow in (0, 2):
+    for grow in (0, 1, 2):
         wanted = {}
         for p, px in ink.items():
             boxes = []
@@ -230,6 +239,40 @@ def test_components_equal_flood_fill(spark):
         assert got == {p: v for p, v in wanted.items() if v}
 
 
+def test_contraction_finds_long_chains_and_stars(spark):
+    rng = random.Random(2)
+    edges = [(1, k, k + 1) for k in range(3000)] + [(1, 10_000, 10_000 + k) for k in range(1, 900)] + [(2, k, k + 1) for k in range(20)] + [(2, 7, 7), (2, 8, 9)]
+    for k in range(400):
+        edges.append((3, rng.randrange(500), rng.randrange(500)))
+    rng.shuffle(edges)
+    least = {}
+
+    def root(n):
+        while least.setdefault(n, n) != n:
+            n = least[n]
+        return n
+
+    for p, a, b in edges:
+        if a != b:
+            one, two = sorted((root((p, a)), root((p, b))))
+            least[two] = one
+    df = spark.createDataFrame(edges, "page int, src long, dst long").repartition(5)
+    got = {(r.page, r.node): r.component for r in contracted_components(df, ["page"]).collect()}
+    assert got == {n: root(n)[1] for n in list(least)}
+    assert contracted_components(df.limit(0), ["page"]).count() == 0
+
+
+def test_groups_are_never_cut_by_batches():
+    rows = [(k // 7 if k // 7 != 4 else None, k % 7 // 3, k) for k in range(200)] + [(99, 0, k) for k in range(60)]
+    for size in (1, 2, 3, 7, 50, 1000):
+        parts = [rows[k : k + size] for k in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=["a", "b", "c"]) for part in parts]
+        out = [t.to_pylist() for t in bands.whole_groups(iter(batches), 2)]
+        assert [tuple(r.values()) for t in out for r in t] == rows
+        ends = [(t[0]["a"], t[0]["b"]) for t in out[1:]]
+        assert all(end != (t[-1]["a"], t[-1]["b"]) for end, t in zip(ends, out))
+
+
 def test_blank_pages_have_no_components(spark):
     df = spark.createDataFrame([(1, 0, x) for x in range(19)], INK)
     assert I.component_boxes(df, min_pixels=1).count() == 0
@@ -254,3 +297,63 @@ def test_stem_with_dot_and_two_dots(spark):
     df = spark.createDataFrame(ink, "region_id string, width int, height int, y int, x int")
     got = {r.region_id: r.punctuation for r in I.punctuation_labels(df).collect()}
     assert got == {"i": "i", "!": "!", ":": ":"}
+
+
+def jobs_of(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        result = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_a_stack_of_boxes_that_are_anchor_and_mark_takes_no_rounds(spark):
+    """Every second box of a column takes the one below it; longer columns take no more jobs."""
+
+    jobs = {}
+    for n in (20, 200):
+        data = {0: [(40, 30 * k, 60, 30 * k + 20) for k in range(n)]}
+        boxes, pixels = frames(spark, data, {0: fill(data[0], 1)})
+        got, jobs[n] = jobs_of(spark, f"stack{n}", lambda: as_sets(Y.attach_small_marks(Y.assign_rows(boxes), pixels)))
+        assert got[0] == sorted((40, 60 * k, 60, 60 * k + 50) for k in range(n // 2))
+    assert jobs[200] <= jobs[20] + 8
+
+
+def test_marks_go_to_the_first_standing_box_in_reading_order(spark):
+    rng = random.Random(31)
+    data = {p: [] for p in range(40)}
+    for p in data:
+        for k in range(40):  # crowded boxes of about 20 by 20, nearly all anchor and mark
+            x0, y0 = rng.randrange(0, 160), rng.randrange(0, 160)
+            data[p].append((x0, y0, x0 + rng.randrange(14, 27), y0 + rng.randrange(14, 30)))
+        data[p] = list(dict.fromkeys(data[p]))
+    boxes, pixels = frames(spark, data, {p: fill(bs, 1) for p, bs in data.items()})
+    ordered = Y.assign_rows(boxes)
+    page_rows = {}
+    for r in ordered.collect():
+        page_rows.setdefault(r.page_id, []).append((r.row, r.place, (r.x0, r.y0, r.x1, r.y1)))
+    wanted = {}
+    for p, rows in page_rows.items():
+        line = [b for _, _, b in sorted(rows)]
+        area = {b: len(inside(fill(data[p], 1), b)) for b in line}
+        limit = max(18.0, sorted(area.values())[len(line) // 2] * 0.35 if len(line) % 2 else sum(sorted(area.values())[len(line) // 2 - 1 : len(line) // 2 + 1]) / 2 * 0.35)
+        owner = {}
+        for a in line:
+            w, h = a[2] - a[0], a[3] - a[1]
+            if a in owner or not (area[a] > limit or (h >= 28 and h / w >= 3)):
+                continue
+            owner[a] = a
+            for m in line:
+                mw, mh = m[2] - m[0], m[3] - m[1]
+                gx, gy = max(a[0] - m[2], m[0] - a[2], 0), max(a[1] - m[3], m[1] - a[3], 0)
+                small = area[m] <= limit or min(mw, mh) <= 7 or (mw <= 24 and mh <= 24)
+                near = abs(a[0] + a[2] - m[0] - m[2]) / 2 <= 0.75 * max(w, mw, 12) and (gx * gx + gy * gy) ** 0.5 <= 0.85 * max(h, mh, 14)
+                if m not in owner and small and near:
+                    owner[m] = a
+        hulls = {}
+        for m in line:
+            o = hulls.get(owner.get(m, m), m)
+            hulls[owner.get(m, m)] = (min(o[0], m[0]), min(o[1], m[1]), max(o[2], m[2]), max(o[3], m[3]))
+        wanted[p] = sorted(hulls.values())
+    assert as_sets(Y.attach_small_marks(ordered, pixels)) == wanted

@@ -63,6 +63,46 @@ def test_hex_and_sample_folders(spark, tmp_path):
     assert sorted(r.target for r in folders.numbered_samples(paths, fold_case=False).collect()) == [0, 10, 36]
 
 
+def test_only_chosen_files_are_opened(spark, tmp_path):
+    root = write(tmp_path, "by_class/4a/h/x.png", "by_class/4b/h/odd name %41#?é.png", data=b"img")
+    (tmp_path / "by_class" / "zz" / "h").mkdir(parents=True)
+    (tmp_path / "by_class" / "zz" / "h" / "locked.png").write_bytes(b"x" * 10)
+    opened = spark.sparkContext.accumulator(0)
+
+    def counting(path):
+        opened.add(1)
+        assert "locked" not in path
+        return folders.read_bytes(path)
+
+    chosen = folders.balanced_hex_samples(folders.list_files(spark, root), 5)
+    got = folders.read_files(chosen, counting)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("Scan binaryFile" if "Scan binaryFile" in plan else "BatchScan")[-1].split("]")[0]
+    rows = got.collect()
+    assert sorted((r.target, bytes(r.content)) for r in rows) == [(19, b"img"), (20, b"img")] and opened.value == 2
+    assert {r.rel for r in rows} == {"by_class/4a/h/x.png", "by_class/4b/h/odd name %41#?é.png"}
+    missing = spark.createDataFrame([(f"file:{tmp_path}/none.png", "r")], "path string, rel string")
+    with pytest.raises(Exception, match="cannot read file:.*none.png"):
+        folders.read_files(missing).collect()
+    assert folders.read_files(missing.limit(0)).count() == 0
+
+
+def test_written_files_are_whole_and_read_back(spark, tmp_path):
+    rows = [(f"d{k % 3}/f{k}.bin", bytes([k]) * k) for k in range(1, 51)]
+    df = spark.createDataFrame(rows, "rel string, content binary").repartition(4)
+    for _ in range(2):  # a second run writes the same files again
+        assert folders.write_files(df, f"file:{tmp_path}/out") == 50
+    listed = folders.list_files(spark, str(tmp_path / "out"))
+    assert sorted((r.rel, bytes(r.content)) for r in folders.read_files(listed).collect()) == sorted(rows)
+    assert not [p for p in (tmp_path / "out").rglob(".*") if p.is_file() and not p.name.endswith(".crc")]
+
+
+@pytest.mark.parametrize("uri, inside", [("/a/b c", "/a/b c"), ("file:/a/%41", "/a/%41"), ("file:///a/b#?", "/a/b#?"), ("/a:b/c", "/a:b/c")])
+def test_local_paths_as_spark_writes_them(uri, inside):
+    store, path = folders.store_of(uri)
+    assert store.type_name == "local" and path == inside
+
+
 def test_checksums(spark):
     files = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"2"))], "filename string, content binary")
     good = hashlib.md5(b"1").hexdigest()
