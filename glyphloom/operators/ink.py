@@ -213,12 +213,56 @@ def ink_in_boxes(boxes: DataFrame, ink: DataFrame, page: str = "page_id", column
     return tiled.join(pixels, [page, "_tx", "_ty"]).filter(inside).select(*wanted, "y", "x")
 
 
-def box_ink_area(boxes: DataFrame, ink: DataFrame, box_id: str, page: str = "page_id") -> DataFrame:
-    """``area`` of each box: its ink pixels, 0 for an empty one."""
+def ink_columns(ink: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, _tx, _ty, x, bits): an index of ink, one row for each pixel column of a tile.
 
-    inked = ink_in_boxes(boxes.filter("x1 > x0 and y1 > y0"), ink, page, [page, box_id])
-    counted = inked.groupBy(page, box_id).agg(F.count("*").alias("area"))
-    return boxes.join(counted, [page, box_id], "left").withColumn("area", F.coalesce("area", F.lit(0)))
+    ``bits`` has bit y % 64 set for each inked row of the tile, so ink in any stretch of rows is a
+    bit count. Pixels are put together before the shuffle.
+    """
+
+    bit = F.expr("shiftleft(1L, CAST(y % 64 AS INT))")
+    return (
+        ink.groupBy(page, F.floor(F.col("x") / TILE).alias("_tx"), F.floor(F.col("y") / TILE).alias("_ty"), "x")
+        .agg(F.bit_or(bit).alias("bits"))
+    )
+
+
+def columns_in_boxes(boxes: DataFrame, columns: DataFrame, page: str = "page_id", wanted: list[str] | None = None) -> DataFrame:
+    """``wanted`` of each half-open box with x, the tile row and the ``bits`` inside, for each column of a tile with ink in it."""
+
+    tiled = boxes.withColumn("_tx", F.explode(_tiles(F.col("x0"), F.col("x1") - 1))).withColumn(
+        "_ty", F.explode(_tiles(F.col("y0"), F.col("y1") - 1))
+    )
+    # Rows from the box's first to its last one, as bits of this tile.
+    low = F.greatest(F.lit(0), F.col("y0") - F.col("_ty") * TILE).cast("int")
+    high = F.least(F.lit(TILE), F.col("y1") - F.col("_ty") * TILE).cast("int")
+    ones = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(TILE) - (high - low)), low)
+    met = tiled.join(columns, [page, "_tx", "_ty"]).filter((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
+    return met.withColumn("bits", F.col("bits").bitwiseAND(ones)).filter("bits <> 0").select(*(wanted or boxes.columns), "x", "_ty", "bits")
+
+
+def ink_bounds(boxes: DataFrame, columns: DataFrame, page: str, keys: list[str]) -> DataFrame:
+    """(keys, n, x0, y0, x1, y1): ink pixels of each box that has any, and the tight box around them."""
+
+    digits = F.lpad(F.bin("bits"), 64, "0")
+    first, last = F.instr(F.reverse(digits), "1") - 1, 64 - F.instr(digits, "1")
+    row = F.col("_ty") * TILE
+    return (
+        columns_in_boxes(boxes, columns, page, keys)
+        .groupBy(*keys)
+        .agg(
+            F.sum(F.bit_count("bits")).alias("n"), F.min("x").alias("x0"), F.min(row + first).cast("int").alias("y0"),
+            (F.max("x") + 1).alias("x1"), (F.max(row + last) + 1).cast("int").alias("y1"),
+        )
+    )
+
+
+def box_ink_area(boxes: DataFrame, columns: DataFrame, box_id: str, page: str = "page_id") -> DataFrame:
+    """``area`` of each box: its ink pixels by the index of :func:`ink_columns`, 0 for an empty one."""
+
+    inked = columns_in_boxes(boxes.filter("x1 > x0 and y1 > y0"), columns, page, [page, box_id])
+    counted = inked.groupBy(page, box_id).agg(F.sum(F.bit_count("bits")).alias("area"))
+    return boxes.join(counted, [page, box_id], "left").withColumn("area", F.coalesce("area", F.lit(0).cast("long")))
 
 
 # ---------------------------------------------------------------- shape features

@@ -129,7 +129,7 @@ def reading_order(spark: SparkSession, root: str) -> DataFrame:
     with_ctes(
         ["word_boxes"],
         """SELECT page_id, box_id, CAST(greatest(coalesce(lag(x1) OVER w, 0), x0 - pad) AS INTEGER) AS px0, CAST(greatest(0, y0 - pad) AS INTEGER) AS py0,
-        CAST(least(coalesce(lead(x0) OVER w, 65536), x1 + pad) AS INTEGER) AS px1, CAST(least(65536, y1 + pad) AS INTEGER) AS py1
+        CAST(least(coalesce(lead(x0) OVER w, width), x1 + pad) AS INTEGER) AS px1, CAST(least(height, y1 + pad) AS INTEGER) AS py1
         FROM (SELECT *, greatest(4, floor(greatest(x1 - x0, y1 - y0) * 0.15::DOUBLE)) AS pad FROM word_boxes)
         WINDOW w AS (PARTITION BY page_id, line ORDER BY x0)""",
     ),
@@ -143,7 +143,7 @@ def padded_boxes(spark: SparkSession, root: str) -> DataFrame:
     "v03_best_vertical_cut",
     with_ctes(
         ["word_boxes"],
-        """, b AS (SELECT page_id, box_id, line, greatest(0, x0 - 2) AS lo, x1 + 2 AS hi, y0, y1 FROM word_boxes),
+        """, b AS (SELECT page_id, box_id, line, greatest(0, x0 - 2) AS lo, least(width - 1, x1 + 2) AS hi, y0, y1 FROM word_boxes),
         c AS (SELECT page_id, line, x, count(*) AS n FROM word_ink GROUP BY 1, 2, 3),
         d AS (SELECT b.page_id, b.box_id, lo, hi, xs.x, coalesce(c.n, 0) AS n FROM (SELECT *, unnest(range(lo, hi)) AS x FROM b) xs
           JOIN b USING (page_id, box_id, lo, hi) LEFT JOIN c ON c.page_id = xs.page_id AND c.line = xs.line AND c.x = xs.x),
@@ -158,7 +158,7 @@ def best_vertical_cut(spark: SparkSession, root: str) -> DataFrame:
     windows = boxes.select(
         "page_id", "box_id", "width", "y0", "y1", (F.col("x0") - 2).alias("lo"), (F.col("x1") + 2).alias("hi")
     )
-    return Y.best_cuts(windows, T.word_ink(spark, root), ["box_id"]).select("page_id", "box_id", "cut")
+    return Y.best_cuts(windows, I.ink_columns(T.word_ink(spark, root)), ["box_id"]).select("page_id", "box_id", "cut")
 
 
 def banner_boxes(spark: SparkSession, root: str) -> DataFrame:
@@ -285,9 +285,68 @@ def small_mark_attachment(spark: SparkSession, root: str) -> DataFrame:
     return Y.attach_small_marks(ordered, T.scattered_ink(spark, root))
 
 
-@query("j08_broken_part_merge")
+_UNION = """{'x0': least(c.x0, n.x0), 'y0': least(c.y0, n.y0), 'x1': greatest(c.x1, n.x1), 'y1': greatest(c.y1, n.y1), 'area': greatest(c.area, n.area)}"""
+_BOX_TYPE = "STRUCT(x0 INTEGER, y0 INTEGER, x1 INTEGER, y1 INTEGER, area BIGINT)"
+_MERGED = """(greatest(c.x1, n.x1) - least(c.x0, n.x0)) / greatest(1, greatest(c.y1, n.y1) - least(c.y0, n.y0))::DOUBLE <= 1.25 AND c.area >= 45 AND n.area >= 45"""
+_H_SHARE = "(least(c.x1, n.x1) - greatest(c.x0, n.x0)) / greatest(1, least(c.x1 - c.x0, n.x1 - n.x0))::DOUBLE >= 0.35"
+
+
+# Parts of a row are walked from left to right, comparing with the last box only; then a page's boxes from top to
+# bottom: ``cur`` meets each of ``todo`` once, ``kept`` waits for the next ``cur``.
+@query(
+    "j08_broken_part_merge",
+    recursive(
+        with_ctes(
+            ["scattered_sized"],
+            f""", line AS (SELECT page_id, row, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'area': area}}::{_BOX_TYPE} ORDER BY x0, y0, x1, y1, area) AS bs FROM scattered_sized GROUP BY 1, 2),
+            walk AS (SELECT page_id, row, 1 AS step, [bs[1]] AS done FROM line
+              UNION ALL SELECT page_id, row, step + 1, CASE WHEN joins THEN list_append(done[:-2], {_UNION}::{_BOX_TYPE}) ELSE list_append(done, n) END FROM (
+                SELECT *, {_MERGED} AND (
+                  (n.x0 - c.x1 >= 0 AND n.x0 - c.x1 <= greatest(10, floor(least(c.x1 - c.x0, n.x1 - n.x0) * 0.4::DOUBLE), floor(least(c.y1 - c.y0, n.y1 - n.y0) * 0.28::DOUBLE))
+                    AND (least(c.y1, n.y1) - greatest(c.y0, n.y0)) / greatest(1, least(c.y1 - c.y0, n.y1 - n.y0))::DOUBLE >= 0.55
+                    AND (greatest(c.x1, n.x1) - least(c.x0, n.x0)) / greatest(c.x1 - c.x0, n.x1 - n.x0, 1)::DOUBLE <= 1.8)
+                  OR (n.y0 - c.y1 <= greatest(12, floor(least(c.y1 - c.y0, n.y1 - n.y0) * 0.35::DOUBLE)) AND {_H_SHARE})) AS joins FROM (
+                  SELECT w.page_id, w.row, step, done, done[-1] AS c, bs[step + 1] AS n FROM walk w JOIN line l ON l.page_id = w.page_id AND l.row = w.row AND step < len(bs)))),
+            ended AS (SELECT w.page_id, unnest(done) AS b FROM walk w JOIN line l ON l.page_id = w.page_id AND l.row = w.row AND step = len(bs)),
+            stack AS (SELECT page_id, NULL::{_BOX_TYPE} AS cur, list(b ORDER BY b.y0, b.x0, b.x1, b.y1, b.area) AS todo, []::{_BOX_TYPE}[] AS kept, []::{_BOX_TYPE}[] AS done, 0 AS step FROM ended GROUP BY 1
+              UNION ALL SELECT page_id,
+                CASE WHEN c IS NULL THEN n WHEN n IS NULL THEN NULL WHEN joins THEN {_UNION}::{_BOX_TYPE} ELSE c END,
+                CASE WHEN n IS NULL THEN kept ELSE todo[2:] END,
+                CASE WHEN n IS NULL THEN []::{_BOX_TYPE}[] WHEN c IS NULL OR joins THEN kept ELSE list_append(kept, n) END,
+                CASE WHEN c IS NOT NULL AND n IS NULL THEN list_append(done, c) ELSE done END, step + 1 FROM (
+                SELECT *, coalesce({_MERGED} AND {_H_SHARE} AND n.y0 - c.y1 <= greatest(16, floor(least(c.y1 - c.y0, n.y1 - n.y0) * 0.12::DOUBLE))
+                  AND (greatest(c.y1, n.y1) - least(c.y0, n.y0)) / greatest(c.y1 - c.y0, n.y1 - n.y0, 1)::DOUBLE <= 1.65, false) AS joins FROM (
+                  SELECT *, cur AS c, todo[1] AS n FROM stack WHERE cur IS NOT NULL OR len(todo) > 0)))
+            SELECT page_id, b.x0, b.y0, b.x1, b.y1 FROM (SELECT page_id, unnest(done) AS b FROM stack WHERE cur IS NULL AND len(todo) = 0)""",
+        ).replace("\n, line AS", ",\nline AS")
+    ),
+)
 def broken_part_merge(spark: SparkSession, root: str) -> DataFrame:
-    return Y.merge_broken_parts(T.scattered_boxes(spark, root), T.scattered_ink(spark, root))
+    merged = Y.merge_broken_parts(T.scattered_boxes(spark, root), T.scattered_ink(spark, root))
+    return merged.select("page_id", "x0", "y0", "x1", "y1")
+
+
+# Blocks of 5 by 9 pixels grow together where they touch, at corners too, and not across a gap of one block; so a flood
+# over the eight neighbours of a block finds the components, with their branches, holes and diagonals.
+@query(
+    "a18_grid_components",
+    recursive(
+        with_ctes(
+            ["pixels"],
+            """, ink AS (SELECT page_id, y, x FROM pixels WHERE v > 0.18),
+            flood AS (SELECT page_id, y, x, y * 8 + x AS seed FROM ink
+              UNION SELECT i.page_id, i.y, i.x, f.seed FROM flood f JOIN ink i ON i.page_id = f.page_id AND abs(i.y - f.y) <= 1 AND abs(i.x - f.x) <= 1 AND f.seed < i.y * 8 + i.x),
+            least_seed AS (SELECT page_id, y, x, min(seed) AS seed FROM flood GROUP BY 1, 2, 3)
+            SELECT page_id, CAST(5 * min(x) AS INTEGER) AS x0, CAST(9 * min(y) AS INTEGER) AS y0, CAST(5 * max(x) + 5 AS INTEGER) AS x1, CAST(9 * max(y) + 9 AS INTEGER) AS y1, 45 * count(*) AS pixels
+            FROM least_seed GROUP BY page_id, seed""",
+        ).replace("\n, ink AS", ",\nink AS")
+    ),
+)
+def grid_components(spark: SparkSession, root: str) -> DataFrame:
+    blocks = I.ink_only(T.grid_pixels(spark, root)).select("page_id", "y", "x")
+    tall = blocks.withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    ink = tall.select("page_id", (F.col("y") * 9 + F.col("dy")).alias("y"), (F.col("x") * 5 + F.col("dx")).alias("x"))
+    return I.component_boxes(ink).select("page_id", "x0", "y0", "x1", "y1", "pixels")
 
 
 @query("layout_digit_regions")

@@ -317,28 +317,33 @@ def metric_history(spark: SparkSession, root: str) -> DataFrame:
 
 
 def word_ink(spark: SparkSession, root: str) -> DataFrame:
-    """(page_id, y, x): each word a connected mark of 1 to 3 pixels height, lines 10 apart."""
+    """(page_id, y, x), and the line and w of its word: each word a connected mark of 1 to 3 pixels height, lines 10 apart.
 
+    Words stand as far apart as the longest of their page needs, 32 at least.
+    """
+
+    pitch = F.greatest(F.lit(32), F.array_max(F.transform(F.split("text", "[ \n]"), lambda w: F.length(w))) + 5)
     lines = spread(spark, root, "conversations").select(
-        F.concat_ws("-", "conv_id", "turn").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "text")
+        F.concat_ws("-", "conv_id", "turn").alias("page_id"), pitch.alias("pitch"), F.posexplode(F.split("text", "\n")).alias("line", "text")
     )
-    tokens = lines.select("page_id", "line", F.posexplode(F.split("text", " ")).alias("w", "word")).filter("word <> ''")
-    chars = tokens.select("page_id", "line", "w", F.posexplode(F.split("word", "")).alias("i", "ch")).filter("ch <> ''")
+    tokens = lines.select("page_id", "pitch", "line", F.posexplode(F.split("text", " ")).alias("w", "word")).filter("word <> ''")
+    chars = tokens.select("page_id", "pitch", "line", "w", F.posexplode(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))).alias("i", "ch"))
     return chars.withColumn("dy", F.explode(F.sequence(F.lit(0), F.ascii("ch") % 3))).select(
-        "page_id", (F.col("line") * 10 + F.col("dy")).alias("y"), (F.col("w") * 32 + F.col("i")).alias("x")
+        "page_id", (F.col("line") * 10 + F.col("dy")).alias("y"), (F.col("w") * F.col("pitch") + F.col("i")).alias("x"), "line", "w"
     )
 
 
 def word_boxes(spark: SparkSession, root: str) -> DataFrame:
-    """(page_id, box_id, line, x0, y0, x1, y1, width, height): the box of each word on its page."""
+    """(page_id, box_id, line, x0, y0, x1, y1, width, height): the box of each word on its page, which ends two pixels after its last ink."""
 
-    ink = word_ink(spark, root)
-    boxes = ink.groupBy("page_id", F.floor(F.col("y") / 10).alias("line"), F.floor(F.col("x") / 32).alias("w")).agg(
+    boxes = word_ink(spark, root).groupBy("page_id", "line", "w").agg(
         F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1")
     )
+    page = W.partitionBy("page_id")
+    per_line = F.greatest(F.lit(10000), F.max("w").over(page) + 1).cast("long")
     return boxes.select(
-        "page_id", (F.col("line") * 10000 + F.col("w")).alias("box_id"), "line", "x0", "y0", "x1", "y1",
-        F.lit(65536).alias("width"), F.lit(65536).alias("height"),
+        "page_id", (F.col("line") * per_line + F.col("w")).alias("box_id"), "line", "x0", "y0", "x1", "y1",
+        (F.max("x1").over(page) + 2).alias("width"), (F.max("y1").over(page) + 2).alias("height"),
     )
 
 
@@ -553,21 +558,23 @@ _sql(
 )
 _sql(
     "word_chars",
-    """SELECT page_id, line, w, unnest(string_split(word, '')) AS ch, generate_subscripts(string_split(word, ''), 1) - 1 AS i FROM (
-    SELECT page_id, line, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS w FROM (
-    SELECT conv_id || '-' || turn AS page_id, unnest(string_split(text, chr(10))) AS text,
-    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM conversations)) WHERE word <> ''""",
+    """SELECT page_id, pitch, line, w, unnest(regexp_extract_all(word, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(word, '(?s).'), 1) - 1 AS i FROM (
+    SELECT page_id, pitch, line, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS w FROM (
+    SELECT page_id, pitch, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM (
+    SELECT conv_id || '-' || turn AS page_id, text,
+    greatest(32, list_max(list_transform(string_split(replace(text, chr(10), ' '), ' '), lambda z: length(z))) + 5) AS pitch FROM conversations))) WHERE word <> ''""",
 )
 _sql(
     "word_ink",
-    """SELECT page_id, line, w, CAST(line * 10 + dy AS INTEGER) AS y, CAST(w * 32 + i AS INTEGER) AS x
+    """SELECT page_id, line, w, CAST(line * 10 + dy AS INTEGER) AS y, CAST(w * pitch + i AS INTEGER) AS x
     FROM word_chars, (VALUES (0), (1), (2)) v(dy) WHERE dy <= ascii(ch) % 3""",
     "word_chars",
 )
 _sql(
     "word_boxes",
-    """SELECT page_id, line * 10000 + w AS box_id, line, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1,
-    count(*) AS pixels FROM word_ink GROUP BY page_id, line, w""",
+    """SELECT page_id, line * greatest(10000, max(w) OVER (PARTITION BY page_id) + 1) + w AS box_id, line, x0, y0, x1, y1, pixels,
+    max(x1) OVER (PARTITION BY page_id) + 2 AS width, max(y1) OVER (PARTITION BY page_id) + 2 AS height FROM (
+    SELECT page_id, line, w, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS pixels FROM word_ink GROUP BY page_id, line, w)""",
     "word_ink",
 )
 _sql(

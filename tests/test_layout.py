@@ -1,10 +1,11 @@
 import random
 
 import brute
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from glyphloom.operators import bands
+from glyphloom.operators import bands, sweeps
 from glyphloom.operators import ink as I
 from glyphloom.operators import layout as Y
 from glyphloom.operators.components import contracted_components
@@ -357,3 +358,86 @@ def test_marks_go_to_the_first_standing_box_in_reading_order(spark):
             hulls[owner.get(m, m)] = (min(o[0], m[0]), min(o[1], m[1]), max(o[2], m[2]), max(o[3], m[3]))
         wanted[p] = sorted(hulls.values())
     assert as_sets(Y.attach_small_marks(ordered, pixels)) == wanted
+
+
+def plain_absorbed(boxes):
+    """One box after another, each taking what fits of those left, looked at one by one."""
+
+    left, done = [tuple(map(int, b)) for b in boxes], []
+    while left:
+        a, rest = left[0], []
+        for b in left[1:]:
+            (w, h), (v, k) = (a[2] - a[0], a[3] - a[1]), (b[2] - b[0], b[3] - b[1])
+            wide, high = max(a[2], b[2]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[1], b[1])
+            over = (min(a[2], b[2]) - max(a[0], b[0])) / max(1, min(w, v))
+            if b[1] - a[3] <= max(16, int(min(h, k) * 0.12)) and over >= 0.35 and min(a[4], b[4]) >= 45 and wide <= 1.25 * max(high, 1) and high <= 1.65 * max(h, k, 1):
+                a = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]))
+            else:
+                rest.append(b)
+        done.append(a)
+        left = rest
+    return done
+
+
+def random_stack(rng, n, width, height):
+    rows = []
+    for _ in range(n):
+        x0, y0 = rng.randrange(width), rng.randrange(height)
+        rows.append((x0, y0, x0 + rng.randrange(4, 40), y0 + rng.randrange(4, 60), rng.choice((20, 45, 100, 700))))
+    return sorted(rows, key=lambda b: (b[1], b[0], b[2], b[3], b[4]))
+
+
+def test_sweep_equals_one_by_one():
+    rng = random.Random(17)
+    for n in (1, 2, 3, 10, 60, 200):
+        for _ in range(12):
+            rows = random_stack(rng, n, rng.choice((5, 60, 300)), rng.choice((10, 200, 2000)))
+            got = sweeps.absorbed(np.array(rows, np.int64), Y._fit_stacked, Y._below_stack)
+            assert [tuple(b) for b in got.tolist()] == plain_absorbed(rows)
+
+
+def test_five_thousand_overlapping_boxes_on_one_page(spark):
+    rng = random.Random(23)
+    rows = random_stack(rng, 5000, 200, 900)
+    df = spark.createDataFrame([(1, *b) for b in rows] + [(2, 0, 0, 9, 9, 50)], "page_id int, x0 int, y0 int, x1 int, y1 int, area long").repartition(4)
+    got = Y.merge_stacked_parts(df).collect()
+    once = sweeps.absorbed(np.array(rows, np.int64), Y._fit_stacked, Y._below_stack)
+    assert sorted(tuple(r)[1:] for r in got if r.page_id == 1) == sorted(map(tuple, once.tolist())) and len(got) == len(once) + 1
+
+
+def test_column_bits_answer_boxes_like_pixels(spark):
+    rng = random.Random(29)
+    ink = {(rng.randrange(300), rng.randrange(200)) for _ in range(9000)} | {(y, 5) for y in range(300)} | {(63, x) for x in range(200)} | {(64, 70)}
+    rects = []
+    for _ in range(80):
+        x0, y0 = rng.randrange(190), rng.randrange(290)
+        rects.append((x0, y0, x0 + rng.randrange(1, 120), y0 + rng.randrange(1, 200)))
+    rects += [(5, 0, 6, 64), (5, 64, 6, 128), (5, 63, 6, 65), (0, 63, 200, 64), (250, 0, 260, 10)]
+    boxes, pixels = frames(spark, {0: rects}, {0: ink})
+    index = I.ink_columns(pixels)
+    assert index.count() < len(ink) / 3
+    got = {r.box_id: (r.n, r.x0, r.y0, r.x1, r.y1) for r in I.ink_bounds(boxes, index, "page_id", ["page_id", "box_id"]).collect()}
+    areas = {r.box_id: r.area for r in I.box_ink_area(boxes, index, "box_id").collect()}
+    for k, b in enumerate(rects):
+        own = inside(ink, b)
+        assert areas[k] == len(own) and got.get(k) == ((len(own), *bounds(own)) if own else None)
+
+
+def test_cuts_by_bits_equal_cuts_by_sums(spark):
+    rng = random.Random(37)
+    ink = {(y, x) for y in range(150) for x in range(260) if rng.random() < 0.2 + 0.3 * ((x // 13) % 2)}
+    windows = []
+    for k in range(60):
+        lo, y0 = rng.randrange(-6, 250), rng.randrange(0, 120)
+        windows.append((0, k, 260, lo, lo + rng.choice((1, 2, 3, 5, 6, 7, 8, 40, 90)), y0, y0 + rng.randrange(1, 80)))
+    frame = spark.createDataFrame(windows, "page_id int, box_id int, width int, lo int, hi int, y0 int, y1 int")
+    pixels = spark.createDataFrame([(0, y, x) for y, x in ink], INK)
+    got = {r.box_id: r.cut for r in Y.best_cuts(frame, I.ink_columns(pixels), ["box_id"]).collect()}
+    for _, k, width, lo, hi, y0, y1 in windows:
+        lo, hi = max(0, lo), min(width - 1, hi)
+        sums = [sum((y, x) in ink for y in range(y0, y1)) for x in range(lo, hi)]
+        if hi <= lo + 2:
+            assert got[k] == (lo + hi) // 2
+            continue
+        even = [sum(sums[max(0, i - 3) : i + 4]) / 7 for i in range(len(sums))] if len(sums) >= 7 else sums
+        assert got[k] == lo + min((abs(i - len(sums) / 2), i) for i, v in enumerate(even) if v <= min(even) + 0.5)[1]
