@@ -307,6 +307,38 @@ def test_nearest_exemplar_in_blocks(spark, monkeypatch):
     assert out[0].exemplar_id == 3
 
 
+def test_nearest_exemplar_of_many_blocks_and_ties(spark, monkeypatch):
+    """Points on a lattice, in far clusters, so that ties are many and most blocks are out of reach."""
+
+    monkeypatch.setattr(matching, "MAX_BLOCK_VALUES", 90)
+    monkeypatch.setattr(matching, "CHUNK_QUERIES", 50)
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-300, 300, size=(12, 3))
+    bank = centres[rng.integers(0, 12, 900)] + rng.integers(-2, 3, size=(900, 3))
+    queries = np.concatenate([centres[rng.integers(0, 12, 150)] + rng.integers(-4, 5, size=(150, 3)), rng.integers(-400, 400, size=(30, 3))])
+    ids = rng.permutation(900)
+    b = spark.createDataFrame([(int(i), f"l{i}", v.astype(float).tolist()) for i, v in zip(ids, bank)], "sample_id long, label string, vec array<double>").repartition(5)
+    q = spark.createDataFrame([(k, v.astype(float).tolist()) for k, v in enumerate(queries)], "qid long, vec array<double>").repartition(4)
+    d = np.sqrt(((queries[:, None, :] - bank[None]) ** 2).sum(-1).astype(float))
+    visited = []
+    whole = matching._blocks_in_reach
+
+    def watched(*args):
+        visited.append(whole(*args))
+        return visited[-1]
+
+    monkeypatch.setattr(matching, "_blocks_in_reach", watched)
+    out = matching.nearest_exemplar(q, b, ["qid"]).orderBy("qid").collect()
+    for k, r in enumerate(out):
+        least = d[k].min()
+        assert r.exemplar_id == min(ids[j] for j in np.flatnonzero(d[k] == least)) and r.distance == pytest.approx(least)
+        assert r.exemplar_label == f"l{r.exemplar_id}"
+    assert len(out) == len(queries) and visited[0].count() < len(queries) * 8  # of some forty blocks each
+    none = matching.nearest_exemplar(q, b.limit(0), ["qid"]).collect()
+    assert len(none) == len(queries) and all(r.exemplar_id is None and r.distance is None for r in none)
+    assert matching.nearest_exemplar(q.limit(0), b, ["qid"]).count() == 0
+
+
 def test_scorer_and_baseline(spark):
     df = spark.createDataFrame([(i, [float(i % 2), 1.0 - i % 2], i % 2) for i in range(40)], "sample_id long, vec array<double>, target int")
     scored = scoring.score_vectors(df, lambda v: v * 2, region="sample_id").orderBy("sample_id").collect()
