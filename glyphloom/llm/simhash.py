@@ -158,9 +158,9 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     n = F.col("print")
     cells = nodes.select("print", F.posexplode(F.array(*[_point(n).bitwiseAND(F.lit(m)) for m in _grids(distance)])).alias("grid", "cell"))
-    shared = cells.groupBy("grid", "cell").agg(F.count("*").alias("members")).filter("members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    met = cells.join(shared, ["grid", "cell"]).select("grid", "cell", "print", blocks.alias("blocks"))
+    large = cells.groupBy("grid", "cell").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK)
+    large = cut_lineage(large.select("grid", "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+    met = cells.join(large, ["grid", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.filter("blocks = 1 OR own <> other").select("grid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print")
