@@ -344,81 +344,81 @@ def _dot_sql(side: str, labels: list[str]) -> str:
     return f"{side}.label IN ({members}) AND {side}.width <= 36 AND {side}.height <= 36"
 
 
-def _claims_sql(claimant: str, dot: str, fits: str, label: str, floor: float, exclusive: bool = False) -> str:
-    """Claims one claimant at a time: a recursive walk along each row with the dots used so far."""
+_STEM_RULE = f"{_REACH} AND b.y + b.height <= a.y + a.height * 0.18::DOUBLE AND a.y - b.y - b.height <= {_LIMIT}"
+_CLAIMS = {
+    "!": (_STEM, _dot_sql("b", marks.EXCLAMATION_DOT_LABELS), f"{_REACH} AND b.y - a.y - a.height BETWEEN 0 AND {_LIMIT}", 0.92, False),
+    "i": (_STEM, _dot_sql("b", marks.I_DOT_LABELS), _STEM_RULE, 0.9, False),
+    ":": (
+        _dot_sql("a", marks.COLON_DOT_LABELS), _dot_sql("b", marks.COLON_DOT_LABELS),
+        "b.ord > a.ord AND abs(b.x + b.width / 2 - a.x - a.width / 2) <= 14 AND b.y - a.y - a.height BETWEEN 8 AND 80", 0.9, True,
+    ),
+}
+_GLYPHS = "SELECT page_id, CAST(row AS INTEGER) AS row, idx, label, confidence::DOUBLE AS confidence, x, y, width, height, row_number() OVER (PARTITION BY page_id, row ORDER BY idx) AS ord FROM marked"
 
-    free = "list_filter(k.dots, lambda z: NOT list_contains(rec.used, z))[1]"
-    pick = f"CASE WHEN list_contains(rec.used, k.s) THEN NULL ELSE {free} END" if exclusive else free
-    return with_ctes(
-        ["marked"],
-        f""", p AS (SELECT page_id, CAST(row AS INTEGER) AS row, idx, label, confidence, x, y, width, height FROM marked),
-        e AS (SELECT a.page_id, a.row, a.idx AS s, list(b.idx ORDER BY b.idx) AS dots FROM p a JOIN p b ON a.page_id = b.page_id AND a.row = b.row
-          AND a.idx <> b.idx AND {claimant} AND {dot} AND {fits} GROUP BY 1, 2, 3),
-        k AS (SELECT *, row_number() OVER (PARTITION BY page_id, row ORDER BY s) AS k FROM e),
-        rec AS (SELECT DISTINCT page_id, row, 0::BIGINT AS k, []::INTEGER[] AS used, NULL::INTEGER AS s, NULL::INTEGER AS d FROM k
+
+def _claims_ctes(source: str, result: str, label: str) -> str:
+    """``result``: the glyphs of ``source`` after one rule; one claimant at a time by a recursive walk along each row with the dots used so far."""
+
+    claimant, dot, fits, floor, exclusive = _CLAIMS[label]
+    free = "list_filter(k.dots, lambda z: NOT list_contains(w.used, z))[1]"
+    pick = f"CASE WHEN list_contains(w.used, k.s) THEN NULL ELSE {free} END" if exclusive else free
+    return f"""{result}_e AS (SELECT a.page_id, a.row, a.ord AS s, list(b.ord ORDER BY b.ord) AS dots FROM {source} a JOIN {source} b ON a.page_id = b.page_id AND a.row = b.row
+          AND a.ord <> b.ord AND {claimant} AND {dot} AND {fits} GROUP BY 1, 2, 3),
+        {result}_k AS (SELECT *, row_number() OVER (PARTITION BY page_id, row ORDER BY s) AS k FROM {result}_e),
+        {result}_w AS (SELECT DISTINCT page_id, row, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS s, NULL::BIGINT AS d FROM {result}_k
           UNION ALL SELECT page_id, row, k, CASE WHEN d IS NULL THEN used ELSE list_append(used, d) END, s, d FROM (
-            SELECT k.page_id, k.row, k.k, rec.used, k.s, {pick} AS d FROM rec JOIN k ON k.page_id = rec.page_id AND k.row = rec.row AND k.k = rec.k + 1)),
-        c AS (SELECT page_id, row, s, d FROM rec WHERE d IS NOT NULL)
-        SELECT p.page_id, p.row, p.idx, CASE WHEN c.d IS NULL THEN p.label ELSE '{label}' END AS label,
-        round(CASE WHEN c.d IS NULL THEN p.confidence ELSE greatest(p.confidence, q.confidence, {floor}) END::DOUBLE, 6) AS confidence,
-        CASE WHEN c.d IS NULL THEN p.x ELSE least(p.x, q.x) END AS x, CASE WHEN c.d IS NULL THEN p.y ELSE least(p.y, q.y) END AS y,
-        CASE WHEN c.d IS NULL THEN p.width ELSE greatest(p.x + p.width, q.x + q.width) - least(p.x, q.x) END AS width,
-        CASE WHEN c.d IS NULL THEN p.height ELSE greatest(p.y + p.height, q.y + q.height) - least(p.y, q.y) END AS height
-        FROM p LEFT JOIN c ON c.page_id = p.page_id AND c.row = p.row AND c.s = p.idx
-        LEFT JOIN p q ON q.page_id = c.page_id AND q.row = c.row AND q.idx = c.d
-        WHERE NOT EXISTS (SELECT 1 FROM c u WHERE u.page_id = p.page_id AND u.row = p.row AND u.d = p.idx)""",
-    ).replace("\n, p AS", ",\np AS").replace("WITH ", "WITH RECURSIVE ", 1)
+            SELECT k.page_id, k.row, k.k, w.used, k.s, {pick} AS d FROM {result}_w w JOIN {result}_k k ON k.page_id = w.page_id AND k.row = w.row AND k.k = w.k + 1)),
+        {result}_c AS (SELECT page_id, row, s, d FROM {result}_w WHERE d IS NOT NULL),
+        {result} AS (SELECT * REPLACE (row_number() OVER (PARTITION BY page_id, row ORDER BY trunc(x), ord) AS ord) FROM (
+          SELECT p.page_id, p.row, p.idx, CASE WHEN c.d IS NULL THEN p.label ELSE '{label}' END AS label,
+          CASE WHEN c.d IS NULL THEN p.confidence ELSE greatest(p.confidence, q.confidence, {floor}) END::DOUBLE AS confidence,
+          CASE WHEN c.d IS NULL THEN p.x ELSE least(p.x, q.x) END AS x, CASE WHEN c.d IS NULL THEN p.y ELSE least(p.y, q.y) END AS y,
+          CASE WHEN c.d IS NULL THEN p.width ELSE greatest(p.x + p.width, q.x + q.width) - least(p.x, q.x) END AS width,
+          CASE WHEN c.d IS NULL THEN p.height ELSE greatest(p.y + p.height, q.y + q.height) - least(p.y, q.y) END AS height, p.ord
+          FROM {source} p LEFT JOIN {result}_c c ON c.page_id = p.page_id AND c.row = p.row AND c.s = p.ord
+          LEFT JOIN {source} q ON q.page_id = c.page_id AND q.row = c.row AND q.ord = c.d
+          WHERE NOT EXISTS (SELECT 1 FROM {result}_c u WHERE u.page_id = p.page_id AND u.row = p.row AND u.d = p.ord)))"""
+
+
+def _placed_sql(source: str) -> str:
+    return f"""SELECT * REPLACE (CASE WHEN usable AND rel >= 0.72 THEN '.' WHEN usable AND rel <= 0.35 THEN '''' ELSE label END AS label,
+        CASE WHEN usable AND (rel >= 0.72 OR rel <= 0.35) THEN greatest(confidence, 0.9) ELSE confidence END::DOUBLE AS confidence) FROM (
+        SELECT *, dot AND bottom - top >= 24 AS usable, (y + height / 2 - top) / greatest(bottom - top, 1.0) AS rel FROM (
+        SELECT *, min(CASE WHEN NOT dot THEN y END) OVER w AS top, max(CASE WHEN NOT dot THEN y + height END) OVER w AS bottom FROM (
+        SELECT *, label IN ('.', '''', '`', ':') AND width <= 36 AND height <= 36 AS dot FROM {source}) WINDOW w AS (PARTITION BY page_id, row)))"""
 
 
-@query(
-    "j04_stem_dot_merge",
-    _claims_sql(
-        _STEM, _dot_sql("b", marks.I_DOT_LABELS),
-        f"{_REACH} AND b.y + b.height <= a.y + a.height * 0.18::DOUBLE AND a.y - b.y - b.height <= {_LIMIT}", "i", 0.9,
-    ),
-)
+def _claims_sql(labels: str, placed: bool = False) -> str:
+    """The rules one after another; then dots by their height."""
+
+    steps = [f"p AS ({_GLYPHS})", *(_claims_ctes(f"m{k - 1}" if k else "p", f"m{k}", label) for k, label in enumerate(labels))]
+    last = f"m{len(labels) - 1}"
+    source = f"({_placed_sql(last)})" if placed else last
+    body = ",\n" + ",\n".join(steps) + f"\nSELECT page_id, row, idx, label, round(confidence, 6) AS confidence, x, y, width, height FROM {source}"
+    return with_ctes(["marked"], body).replace("\n,\n", ",\n").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("j04_stem_dot_merge", _claims_sql("i"))
 def stem_dot_merge(spark: SparkSession, root: str) -> DataFrame:
     return _flat(marks.merge_dotted_stems(T.predictions(spark, root, "marks")))
 
 
-@query(
-    "j05_exclamation_merge",
-    _claims_sql(
-        _STEM, _dot_sql("b", marks.EXCLAMATION_DOT_LABELS),
-        f"{_REACH} AND b.y - a.y - a.height BETWEEN 0 AND {_LIMIT}", "!", 0.92,
-    ),
-)
+@query("j05_exclamation_merge", _claims_sql("!"))
 def exclamation_merge(spark: SparkSession, root: str) -> DataFrame:
     return _flat(marks.merge_exclamations(T.predictions(spark, root, "marks")))
 
 
-@query(
-    "j06_colon_merge",
-    _claims_sql(
-        _dot_sql("a", marks.COLON_DOT_LABELS), _dot_sql("b", marks.COLON_DOT_LABELS),
-        "b.idx > a.idx AND abs(b.x + b.width / 2 - a.x - a.width / 2) <= 14 AND b.y - a.y - a.height BETWEEN 8 AND 80", ":", 0.9, True,
-    ),
-)
+@query("j06_colon_merge", _claims_sql(":"))
 def colon_merge(spark: SparkSession, root: str) -> DataFrame:
     return _flat(marks.merge_colons(T.predictions(spark, root, "marks")))
 
 
-@query("j04_j06_all_mark_merges")
+@query("j04_j06_all_mark_merges", _claims_sql("!i:", placed=True))
 def all_mark_merges(spark: SparkSession, root: str) -> DataFrame:
     return _flat(marks.merge_marks(T.predictions(spark, root, "marks")))
 
 
-@query(
-    "v06_dot_height",
-    with_ctes(
-        ["preds"],
-        """SELECT page_id, idx, CASE WHEN usable AND rel >= 0.72 THEN '.' WHEN usable AND rel <= 0.35 THEN '''' ELSE label END AS label,
-        CASE WHEN usable AND (rel >= 0.72 OR rel <= 0.35) THEN greatest(confidence, 0.9) ELSE confidence END::DOUBLE AS confidence FROM (
-        SELECT *, dot AND bottom - top >= 24 AS usable, (y + height / 2 - top) / greatest(bottom - top, 1.0) AS rel FROM (
-        SELECT *, min(CASE WHEN NOT dot THEN y END) OVER w AS top, max(CASE WHEN NOT dot THEN y + height END) OVER w AS bottom FROM (
-        SELECT *, label IN ('.', '''', '`', ':') AND width <= 36 AND height <= 36 AS dot FROM preds) WINDOW w AS (PARTITION BY page_id, row)))""",
-    ),
-)
+@query("v06_dot_height", with_ctes(["preds"], f"SELECT page_id, idx, label, confidence FROM ({_placed_sql('preds')})"))
 def dot_height(spark: SparkSession, root: str) -> DataFrame:
     return marks.place_dots(T.predictions(spark, root)).select(*KEY, "label", "confidence")
 
