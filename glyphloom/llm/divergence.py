@@ -12,13 +12,13 @@ where the first part needs only the number of kept terms, the two in brackets on
 source has each count, and the joint correction only terms that both have. Those come from the
 tree: a term's nonzero counts in source order are a path, terms with the same counts share the
 path and terms that begin alike share its nodes, so a correction between a node and an ancestor
-is computed once, times the number of terms below. The tree is built in ranges of the sorted
-paths, of which only the open path is held.
+is computed once, times the number of terms below. Trees are built of stretches of the sorted
+paths, as arrays of nodes.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +27,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import arrow_rows, ship_package
+from glyphloom.llm.common import ship_package
 from glyphloom.session import cut_lineage
 
 MIN_DOCS = 10
 TOP = 10
 SCALE_STEPS, STEP = 3, 1000
 """Shares are of STEP ** SCALE_STEPS = 10**9, divided out step by step, so counts up to 9 * 10**15 stay exact."""
-HELD = 400_000
-"""Term counts that a task holds before it passes them on."""
-SUMS = 500_000
-"""Pair sums that a task holds before it adds up or passes them on."""
+HELD = 700_000
+"""Terms of groups that a task holds before it passes their counts on."""
+COMBINATIONS = 500_000
+"""Combinations of a node and an ancestor that a task works on at once, about."""
+RANGED = 6
+"""Nodes of a path that ranges go by."""
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 """Bytes of terms, A-Z lower-cased; all others end a term."""
@@ -55,40 +57,35 @@ def terms_of(text: str | None) -> list[bytes]:
 def term_counts(docs: DataFrame, group: tuple[str, str], text: str) -> DataFrame:
     """(lang, source, term, n, docs) summed over all rows; a row with a null term for every group that occurs."""
 
-    def rows(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
-        held: dict[tuple, dict[bytes, list[int]]] = defaultdict(dict)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
         size = 0
 
-        def passed_on() -> Iterator[list[tuple]]:
-            for (lang, source), counts in held.items():
-                yield [(lang, source, None, 0, 0)]
-                items = list(counts.items())
-                for at in range(0, len(items), 8192):
-                    yield [(lang, source, term.decode("utf-8"), n, d) for term, (n, d) in items[at : at + 8192]]
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, found) in held.items():
+                # Both counters got their terms in the same order.
+                terms = pa.concat_arrays([pa.nulls(1, pa.string()), pa.array(list(n), pa.binary()).cast(pa.string())])
+                counts = [pa.array([0, *c.values()], pa.int64()) for c in (n, found)]
+                whole = pa.RecordBatch.from_arrays([pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), terms, *counts], names=["lang", "source", "term", "n", "docs"])
+                yield from (whole.slice(at, 1 << 15) for at in range(0, len(terms), 1 << 15))
             held.clear()
 
-        for part in slices:
-            for lang, source, value in part:
-                counts = held[lang or "", source or ""]
-                before, seen = len(counts), set()
-                for term in terms_of(value):
-                    at = counts.get(term)
-                    if at is None:
-                        counts[term] = [1, 1]
-                        seen.add(term)
-                    else:
-                        at[0] += 1
-                        if term not in seen:
-                            seen.add(term)
-                            at[1] += 1
-                size += len(counts) - before
-            if size > HELD:
-                yield from passed_on()
-                size = 0
+        for batch in batches:
+            for lang, source, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                n, found = held[lang or "", source or ""]
+                before = len(n)
+                terms = terms_of(value.as_py())
+                n.update(terms)
+                found.update(dict.fromkeys(terms).keys())
+                size += len(n) - before
+                if size > HELD:
+                    yield from passed_on()
+                    size = 0
         yield from passed_on()
 
-    source = docs.select(F.col(group[0]).alias("lang"), F.col(group[1]).alias("source"), F.col(text).alias("text"))
-    counted = arrow_rows(source, ["lang", "source", "text"], "lang string, source string, term string, n bigint, docs bigint", rows)
+    source = docs.select(F.col(group[0]).cast("string").alias("lang"), F.col(group[1]).cast("string").alias("source"), F.col(text).alias("text"))
+    ship_package(docs.sparkSession)
+    counted = source.mapInArrow(rows, "lang string, source string, term string, n bigint, docs bigint")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -122,111 +119,78 @@ def _difference(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- tree of term rows
 
 
-class _PairSums:
-    """Sums by (language, source, source), added up when many wait and passed on when many remain."""
-
-    def __init__(self) -> None:
-        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, lang: int, one: int, others: np.ndarray, values: np.ndarray) -> None:
-        self.waiting.append((np.full(len(others), lang), np.full(len(others), one), others, values))
-        self.size += len(others)
-
-    def full(self) -> bool:
-        if self.size > SUMS:
-            self.waiting, self.size = [summed := self.summed()], 0
-            self.size = len(summed[0])
-        return self.size > SUMS // 2
-
-    def summed(self) -> tuple[np.ndarray, ...]:
-        columns = [np.concatenate(c) for c in zip(*self.waiting)] or [np.zeros(0, np.int64)] * 4
-        order = np.lexsort(columns[2::-1])
-        columns = [c[order] for c in columns]
-        first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)])) if len(order) else order
-        return *(c[first] for c in columns[:3]), np.add.reduceat(columns[3], first) if len(first) else columns[3]
-
-    def take(self) -> tuple[np.ndarray, ...]:
-        out = self.summed()
-        self.waiting, self.size = [], 0
-        return out
-
-
-class PatternTree:
-    """A frequent-pattern tree of sorted paths, of which only the open path is held.
+def pattern_tree(starts: np.ndarray, sources: np.ndarray, shares: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tree of sorted paths as (path, depth, terms) of its nodes; path k is the stretch from ``starts[k]`` to ``starts[k + 1]``.
 
-    A node is (source, share, share without the term). When a node closes, the number of terms
-    below it is final, and its joint corrections with all its ancestors are added up.
+    A path adds the nodes beyond what it shares with the one before; the terms of a node are those
+    of the paths from there on, up to the next one that leaves the tree above the node.
     """
 
-    def __init__(self, sums: _PairSums, lang: int = 0) -> None:
-        self.sums, self.lang = sums, lang
-        self.sources, self.shares, self.zeros, self.terms = (np.zeros(64, np.int64) for _ in range(4))
-        self.depth = 0
-
-    def insert(self, sources: np.ndarray, shares: np.ndarray, zeros: np.ndarray, terms: int) -> None:
-        """A path, not before the last one in order; it stands for so many terms."""
-
-        n = min(len(sources), self.depth)
-        differ = np.flatnonzero((self.sources[:n] != sources[:n]) | (self.shares[:n] != shares[:n]))
-        common = int(differ[0]) if len(differ) else n
-        self.close(common)
-        while len(self.sources) < len(sources):
-            self.sources, self.shares, self.zeros, self.terms = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sources, self.shares, self.zeros, self.terms))
-        end = self.depth = len(sources)
-        self.sources[common:end], self.shares[common:end], self.zeros[common:end] = sources[common:], shares[common:], zeros[common:]
-        self.terms[common:end] = 0
-        if end:
-            self.terms[end - 1] += terms
-
-    def close(self, depth: int) -> None:
-        """Close all open nodes from ``depth`` on, the lowest first; a node's terms are its parent's too."""
-
-        while self.depth > depth:
-            k = self.depth = self.depth - 1
-            p, z, terms = self.shares[k], self.zeros[k], self.terms[k]
-            if k:
-                self.terms[k - 1] += terms
-                q, y = self.shares[:k], self.zeros[:k]
-                joint = _difference(p, q) - _difference(p, y) - _difference(z, q) + _difference(z, y)
-                self.sums.add(self.lang, self.sources[k], self.sources[:k].copy(), joint * terms)
+    sizes = np.diff(starts)
+    shared = np.zeros(len(sizes), np.int64)  # how many nodes each path shares with the one before
+    open_ = np.arange(1, len(sizes))
+    while len(open_):
+        depth = shared[open_]
+        open_ = open_[(depth < sizes[open_]) & (depth < sizes[open_ - 1])]
+        here, before = starts[open_] + shared[open_], starts[open_ - 1] + shared[open_]
+        open_ = open_[(sources[here] == sources[before]) & (shares[here] == shares[before])]
+        shared[open_] += 1
+    path = np.repeat(np.arange(len(sizes)), sizes - shared)
+    depth = np.arange(len(path)) - np.repeat(np.cumsum(sizes - shared) - sizes, sizes - shared)
+    # The next path that shares no more than a node's depth ends the node: a node of the stack of open ones.
+    order = np.lexsort((path, depth))
+    end = np.full(len(path), len(sizes))
+    for d in range(int(depth.max(initial=-1)) + 1):
+        nodes = order[np.searchsorted(depth[order], d) : np.searchsorted(depth[order], d, "right")]
+        leaves = np.append(np.flatnonzero(shared <= d), len(sizes))
+        end[nodes] = leaves[np.searchsorted(leaves, path[nodes], "right")]
+    total = np.concatenate([[0], np.cumsum(terms)])
+    return path, depth, total[end] - total[path]
+
+
+def tree_corrections(starts: np.ndarray, sources: np.ndarray, shares: np.ndarray, zeros: np.ndarray, terms: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, value) of a tree's nodes with all their ancestors, added up by pair, a bounded number of combinations at a time."""
+
+    path, depth, times = pattern_tree(starts, sources, shares, terms)
+    node = starts[path] + depth
+    pieces = np.searchsorted(np.cumsum(depth), np.arange(COMBINATIONS, int(depth.sum()) + COMBINATIONS, COMBINATIONS)) + 1
+    for a, b in zip(np.concatenate([[0], pieces[:-1]]), pieces):
+        up = depth[a:b]
+        k = np.repeat(node[a:b], up)
+        j = np.repeat(starts[path[a:b]] - np.cumsum(up) + up, up) + np.arange(len(k))
+        p, z, q, y = shares[k], zeros[k], shares[j], zeros[j]
+        joint = (_difference(p, q) - _difference(p, y) - _difference(z, q) + _difference(z, y)) * np.repeat(times[a:b], up)
+        one, two = np.minimum(sources[k], sources[j]), np.maximum(sources[k], sources[j])
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(order) else order
+        if len(first):
+            yield one[first], two[first], np.add.reduceat(joint[order], first)
 
 
 def joint_corrections(paths: DataFrame) -> DataFrame:
     """(lang, i, j, value): joint corrections of sources i and j of a language, from rows (lang, path, terms).
 
-    Paths are dealt by ranges and sorted, so terms that begin alike meet in one task's tree; a path
-    that a border cuts off is only added up in two trees.
+    Paths are dealt by ranges and sorted, so terms that begin alike meet in one batch's tree; a path
+    that a border cuts off is only added up in two trees. Ranges go by a path's first RANGED nodes,
+    which is all that the driver sees of a sample.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer() -> pa.RecordBatch:
-            lang, one, two, value = sums.take()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([names[k] for k in lang], pa.string()), pa.array(np.minimum(one, two), pa.int64()), pa.array(np.maximum(one, two), pa.int64()), pa.array(value, pa.int64())],
-                names=["lang", "i", "j", "value"],
-            )
-
-        sums, tree, names = _PairSums(), None, []
         for batch in batches:
-            langs, lists, terms = batch.columns
-            offsets = lists.offsets.to_numpy()
+            langs, terms = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+            lists = batch.column(1)
+            starts = lists.offsets.to_numpy().astype(np.int64)
             fields = [lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            for k, (lang, n) in enumerate(zip(langs.to_pylist(), terms.to_pylist())):
-                if tree is None or names[-1] != lang:
-                    if tree:
-                        tree.close(0)
-                    names.append(lang)
-                    tree = PatternTree(sums, len(names) - 1)
-                tree.insert(*(f[offsets[k] : offsets[k + 1]] for f in fields), n)
-                if sums.full():
-                    yield answer()
-        if tree:
-            tree.close(0)
-        yield answer()
+            cuts = [0, *(k for k in range(1, len(langs)) if langs[k] != langs[k - 1]), len(langs)]
+            for a, b in zip(cuts, cuts[1:]):
+                for one, two, value in tree_corrections(starts[a : b + 1], *fields, terms[a:b]):
+                    arrays = [pa.repeat(langs[a], len(one)), *(pa.array(c, pa.int64()) for c in (one, two, value))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["lang", "i", "j", "value"])
 
     ship_package(paths.sparkSession)
-    by_path = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    head = F.slice("path", 1, RANGED)
+    by_path = paths.repartitionByRange("lang", head["i"], head["p"]).sortWithinPartitions("lang", "path")
     return by_path.select("lang", "path", "terms").mapInArrow(run, "lang string, i bigint, j bigint, value bigint")
 
 

@@ -71,34 +71,42 @@ def test_empty_table(spark):
     assert divergence.divergence(spark.createDataFrame([], DOCS)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [divergence.SUMS, 5])
+@pytest.mark.parametrize("limit", [divergence.COMBINATIONS, 1, 7, 100])
 def test_tree_sums_each_pair_of_a_row(monkeypatch, limit):
-    monkeypatch.setattr(divergence, "SUMS", limit)
+    monkeypatch.setattr(divergence, "COMBINATIONS", limit)
     r = random.Random(limit)
     zeros = [r.randint(1, 50) for _ in range(9)]
-    rows = [sorted((s, r.randint(60, 64), zeros[s]) for s in r.sample(range(9), r.randint(1, 9))) for _ in range(300)]
+    rows = [sorted((s, r.randint(60, 62), zeros[s]) for s in r.sample(range(9), r.choice((1, 1, 2, 3, 9)))) for _ in range(400)]
     expected = Counter()
     f = lambda p, q: (p - q) ** 2 // (p + q)
     for row in rows:
         for k, (s, p, z) in enumerate(row):
             for t, q, y in row[:k]:
                 expected[t, s] += f(p, q) - f(p, y) - f(z, q) + f(z, y)
-    sums, got = divergence._PairSums(), Counter()
-    tree = divergence.PatternTree(sums)
-
-    def take():
-        for lang, one, other, value in zip(*(c.tolist() for c in sums.take())):
-            got[min(one, other), max(one, other)] += value
-
-    computed = 0
-    for path, terms in sorted(Counter(map(tuple, rows)).items()):
-        tree.insert(*(np.array(c, np.int64) for c in zip(*path)), terms)
-        computed += 1
-        if sums.full():
-            take()
-    tree.close(0)
-    take()
-    assert computed < len(rows) and +got == +expected and -got == -expected
+    paths = sorted(Counter(map(tuple, rows)).items())
+    starts = np.concatenate([[0], np.cumsum([len(p) for p, _ in paths])])
+    sources, shares, zero = (np.array([n[k] for p, _ in paths for n in p], np.int64) for k in range(3))
+    terms = np.array([n for _, n in paths], np.int64)
+    got = Counter()
+    for one, two, value in divergence.tree_corrections(starts, sources, shares, zero, terms):
+        for i, j, v in zip(one.tolist(), two.tolist(), value.tolist()):
+            got[i, j] += v
+    assert +got == +expected and -got == -expected
+
+    prefixes = Counter()
+    for p, n in paths:
+        for d in range(len(p)):
+            prefixes[p[: d + 1]] += n
+    path, depth, times = divergence.pattern_tree(starts, sources, shares, terms)
+    nodes = [(paths[k][0][: d + 1], n) for k, d, n in zip(path, depth, times)]
+    assert sorted(nodes) == sorted(prefixes.items())
+
+
+def test_no_paths_no_corrections():
+    none = np.zeros(0, np.int64)
+    assert list(divergence.tree_corrections(np.zeros(1, np.int64), none, none, none, none)) == []
+    one = np.array([3], np.int64)
+    assert list(divergence.tree_corrections(np.array([0, 1]), one, one, one, one)) == []
 
 
 def test_shares_are_exact_for_large_counts(spark):
