@@ -18,7 +18,8 @@ DEMO_KEY = "glyphloom-demo-key"
 """For tests and the registered query; a deployment passes its own secret."""
 
 # The shapes of candidates, in order of trial.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++\.(?!\.)[A-Za-z0-9.-]*[A-Za-z0-9-]"
+"""The domain is one run of characters, for a repeated group would take the matcher one call deeper with every label; two dots end it later."""
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|CR|HR|LI|LV",
     22: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
@@ -69,7 +70,9 @@ ANY = any_of(list(FORMS))  # the one capturing group is the day date's mark
 SOME = "[0-9@]"
 """Every shape holds one of these; a scan for them alone is many times faster than for the shapes."""
 FIRST_DAY, DAYS, DAY_PARTS = "1800-01-01", 146_097, (189, 773)
-"""Dates from this day on for a whole calendar cycle of 400 years, whose days are a product of two numbers."""
+"""The first day of a calendar cycle of 400 years, and its days, which are a product of two numbers."""
+HALF_CYCLE, LOWEST, HIGHEST = 73_048, -5, 20
+"""Days of the first 200 years; the cycles of which only the years 0 to 199 and 9800 to 9999 have four digits."""
 
 
 def feistel(left: Column, right: Column, a: Column, b: Column, tweak: Column, key: str) -> Column:
@@ -219,13 +222,17 @@ def _hex(value: Column, key: str) -> Column:
 
 
 def _moved_day(day: Column, key: str) -> Column:
-    """Another day of the 400-year cycle; null outside it."""
+    """Another day of the date's own cycle of 400 years. The first and the last half cycle of four-digit years are one."""
 
     a, b = DAY_PARTS
-    at = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+    start = F.lit(FIRST_DAY).cast("date")
+    days = F.datediff(day, start)
+    cycle, at = F.floor(days / DAYS), F.pmod(days, F.lit(DAYS))
     out = feistel(F.floor(at / b), at % b, F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit("date"), key)
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), (out["l"] * b + out["r"]).cast("int"))
-    return F.when(at.between(0, DAYS - 1), moved)
+    new = out["l"] * b + out["r"]
+    edge = F.when(new < HALF_CYCLE, F.lit(HIGHEST)).otherwise(F.lit(LOWEST))
+    own = F.when(cycle.isin(LOWEST, HIGHEST), edge).otherwise(cycle)
+    return F.date_add(start, (own * DAYS + new).cast("int"))
 
 
 def _iso_date(value: Column, key: str) -> Column:
@@ -324,6 +331,12 @@ def replaced(value: Column, key: str) -> Column:
     of digit groups and the rest of a failed IBAN are searched for the values in them first.
     """
 
+    def mail(v: Column) -> Column:
+        head = F.substring_index(v, "..", 1)
+        parted = v.contains("@") & v.contains("..") & head.contains("@")
+        rest = v.substr(F.length(head) + 1, F.length(v))
+        return F.when(parted, F.concat(F.array(_piece(head, candidate=True)), _cut(rest, list(FORMS)))).otherwise(F.array(_piece(v, candidate=True)))
+
     def iban(v: Column) -> Column:
         failed = lambda: F.concat(F.array(_piece(F.substring(v, 1, 4))), _cut(v.substr(F.lit(5), F.length(v)), IN_IBAN))
         return F.when(_shaped(v, "iban"), _made(v, _iban(v, key), failed)).otherwise(F.array(_piece(v, candidate=True)))
@@ -337,7 +350,7 @@ def replaced(value: Column, key: str) -> Column:
         earlier = v.rlike(f"^(?:{any_of(first)})$")
         return F.when(_shaped(v, "card") & ~earlier, _cards(v, key)).otherwise(F.array(_piece(v, candidate=True)))
 
-    return _each(_each(_each(_cut(value, list(FORMS)), iban), card), other)
+    return _each(_each(_each(_each(_cut(value, list(FORMS)), mail), iban), card), other)
 
 
 def pseudonymised(docs: DataFrame, key: str = DEMO_KEY, text: str = "text", found: str | None = None) -> DataFrame:

@@ -12,11 +12,11 @@ from glyphloom.llm.common import row_keyed, ship_package
 from glyphloom.session import cut_lineage
 
 BLOCK_ROWS = 16_384
-"""Rows of an index block, about: a block of 64 ten-bit attributes takes 1.3 MB."""
+"""Rows of an index block, about: a block of 64 ten-bit attributes takes 1.3 MB of slices and 8 MB of attributes."""
 TILE_QUERIES = 512
 """Queries that meet a block in one task, about."""
-LARGEST = 1 << 24
-"""Attributes are below this in size, so that inner products stay exact in 64 bits."""
+LARGEST_SCORE = 1 << 63
+"""Inner products must stay below this in size, for scores are longs."""
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -26,10 +26,10 @@ def quantised(vector: Column, scale: int) -> Column:
 
 
 def usable(vector: Column) -> Column:
-    """Neither null nor empty, and without null or non-finite components."""
+    """Not null and without null or non-finite components. An empty vector scores 0 with all others."""
 
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vector.isNotNull() & (F.size(vector) > 0) & ~odd
+    return vector.isNotNull() & ~odd
 
 
 def build_index(rows: DataFrame, low: int, bits: int, width: int, blocks: int) -> DataFrame:
@@ -42,14 +42,14 @@ def build_index(rows: DataFrame, low: int, bits: int, width: int, blocks: int) -
     ship_package(rows.sparkSession)
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["id", "row_key"], na_position="last")
+        part = part.sort_values(["no_id", "id", "row_key"])
         values = np.zeros((len(part), width), np.int64)
         for at, v in enumerate(part["v"]):
             values[at, : len(v)] = v
-        return pd.DataFrame([(part["block"].iloc[0], part["row_key"].tolist(), slices_of(values - low, bits).tobytes(), values.astype("<i4").tobytes())], columns=["block", "row_keys", "slices", "attributes"])
+        return pd.DataFrame([(part["block"].iloc[0], part["row_key"].tolist(), slices_of(values - low, bits).tobytes(), values.astype("<i8").tobytes())], columns=["block", "row_keys", "slices", "attributes"])
 
     return (
-        rows.select((F.pmod(F.xxhash64("row_key"), F.lit(blocks))).cast("int").alias("block"), "row_key", F.col("id").cast("double").alias("id"), "v")
+        rows.select((F.pmod(F.xxhash64("row_key"), F.lit(blocks))).cast("int").alias("block"), "row_key", F.col("id").isNull().alias("no_id"), F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), "v")
         .groupBy("block").applyInPandas(build, "block int, row_keys array<bigint>, slices binary, attributes binary")
     )
 
@@ -132,9 +132,9 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
 
     rows = row_keyed(vectors.filter(usable(F.col(vector))).select(F.col(key).alias("id"), quantised(F.col(vector), scale).alias("v")))
     shape = rows.agg(F.count("*"), F.min(F.array_min("v")), F.max(F.array_max("v")), F.max(F.size("v"))).first()
-    n, low, high, width = shape[0] or 0, min(shape[1] or 0, 0), max(shape[2] or 0, 0), shape[3] or 1
-    if max(-low, high) >= LARGEST:
-        raise ValueError(f"attributes from {low} to {high}: too large for exact 64-bit inner products")
+    n, low, high, width = shape[0] or 0, min(shape[1] or 0, 0), max(shape[2] or 0, 0), max(shape[3] or 0, 1)
+    if max(-low, high) ** 2 * width >= LARGEST_SCORE:
+        raise ValueError(f"attributes from {low} to {high}: their inner products may not fit a long")
     bits = max(1, (high - low).bit_length())
     is_query = F.col("id") % query_every == 0
     n_queries = rows.filter(is_query).count()
@@ -151,12 +151,12 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
         if len(block) and len(queries):
             keys = np.asarray(block["row_keys"].iloc[0])
             slices = np.frombuffer(block["slices"].iloc[0], "<u8").reshape(width, bits, -1)
-            attributes = np.frombuffer(block["attributes"].iloc[0], "<i4").reshape(-1, width)
+            attributes = np.frombuffer(block["attributes"].iloc[0], "<i8").reshape(-1, width)
             for query, v in zip(queries["query"], queries["v"]):
                 weights = np.zeros(width, np.int64)
                 weights[: len(v)] = v
                 best = largest_rows(sum_slices(slices, weights), len(keys), k + 1)
-                scores = attributes[best].astype(np.int64) @ weights
+                scores = attributes[best] @ weights
                 out += [(query, r, s) for r, s in zip(keys[best].tolist(), scores.tolist()) if r != query]
         return pd.DataFrame(out, columns=["query", "row_key", "score"]).astype("int64")
 
@@ -172,8 +172,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
 
 ORACLE = """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, a.r, b.vec_id, b.r AS other, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, a.r, b.vec_id, b.r AS other, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score
   FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
