@@ -34,10 +34,10 @@ def visual_sql(e: str, p: str) -> str:
 
 
 CHAR_GROUP_SQL = (
-    "CASE WHEN regexp_matches({0}, '^[0-9]$') THEN 'digits' WHEN regexp_matches({0}, '^[A-Za-z]$') THEN 'letters' ELSE 'punctuation' END"
+    "CASE WHEN regexp_matches({0}, '^[0-9]$') THEN 'digits' WHEN regexp_matches({0}, '^\\p{{L}}+$') THEN 'letters' ELSE 'punctuation' END"
 )
 CASE_GROUP_SQL = (
-    "CASE WHEN regexp_matches({0}, '^[0-9]$') THEN 'digit' WHEN regexp_matches({0}, '^[A-Z]$') THEN 'upper' ELSE 'lower' END"
+    "CASE WHEN regexp_matches({0}, '^[0-9]$') THEN 'digit' WHEN regexp_matches({0}, '\\p{{Lu}}') THEN 'upper' ELSE 'lower' END"
 )
 
 
@@ -287,7 +287,7 @@ def mixed_loss_weights(spark: SparkSession, root: str) -> DataFrame:
     "a10_character_loss_weights",
     with_ctes(
         ["preds"],
-        """SELECT label, CASE WHEN regexp_matches(label, '^[A-Za-z0-9]$') THEN 1.0 ELSE 1.5 END::DOUBLE
+        """SELECT label, CASE WHEN regexp_matches(label, '^[\\p{L}\\p{N}]$') THEN 1.0 ELSE 1.5 END::DOUBLE
         * CASE WHEN contains('s.i', label) THEN 3.0 ELSE 1.0 END::DOUBLE AS weight FROM preds GROUP BY label""",
     ),
 )

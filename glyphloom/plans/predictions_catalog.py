@@ -434,23 +434,26 @@ def _possible(pair: str, side: str) -> str:
     )
 
 
-_CASE_SQL = f""", n AS (SELECT *, count(*) OVER w AS cnt, max(height) OVER w AS tall, min(height) OVER w AS low,
-      row_number() OVER (PARTITION BY page_id, row ORDER BY x, idx) AS k FROM preds WINDOW w AS (PARTITION BY page_id, row)),
-    two AS (SELECT a.page_id, a.row, a.idx AS i1, b.idx AS i2, greatest(a.width, a.height) AS s1, greatest(b.width, b.height) AS s2,
-      list_filter([{', '.join(f"CASE WHEN {_possible(p, 'a.')} AND {_possible(p, 'b.')} THEN '{p}' END" for p in _PAIRS)}], lambda z: z IS NOT NULL) AS found
-      FROM n a JOIN n b ON a.page_id = b.page_id AND a.row = b.row AND a.k = 1 AND b.k = 2 AND a.cnt = 2),
-    hit AS (SELECT i1 AS idx, page_id, substr(found[1], 1, 1) AS new FROM two WHERE len(found) = 1 AND s1 >= s2 AND s1 >= s2 * 1.10
-      UNION ALL SELECT i2, page_id, substr(found[1], 2, 1) FROM two WHERE len(found) = 1 AND s1 >= s2 AND s1 >= s2 * 1.10),
-    o AS (SELECT *, translate(label, 'CFKMNOPSUVWXYZcfkmnopsuvwxyz', 'cfkmnopsuvwxyzCFKMNOPSUVWXYZ') AS other FROM n),
+# Only rows of two glyphs look at their neighbour, so only those are windowed by place.
+_CASE_SQL = f""", rw AS MATERIALIZED (SELECT page_id, row, count(*) AS cnt, max(height) AS tall, min(height) AS low FROM preds GROUP BY 1, 2),
+    n AS MATERIALIZED (SELECT p.*, cnt, tall, low FROM preds p JOIN rw USING (page_id, row)),
+    two AS (SELECT * FROM (SELECT page_id, row, idx AS i1, label, confidence, alt2, conf2, alt3, conf3, greatest(width, height) AS s1,
+      {', '.join(f'lead({c}) OVER v AS {n}' for c, n in (('idx', 'i2'), ('label', 'blabel'), ('confidence', 'bconfidence'), ('alt2', 'balt2'), ('conf2', 'bconf2'), ('alt3', 'balt3'), ('conf3', 'bconf3'), ('greatest(width, height)', 's2')))}
+      FROM n WHERE cnt = 2 WINDOW v AS (PARTITION BY page_id, row ORDER BY x, idx)) WHERE i2 IS NOT NULL),
+    paired AS (SELECT page_id, i1, i2, list_filter([{', '.join(f"CASE WHEN {_possible(p, '')} AND {_possible(p, 'b')} THEN '{p}' END" for p in _PAIRS)}], lambda z: z IS NOT NULL) AS found
+      FROM two WHERE s1 >= s2 AND s1 >= s2 * 1.10),
+    hit AS (SELECT i1 AS idx, page_id, substr(found[1], 1, 1) AS new FROM paired WHERE len(found) = 1
+      UNION ALL SELECT i2, page_id, substr(found[1], 2, 1) FROM paired WHERE len(found) = 1),
     h AS (SELECT *, CASE WHEN cnt >= 3 AND tall >= low * 1.28 AND other <> label
       AND greatest(CASE WHEN alt2 = other THEN conf2 ELSE 0 END, CASE WHEN alt3 = other THEN conf3 ELSE 0 END) >= 0.12
-      AND ((regexp_matches(label, '[A-Z]') AND height / tall <= 0.76) OR (regexp_matches(label, '[a-z]') AND height / tall >= 0.92)) THEN other END AS new FROM o)
+      AND ((regexp_matches(label, '[A-Z]') AND height / tall <= 0.76) OR (regexp_matches(label, '[a-z]') AND height / tall >= 0.92)) THEN other END AS new
+      FROM (SELECT *, translate(label, 'CFKMNOPSUVWXYZcfkmnopsuvwxyz', 'cfkmnopsuvwxyzCFKMNOPSUVWXYZ') AS other FROM n))
     SELECT h.page_id, h.idx, coalesce(hit.new, h.new, label) AS shown,
     CASE WHEN coalesce(hit.new, h.new) IS NOT NULL THEN greatest(confidence, 0.84) ELSE confidence END::DOUBLE AS confidence
     FROM h LEFT JOIN hit ON hit.page_id = h.page_id AND hit.idx = h.idx"""
 
 
-@query("v07_case_by_geometry", with_ctes(["preds"], _CASE_SQL).replace("\n, n AS", ",\nn AS"))
+@query("v07_case_by_geometry", with_ctes(["preds"], _CASE_SQL).replace("\n, rw AS", ",\nrw AS"))
 def case_by_geometry(spark: SparkSession, root: str) -> DataFrame:
     return twins.resolve_twins(T.predictions(spark, root)).select(*KEY, "shown", "confidence")
 

@@ -82,15 +82,14 @@ def score_vectors(spark: SparkSession, root: str, size: int) -> DataFrame:
 
 
 def words(spark: SparkSession, root: str) -> DataFrame:
-    """(conv_id, turn, page_id, row, word): every word of every turn."""
+    """(conv_id, turn, page_id, row, word, places): every word of every turn; ``places`` is more than any word of the turn has characters."""
 
+    split = F.split(F.translate("text", "\n", " "), " ")
+    places = F.greatest(F.lit(100), F.array_max(F.transform(split, lambda w: F.length(w))) + 1)
     return (
         spread(spark, root, "conversations")
-        .select(
-            "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("page_id"),
-            F.posexplode(F.split(F.translate("text", "\n", " "), " ")).alias("_r", "word"),
-        )
-        .select("conv_id", "turn", "page_id", (F.col("_r") + 1).alias("row"), "word")
+        .select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("page_id"), places.alias("places"), F.posexplode(split).alias("_r", "word"))
+        .select("conv_id", "turn", "page_id", (F.col("_r") + 1).alias("row"), "word", "places")
         .filter("word <> ''")
     )
 
@@ -100,15 +99,15 @@ def _guess(label: Column, confidence: Column) -> Column:
 
 
 def predictions(spark: SparkSession, root: str, reading: str = "plain") -> DataFrame:
-    """One prediction per printable ASCII character; a page is a turn, a row is a word.
+    """One prediction per character of a word, whatever its script; a page is a turn, a row is a word.
 
     As ``twins`` each letter is read as a confusable glyph, as ``marks`` two frequent
     letters are read as loose dots, high and low.
     """
 
     chars = words(spark, root).select(
-        "conv_id", "turn", "page_id", "row", F.posexplode(F.split("word", "")).alias("_p", "ch")
-    ).filter("ch <> '' and ascii(ch) between 33 and 126").withColumn("pos", F.col("_p") + 1)
+        "conv_id", "turn", "page_id", "row", "places", F.posexplode(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))).alias("_p", "ch")
+    ).withColumn("pos", F.col("_p") + 1)
     code = F.ascii("ch")
     label = F.translate("ch", *READINGS[reading])
     stem = F.col("label").isin("l", "I", "1", "|", "!")
@@ -116,7 +115,7 @@ def predictions(spark: SparkSession, root: str, reading: str = "plain") -> DataF
     tall = F.col("label").rlike("^[A-Z0-9]$")
     out = chars.withColumn("label", label).withColumns(
         {
-            "idx": F.col("row") * 100 + F.col("pos"),
+            "idx": F.col("row") * F.col("places") + F.col("pos"),
             "x": F.col("pos") * 12.0,
             "height": F.when(stem, 56.0).when(dot, 10.0).when(tall, 60.0).otherwise(36.0),
             "width": F.when(stem, 8.0 + code % 12).when(dot, 10.0).otherwise(8.0 + code % 24),
@@ -491,16 +490,16 @@ _sql(
 )
 _sql(
     "words",
-    """SELECT conv_id, turn, conv_id || '-' || turn AS page_id, r AS row, word FROM (
-    SELECT conv_id, turn, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word,
-    generate_subscripts(string_split(replace(text, chr(10), ' '), ' '), 1) AS r FROM conversations) WHERE word <> ''""",
+    """SELECT conv_id, turn, conv_id || '-' || turn AS page_id, r AS row, word, places FROM (
+    SELECT conv_id, turn, greatest(100, list_max(list_transform(ws, lambda z: length(z))) + 1) AS places, unnest(ws) AS word, generate_subscripts(ws, 1) AS r
+    FROM (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM conversations)) WHERE word <> ''""",
 )
 
 
 def _predictions_sql(reading: str) -> str:
     source, glyphs = (text.replace("'", "''") for text in READINGS[reading])
     label = f"translate(ch, '{source}', '{glyphs}')"
-    return f"""SELECT page_id, conv_id, turn, row, pos, CAST(row * 100 + pos AS INTEGER) AS idx, label, label AS shown,
+    return f"""SELECT page_id, conv_id, turn, row, pos, CAST(row * places + pos AS INTEGER) AS idx, label, label AS shown,
     ((conv_id * 31 + turn * 7 + row * 17 + pos * 13) % 1000) / 1000.0::DOUBLE AS confidence,
     pos * 12.0::DOUBLE AS x,
     CASE WHEN stem THEN 100.0 WHEN label IN ('i', '''') THEN 70.0 WHEN label = '.' THEN 158.0
@@ -513,8 +512,8 @@ def _predictions_sql(reading: str) -> str:
       CASE WHEN stem THEN 8.0 + ascii(ch) % 12 WHEN dot THEN 10.0 ELSE 8.0 + ascii(ch) % 24 END AS width FROM (
       SELECT *, label IN ('l', 'I', '1', '|', '!') AS stem, label IN ('i', '.', '''', ':') AS dot FROM (
         SELECT *, {label} AS label FROM (
-          SELECT conv_id, turn, page_id, row, unnest(string_split(word, '')) AS ch,
-          generate_subscripts(string_split(word, ''), 1) AS pos FROM words) WHERE ascii(ch) BETWEEN 33 AND 126)))"""
+          SELECT conv_id, turn, page_id, row, places, unnest(regexp_extract_all(word, '(?s).')) AS ch,
+          generate_subscripts(regexp_extract_all(word, '(?s).'), 1) AS pos FROM words))))"""
 
 
 _sql("preds", _predictions_sql("plain"), "words")
