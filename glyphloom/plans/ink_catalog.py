@@ -232,7 +232,42 @@ def overlap_trim(spark: SparkSession, root: str) -> DataFrame:
     return Y.trim_overlaps(wider, T.scattered_ink(spark, root)).select("page_id", "box_id", "x0", "y0", "x1", "y1")
 
 
-@query("v05_touching_split")
+def _touching_level(k: int) -> str:
+    """One round on stretches of banner columns: a stretch keeps its ink from the top row down, so column heights say it all."""
+
+    region = "PARTITION BY page_id, id"
+    return f""", col{k} AS (SELECT * FROM (SELECT r.page_id, id, a, b, b - a AS w, c.x - a AS x, n, max(n) OVER ({region}) AS h,
+          sum(n) OVER ({region} ORDER BY c.x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) / 9.0::DOUBLE AS s
+          FROM reg{k} r JOIN (SELECT page_id AS page, x, n FROM banner_columns) c ON c.page = r.page_id AND c.x >= a AND c.x < b) WHERE w >= 48 AND w / greatest(h, 1)::DOUBLE >= 0.85),
+        low{k} AS (SELECT page_id, id, x, x - row_number() OVER ({region} ORDER BY x) AS island FROM (SELECT *, max(s) OVER ({region}) AS peak FROM col{k})
+          WHERE x >= floor(w * 0.30::DOUBLE) AND x < floor(w * 0.72::DOUBLE) AND s <= greatest(1.0, peak * 0.08::DOUBLE)),
+        seam{k} AS (SELECT page_id, id, CAST(round_even((lo + hi) / 2.0::DOUBLE, 0) AS INTEGER) AS cut FROM (SELECT page_id, id, min(x) AS lo, max(x) AS hi FROM low{k} GROUP BY page_id, id, island)
+          QUALIFY row_number() OVER ({region} ORDER BY hi - lo DESC, lo) = 1 AND hi - lo >= 4),
+        val{k} AS (SELECT c.page_id, c.id, min(s) AS valley, arg_min(x, (s, x)) AS cut FROM col{k} c ANTI JOIN seam{k} USING (page_id, id)
+          WHERE w >= 110 AND w / h::DOUBLE >= 1.15 AND x >= floor(w * 0.28::DOUBLE) AND x < floor(w * 0.74::DOUBLE) GROUP BY 1, 2),
+        brd{k} AS (SELECT page_id, id, any_value(cut) AS cut FROM (SELECT c.*, valley, cut FROM col{k} c JOIN val{k} USING (page_id, id)) GROUP BY 1, 2
+          HAVING least(coalesce(max(s) FILTER (x >= greatest(0, cut - 28) AND x < greatest(0, cut - 4)), 0), coalesce(max(s) FILTER (x >= cut + 5 AND x < cut + 29), 0)) > 0
+          AND any_value(valley) <= greatest(2.5, 0.34::DOUBLE * least(max(s) FILTER (x >= greatest(0, cut - 28) AND x < greatest(0, cut - 4)), max(s) FILTER (x >= cut + 5 AND x < cut + 29)))
+          AND sum(n) FILTER (x >= cut - 2 AND x < cut + 3) <= greatest(10, floor(any_value(h) * 0.22::DOUBLE))
+          AND bool_and(cut >= 24 OR cut >= 8) AND max(n) FILTER (x < cut) >= CASE WHEN any_value(cut) >= 24 THEN 0 ELSE any_value(h) * 0.45::DOUBLE END
+          AND any_value(w - cut) >= 8 AND max(n) FILTER (x >= cut) >= CASE WHEN any_value(w - cut) >= 24 THEN 0 ELSE any_value(h) * 0.45::DOUBLE END),
+        cut{k} AS (SELECT c.page_id, c.id, any_value(a) AS a, any_value(b) AS b, any_value(cut) AS cut FROM col{k} c JOIN (SELECT * FROM seam{k} UNION ALL SELECT * FROM brd{k}) USING (page_id, id)
+          GROUP BY 1, 2 HAVING sum(n) FILTER (x < cut) >= 20 AND sum(n) FILTER (x >= cut) >= 20),
+        fin{k} AS (SELECT * FROM reg{k} ANTI JOIN cut{k} USING (page_id, id)),
+        reg{k + 1} AS (SELECT page_id, id || '/0' AS id, a, a + cut AS b FROM cut{k} UNION ALL SELECT page_id, id || '/1', a + cut, b FROM cut{k})"""
+
+
+@query(
+    "v05_touching_split",
+    with_ctes(
+        ["banner_columns"],
+        """, reg0 AS (SELECT page_id, CAST(page_id AS VARCHAR) AS id, min(x) AS a, max(x) + 1 AS b FROM banner_columns GROUP BY 1)"""
+        + "".join(_touching_level(k) for k in range(3))
+        + """, every AS (SELECT * FROM fin0 UNION ALL SELECT * FROM fin1 UNION ALL SELECT * FROM fin2 UNION ALL SELECT * FROM reg3)
+        SELECT e.id AS region_id, CAST(a AS INTEGER) AS x0, 4 AS y0, CAST(b - a AS INTEGER) AS width, CAST(max(n) AS INTEGER) AS height
+        FROM every e JOIN banner_columns c ON c.page_id = e.page_id AND c.x >= a AND c.x < b GROUP BY e.id, a, b""",
+    ).replace("\n, reg0 AS", ",\nreg0 AS"),
+)
 def touching_split(spark: SparkSession, root: str) -> DataFrame:
     regions = banner_boxes(spark, root).select(
         F.col("page_id").cast("string").alias("region_id"), "x0", "y0",
