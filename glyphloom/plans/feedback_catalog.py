@@ -12,7 +12,7 @@ from glyphloom.operators import quality
 from glyphloom.plans import standins as T
 from glyphloom.plans.registry import query, rounded
 from glyphloom.plans.standins import with_ctes
-from glyphloom.session import cut_lineage
+from glyphloom.session import cut_lineage, scratch_path
 from glyphloom.sources import feedback_log, folders, manifests, strokes
 
 VOCABULARIES = {"character": L.CHARACTER_LABELS, "folded_alnum": L.FOLDED_LABELS, "mixedcase": L.MIXED_LABELS}
@@ -610,6 +610,22 @@ def stroke_records(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@query(
+    "s08_stroke_file_scan",
+    f"""SELECT label, 'trn_' || k AS session, CAST(CASE WHEN k % 5 = 0 THEN 1 ELSE 2 END AS INTEGER) AS strokes,
+    CAST(CASE WHEN k % 5 = 0 THEN 2 ELSE 3 END AS INTEGER) AS points, CAST(k % 50 + 11 AS INTEGER) AS second_x FROM ({_PENS})""",
+)
+def stroke_file_scan(spark: SparkSession, root: str) -> DataFrame:
+    """The same records in a few large files, read in as many splits as the text source makes."""
+
+    folder = scratch_path(spark)
+    stroke_files(spark, root).select("value").repartition(4).write.text(folder)
+    return strokes.parse_stroke_lines(strokes.read_stroke_lines(spark, folder)).select(
+        "label", "session", F.size("strokes").alias("strokes"), F.size(F.flatten("strokes")).alias("points"),
+        F.get(F.get("strokes", F.lit(0)), F.lit(1))["x"].alias("second_x"),
+    )
+
+
 @query(
     "s09_stroke_normalization",
     f"""WITH p AS (SELECT *, k % 50 + 1 AS dx, CASE WHEN k % 5 = 0 THEN k % 70 + 1 ELSE greatest(k % 70 + 1, k % 90) END AS dy FROM ({_PENS}))

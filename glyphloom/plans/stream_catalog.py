@@ -72,4 +72,4 @@ def upload_stream(spark: SparkSession, root: str) -> DataFrame:
     content.unionByName(content).repartition(6).write.parquet(f"{base}/uploads")
     uploads = spark.readStream.schema("content binary").option("maxFilesPerTrigger", 2).parquet(f"{base}/uploads")
     S.store_uploads(uploads, f"{base}/store", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/store").groupBy("image_id").agg(F.count("*").alias("copies"))
+    return S.stored_uploads(spark, f"{base}/store").groupBy("image_id").agg(F.count("*").alias("copies"))

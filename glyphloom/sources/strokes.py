@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphloom.functions.ranking import first_n
+from glyphloom.session import cut_lineage
 from glyphloom.sources.manifests import MANIFEST_ASCII
 
 # --- fixed values -------------------------------------------------------------------
@@ -14,37 +15,79 @@ CANVAS, PADDING = 96, 10
 POINT = "struct<x:int,y:int>"
 
 
-def read_stroke_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value): one row per file, since the line order carries the records."""
+BLOCK_LINES = 100_000
+"""Lines of a block where a file comes as one value."""
 
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+
+def read_stroke_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, line, text) of pen files, read by Spark's own text source in as many splits as it likes.
+
+    A split knows where in its file it begins, and rows of a split come in order; lines are counted
+    per split, and one small table of splits says how many lines of the file come before each.
+    Lines are written once with their numbers, which later steps read several times.
+    """
+
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    rows = cut_lineage(rows.select("path", "block", "_id", _line_text("raw").alias("text")))
+    blocks = rows.groupBy("path", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    before = F.coalesce(F.sum("_lines").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.withColumn("_before", before).drop("_lines")
+    return rows.join(offsets, ["path", "block"]).select("path", "block", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "text")
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(path, block, line, text) of whole files held as values (path, value)."""
+
+    lines = files.select("path", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line", "raw"))
+    return lines.select("path", F.floor(F.col("line") / BLOCK_LINES).alias("block"), F.col("line").cast("long").alias("line"), _line_text("raw").alias("text"))
+
+
+def _line_text(raw: str) -> Column:
+    return F.trim(F.regexp_replace(raw, r"\s+", " "))
+
+
+def _ahead(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the largest ``value`` of the file's earlier rows: inside a block by a window, over blocks by their own maxima."""
+
+    inside = W.partitionBy("path", "block").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    blocks = df.groupBy("path", "block").agg(F.max(value).alias("_most"))
+    carried = blocks.withColumn("_carried", F.max("_most").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
+    own = df.withColumn(name, F.max(value).over(inside))
+    return own.join(carried.select("path", "block", "_carried"), ["path", "block"]).withColumn(name, F.greatest(name, "_carried")).drop("_carried")
 
 
 def parse_strokes(files: DataFrame, labels: str = MANIFEST_ASCII) -> DataFrame:
+    """:func:`parse_stroke_lines` of whole files held as values (path, value)."""
+
+    return parse_stroke_lines(lines_of(files), labels)
+
+
+def parse_stroke_lines(lines: DataFrame, labels: str = MANIFEST_ASCII) -> DataFrame:
     """(path, line, label, session, strokes) of every usable record, in file order.
 
     A record is a ``WORD`` line, a ``NUMSTROKES n`` line and ``n`` more lines, of
     which those that are no ``POINTS`` are skipped. Lines a record takes up cannot
     open another one; this only matters where records overlap, so the ordered pass
-    runs over such stretches of ``WORD`` lines alone.
+    runs over such stretches of ``WORD`` lines alone. No step orders a whole file: a
+    line meets its neighbour by number, and what is open is carried from block to block.
     """
 
-    lines = files.select("path", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line", "raw")).select(
-        "path", "line", F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("text")
-    )
-    by_file = W.partitionBy("path").orderBy("line")
+    following = lines.filter(F.col("text").startswith("NUMSTROKES ")).select("path", (F.col("line") - 1).alias("line"), F.col("text").alias("_next"))
     words = (
-        lines.withColumn("_next", F.lead("text").over(by_file))
-        .filter(F.col("text").rlike(r"^WORD \S+ \S"))
+        lines.filter(F.col("text").rlike(r"^WORD \S+ \S"))
+        .join(following, ["path", "line"], "left")
         .withColumn("label", F.regexp_extract("text", r"^WORD (\S+) ", 1))
         .withColumn("session", F.regexp_extract("text", r"^WORD \S+ (.*)$", 1))
         .withColumn("n", F.regexp_extract("_next", r"^NUMSTROKES (\d+)$", 1).try_cast("int"))
         .withColumn("reach", F.col("line") + 1 + F.coalesce("n", F.lit(0)))
     )
-    ahead = F.max("reach").over(by_file.rowsBetween(W.unboundedPreceding, -1))
-    stretched = words.withColumn("_starts", F.coalesce(F.col("line") > ahead, F.lit(True)).cast("int")).withColumn(
-        "_stretch", F.sum("_starts").over(by_file.rowsBetween(W.unboundedPreceding, 0))
-    )
+    reached = _ahead(words, "reach", "_reached")
+    starts = reached.withColumn("_start", F.when(F.coalesce(F.col("line") > F.col("_reached"), F.lit(True)), F.col("line")))
+    # A stretch is named by the line that begins it: the row's own, or the last one before it.
+    stretched = _ahead(starts, "_start", "_last").withColumn("_stretch", F.coalesce("_start", "_last"))
     record = F.struct("line", "reach", "label", "session", "n")
     grouped = stretched.groupBy("path", "_stretch").agg(F.array_sort(F.collect_list(record)).alias("_w"))
     first = F.slice("_w", 1, 1)

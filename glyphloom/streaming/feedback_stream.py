@@ -22,8 +22,12 @@ from glyphloom.operators.feedback import (
     training_items,
     validate_corrections,
 )
+from glyphloom.session import cut_lineage
 from glyphloom.sources.feedback_log import correction_lines, parse_corrections, upload_ids
 
+INDEX_DIGITS = 1
+"""Hex digits of an id that name its bucket in the index of stored uploads."""
+
 
 def read_bodies(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Form bodies, one per line, as they arrive in a folder."""
@@ -92,12 +96,42 @@ def write_live_coverage(
 
 
 def store_uploads(uploads: DataFrame, store_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep the first copy of every content.
+    """Keep the first copy of every content, in ``store_path``/images, one folder for each batch.
 
-    ``uploads``: content. The state holds one 32-byte id per distinct image; copies
-    are dropped by it however many arrive.
+    ``uploads``: content. Which ids are stored is told by an index of ids in files, not by the
+    stream's state, which stays empty however many images there are; see :func:`keep_new_uploads`.
     """
 
-    unique = upload_ids(uploads).dropDuplicates(["image_id"]).select("image_id", "content")
-    writer = unique.writeStream.format("parquet").option("path", store_path).option("checkpointLocation", checkpoint)
+    writer = uploads.select("content").writeStream.foreachBatch(lambda batch, n: keep_new_uploads(batch, n, store_path))
+    writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def keep_new_uploads(batch: DataFrame, batch_id: int, store_path: str) -> None:
+    """Store a batch's contents whose ids no earlier batch has.
+
+    The index has one row for each id, in folders by batch and first hex digits of the id. A batch
+    reads only the buckets its own ids fall into, and of earlier batches only, so a batch that is
+    run again finds what it found before, writes the same folders anew and leaves one copy.
+    """
+
+    spark = batch.sparkSession
+    if batch_id == 0:  # so that there is an index to read, even if this batch is empty
+        batch.limit(0).select(F.lit("").alias("image_id")).write.mode("overwrite").parquet(f"{store_path}/ids/batch_no=-1/bucket=none")
+    ids = upload_ids(batch).dropDuplicates(["image_id"]).withColumn("bucket", F.substring("image_id", 1, INDEX_DIGITS))
+    fresh = cut_lineage(ids.select("bucket", "image_id", "content"))
+    buckets = [row["bucket"] for row in fresh.select("bucket").distinct().collect()]  # 16 ** INDEX_DIGITS at most
+    if not buckets:
+        return
+    if batch_id > 0:
+        schema = "image_id string, batch_no long, bucket string"
+        index = spark.read.schema(schema).parquet(f"{store_path}/ids").filter(F.col("bucket").isin(buckets) & (F.col("batch_no") < batch_id))
+        fresh = cut_lineage(fresh.join(index.select("bucket", "image_id"), ["bucket", "image_id"], "left_anti"))
+    fresh.select("image_id", "content").write.mode("overwrite").parquet(f"{store_path}/images/batch_no={batch_id}")
+    fresh.select("image_id", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store_path}/ids/batch_no={batch_id}")
+
+
+def stored_uploads(spark: SparkSession, store_path: str) -> DataFrame:
+    """(image_id, content) of all stored images."""
+
+    return spark.read.parquet(f"{store_path}/images").select("image_id", "content")

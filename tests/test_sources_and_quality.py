@@ -161,6 +161,51 @@ WORD E swallowed
     assert [(p.x, p.y) for p in n[0]] == [(10, 86), (48, 10), (86, 86)]
 
 
+def test_one_large_pen_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Records cross the borders of splits; some overlap, some are cut short; numbers and records are those of the whole file."""
+
+    import random
+
+    rng = random.Random(4)
+    lines = []
+    for k in range(3000):
+        lines.append(rng.choice((f"WORD {rng.choice('ABC')} s_{k}", f"WORD {rng.choice('xyz')} s{k} more", "// note", "")))
+        if rng.random() < 0.8:
+            n = rng.choice((0, 1, 2, 3, 40))
+            lines.append(f"  NUMSTROKES {n}")
+            for _ in range(rng.choice((n, n, max(0, n - 1)))):
+                lines.append(rng.choice(("  POINTS 2 # 1 2  3 4", "POINTS 3 # 5 6 7 8 9 10", "junk", "POINTS x")))
+    text = "\r\n".join(lines[:2000]) + "\r\n" + "\n".join(lines[2000:])
+    (tmp_path / "pen.txt").write_text(text)
+    (tmp_path / "small.txt").write_text("WORD A s\nNUMSTROKES 1\nPOINTS 1 # 3 4")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        read = strokes.read_stroke_lines(spark, str(tmp_path)).cache()
+        assert read.select("path", "block").distinct().count() > 20
+        numbered = {(r.path.rsplit("/", 1)[1], r.line): r.text for r in read.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    plain = {("pen.txt", k): " ".join(line.split()) for k, line in enumerate(lines)} | {("small.txt", k): t for k, t in enumerate(("WORD A s", "NUMSTROKES 1", "POINTS 1 # 3 4"))}
+    assert numbered == plain
+    got = sorted((r.path.rsplit("/", 1)[1], r.line, r.label, r.session, r.strokes) for r in strokes.parse_stroke_lines(read).collect())
+    whole = spark.createDataFrame([("pen.txt", text), ("small.txt", "WORD A s\nNUMSTROKES 1\nPOINTS 1 # 3 4")], "path string, value string")
+    monkeypatch.setattr(strokes, "BLOCK_LINES", 10**9)
+    wanted = sorted((r.path, r.line, r.label, r.session, r.strokes) for r in strokes.parse_strokes(whole).collect())
+    assert got == wanted and len(got) > 100
+    # One by one: a line inside an earlier record opens none.
+    at, opened = -1, []
+    for k, line in enumerate(" ".join(x.split()) for x in lines):
+        head = line.split(" ")
+        if k > at and head[0] == "WORD" and len(head) >= 3:
+            following = lines[k + 1].split() if k + 1 < len(lines) else []
+            n = int(following[1]) if following[:1] == ["NUMSTROKES"] else None
+            at = k + 1 + (n or 0)
+            if n and any(" ".join(x.split()).startswith(("POINTS 2 ", "POINTS 3 ")) for x in lines[k + 2 : k + 2 + n]):
+                opened.append(k)
+    assert [line for path, line, *_ in got if path == "pen.txt"] == opened
+
+
 def test_vocabulary_and_snapshot(spark, tmp_path):
     vocab = L.vocabulary(spark, ["A", "\"", "é"])
     manifests.write_vocabulary(vocab, str(tmp_path / "v"))

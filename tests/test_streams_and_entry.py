@@ -43,13 +43,35 @@ def test_live_coverage_equals_batch(spark, tmp_path):
     assert len(reports) > 1
 
 
-def test_upload_store_keeps_one_copy(spark, tmp_path):
-    data = spark.createDataFrame([(bytearray(bytes([i % 7])),) for i in range(40)], "content binary")
-    data.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("content binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    S.store_uploads(stream, str(tmp_path / "store"), str(tmp_path / "ckpt")).awaitTermination()
-    got = [r.image_id for r in spark.read.parquet(str(tmp_path / "store")).collect()]
-    assert sorted(got) == sorted(r.image_id for r in feedback_log.new_uploads(data, None).collect())
+def test_upload_store_keeps_one_copy_over_batches_restarts_and_replays(spark, tmp_path):
+    def arrive(name, values):
+        spark.createDataFrame([(bytearray(v),) for v in values], "content binary").repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema("content binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = S.store_uploads(stream, str(tmp_path / "store"), str(tmp_path / "ckpt"))
+        query.awaitTermination()
+        return query
+
+    stored = lambda: sorted(bytes(r.content) for r in S.stored_uploads(spark, str(tmp_path / "store")).collect())
+    first = [bytes([i % 7]) for i in range(40)]
+    arrive("a", first)
+    query = run()
+    assert all(not p["stateOperators"] for p in query.recentProgress) and len(query.recentProgress) > 1
+    assert stored() == sorted(set(first))
+    second = [bytes([i % 11]) for i in range(40)] + [b"", b"long" * 1000]
+    arrive("b", second)
+    run()  # goes on from the checkpoint
+    assert stored() == sorted(set(first + second))
+    folders = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "store" / "images").iterdir() if p.name.startswith("batch_no"))
+    before = {p.name: p for p in (tmp_path / "store").glob("ids/*/*/*.parquet")}
+    last = folders[-1]
+    again = spark.createDataFrame([(bytearray(v),) for v in first + second], "content binary")
+    S.keep_new_uploads(again, last, str(tmp_path / "store"))  # the last batch runs again, as if its end hadn't been written down
+    S.keep_new_uploads(again, last + 1, str(tmp_path / "store"))
+    assert stored() == sorted(set(first + second)) and before
+    S.keep_new_uploads(again.limit(0), last + 2, str(tmp_path / "store"))
+    assert stored() == sorted(set(first + second))
 
 
 def test_entry(spark):
