@@ -302,17 +302,16 @@ def backfill_sequence_boxes(corrections: DataFrame, regions: DataFrame) -> DataF
     )
 
 
-def training_items(corrections: DataFrame, labels: list[str] | Column) -> DataFrame:
+def training_items(corrections: DataFrame, labels: list[str] | None) -> DataFrame:
     """One row per trainable glyph.
 
     A character record gives one item. A sequence gives one per (character, box),
     or none at all when the lengths differ or any label or box is unusable. A
-    missing kind counts as character. ``labels`` may be a column with the usable
-    characters as one string.
+    missing kind counts as character. Without ``labels`` any single character is usable.
     """
 
-    vocab = labels if isinstance(labels, Column) else F.lit("".join(labels))
-    in_vocab = lambda c: (F.length(c) == 1) & vocab.contains(c)
+    one = lambda c: F.length(c) == 1
+    in_vocab = one if labels is None else lambda c: one(c) & F.lit("".join(labels)).contains(c)
     kind = F.coalesce("correction_kind", F.lit("character"))
     text = F.coalesce("corrected_label", F.lit(""))
     chars = characters(text)
@@ -351,10 +350,10 @@ def recognizer_items(corrections: DataFrame, vocabularies: dict[str, list[str]])
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), F.lit("".join(labels)).alias("chars")) for name, labels in vocabularies.items()]
     )
-    each = corrections.withColumn("_v", F.explode(wanted)).withColumns(
-        {"recognizer": F.col("_v.name"), "_chars": F.col("_v.chars")}
-    )
-    return training_items(each.drop("_v"), F.col("_chars")).drop("_chars")
+    # Which recognizers know all characters of a record; its items are made once and told apart last.
+    text = characters(F.coalesce("corrected_label", F.lit("")))
+    knowing = F.transform(F.filter(wanted, lambda v: F.forall(text, lambda c: v["chars"].contains(c))), lambda v: v["name"])
+    return training_items(corrections.withColumn("_knowing", knowing), None).withColumn("recognizer", F.explode("_knowing")).drop("_knowing")
 
 
 def label_counts(items: DataFrame) -> DataFrame:
