@@ -262,11 +262,11 @@ def test_top_k(spark, monkeypatch, seed):
     rows = [(k, v.tolist(), "x") for k, v in enumerate(vectors)] + [(150, None, "x"), (151, [1.0, None], "x"), (152, [float("nan")] * 6, "x"), (153, [float("inf")] * 6, "x")]
     rows += [(None, vectors[0].tolist(), "x"), (3, vectors[3].tolist(), "x"), (200, [], "x")]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")).collect()
-    usable = [(i, np.floor(256 * np.float64(v)).astype(int)) for i, v, _ in rows if v and None not in v and np.isfinite(np.float64(v)).all()]
+    usable = [(i, np.floor(256 * np.float64(v)).astype(int)) for i, v, _ in rows if v is not None and None not in v and np.isfinite(np.float64(v)).all()]
     expected = []
     for at, (i, q) in enumerate(usable):
         if i is not None and i % 50 == 0:
-            best = sorted((-int(q @ v), j if j is not None else 1 << 60, k) for k, (j, v) in enumerate(usable) if k != at)[:5]
+            best = sorted((-int(q[: len(v)] @ v[: len(q)]), j if j is not None else 1 << 60, k) for k, (j, v) in enumerate(usable) if k != at)[:5]
             expected += [(i, n + 1, None if j == 1 << 60 else j, -s) for n, (s, j, _) in enumerate(best)]
     assert sorted((x.query_id, x.rank, x.vec_id if x.vec_id is not None else -1, x.score) for x in got) == sorted((a, b, c if c is not None else -1, d) for a, b, c, d in expected)
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
